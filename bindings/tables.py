@@ -1,6 +1,6 @@
 """The analytics tables, made from the driver's tables.
 
-``trips`` comes from ``events``; series, library cells and predictions are
+Trips come from ``events``. Trips, series, library cells and predictions are
 written once per session and folder, as the pipeline itself does, and scanned
 by every query that needs them.
 """
@@ -87,10 +87,15 @@ def trips_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips_from_events(read(spark, sf_dir, "events"))
 
 
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trip files of the pipeline, written once from ``events``."""
+    return _once(spark, sf_dir, "trips", lambda: raw_trips(spark, sf_dir))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "series", lambda: revenue.main_series(trips(spark, sf_dir), PARAMS))
 

@@ -20,9 +20,7 @@ P = t.PARAMS
 @query("s1_trip_scan", f"WITH {b.TRIPS} -- result\nSELECT * FROM trips",
        "trip_distance total_amount passenger_count pickup_latitude pickup_longitude dropoff_latitude dropoff_longitude")
 def s1(spark, sf):
-    path = fresh_path(spark, "trips")
-    t.trips(spark, sf).write.parquet(path)
-    return trips.load_trips(spark, path)
+    return trips.load_trips(spark, *[f for f in t.trips(spark, sf).inputFiles()])
 
 
 @query("s2_scan_by_role", f"""WITH {b.TRIPS} -- result

@@ -44,15 +44,22 @@ def calendar_columns(ts: Column, rush_hours: Sequence[int]) -> dict[str, Column]
     }
 
 
+def elapsed_micros(start: Column, stop: Column) -> Column:
+    """Microseconds between two timestamps, as a subtraction of longs.
+
+    Naive timestamps are read in the session zone, which is UTC.
+    """
+    return F.unix_micros(stop.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+
+
 def elapsed_minutes(start: Column, stop: Column) -> Column:
     """Minutes between two timestamps, with microsecond precision."""
-    return F.timestamp_diff("MICROSECOND", start, stop) / F.lit(60.0 * MICROS)
+    return elapsed_micros(start, stop) / F.lit(60.0 * MICROS)
 
 
 def bin_number(ts: Column, origin: Column, bin_seconds: int) -> Column:
     """Index of the bin of ``ts``, bins starting at ``origin``."""
-    elapsed = F.timestamp_diff("MICROSECOND", origin, ts)
-    return F.floor(elapsed / F.lit(float(bin_seconds) * MICROS)).cast("int")
+    return F.floor(elapsed_micros(origin, ts) / F.lit(float(bin_seconds) * MICROS)).cast("int")
 
 
 def month_start(ts: Column) -> Column:

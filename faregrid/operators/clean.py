@@ -40,21 +40,30 @@ def _within(name: str, bounds: Range, inclusive: bool) -> Column:
 
 
 def add_trip_metrics(df: DataFrame) -> DataFrame:
-    """Duration in minutes and speed; a trip of no duration has no speed."""
+    """Duration in minutes and speed; a trip of no duration has no speed.
+
+    The duration passes through a one-element ``explode``, past which filters
+    are not pushed: else each bound on duration or speed would compute it anew.
+    """
     minutes = elapsed_minutes(F.col("pickup_datetime"), F.col("dropoff_datetime"))
-    return df.withColumn("trip_duration_minutes", minutes).withColumn(
+    others = [c for c in df.columns if c not in ("trip_duration_minutes", "speed_mph")]
+    return df.select(*others, F.explode(F.array(minutes)).alias("trip_duration_minutes")).withColumn(
         "speed_mph", per_unit(F.col("trip_distance"), F.col("trip_duration_minutes") / 60.0)
     )
 
 
 def threshold_test(p: Params = DEFAULTS, inclusive: bool = True) -> Column:
-    """All numeric bounds; a NULL in any of them fails."""
+    """All numeric bounds; a NULL in any of them fails.
+
+    Bounds on stored columns come first: they reach the scan and spare the
+    derived ones.
+    """
     return _all(
         [
             _within("trip_distance", p.distance_miles, inclusive),
+            _within("total_amount", p.amount, inclusive),
             _within("trip_duration_minutes", p.trip_minutes, inclusive),
             _within("speed_mph", p.speed_mph, inclusive),
-            _within("total_amount", p.amount, inclusive),
         ]
     )
 

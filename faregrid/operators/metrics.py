@@ -70,14 +70,14 @@ def full_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] =
     """All metrics including the median absolute error, per group if asked."""
     one_pass = metrics(df, actual, predicted, FULL, by)
     errors = df.select(*by, F.abs(F.col(actual) - F.col(predicted)).alias("_error"))
-    medians = exact_quantiles(errors, "_error", {"median_ae": 0.5}, by)
+    medians = exact_quantiles(errors, {"median_ae": ("_error", 0.5)}, by)
     return attach(one_pass, medians, by)
 
 
 def prediction_intervals(df: DataFrame, value: str, by: Sequence[str], confidence: float = 0.9) -> DataFrame:
     """Lower and upper percentile of the samples of each point."""
     tail = (1.0 - confidence) / 2.0
-    return exact_quantiles(df, value, {"lower": tail, "upper": 1.0 - tail}, by)
+    return exact_quantiles(df, {"lower": (value, tail), "upper": (value, 1.0 - tail)}, by)
 
 
 def add_interval_width(df: DataFrame, lower: str = "lower", upper: str = "upper") -> DataFrame:

@@ -54,9 +54,10 @@ def library_feature_table(
 def monitoring_tables(predictions: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Anomaly feed, the actions for its first entries, and the cycle report.
 
-    The zone statistics are written once: a row per zone, read many times.
+    The zone statistics and the feed are written once: a row per zone and a
+    handful of rows, both read several times.
     """
     zones = staged(zone_statistics(predictions), "zone-statistics")
-    feed = anomaly_feed(zones, p)
+    feed = staged(anomaly_feed(zones, p), "anomaly-feed")
     actions = proposed_actions(feed.where(F.col("anomaly_no") <= p.feed_size), predictions, p)
     return feed, actions, cycle_report(feed, actions, zones)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,87 +23,80 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def exact_quantiles(
     df: DataFrame,
-    value: str,
-    probs: Mapping[str, float],
+    wanted: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Linearly interpolated quantiles, exact, with bounded state per task.
 
-    ``percentile`` keeps every distinct value of a group in one buffer. Here a
-    sketch gives a narrow bracket around each wanted rank, a second pass counts
-    what lies below it, and only rows inside a bracket are sorted. Where the
-    sketch missed, the bracket widens to the minimum or maximum, so the result
-    does not depend on the sketch's error.
+    ``wanted`` maps result names to (column, probability). ``percentile`` keeps
+    every distinct value of a group in one buffer. Here a sketch gives a narrow
+    bracket around each wanted rank, a second pass counts what lies below it,
+    and only rows inside a bracket are sorted. Where the sketch missed, the
+    bracket widens to the minimum or maximum, so the result does not depend on
+    the sketch's error. Three passes serve all wanted quantiles.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    names = list(probs)
-    margin = 2.0 / accuracy
-    grid = [edge for p in probs.values() for edge in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    by, probes = list(by), list(wanted.values())
+    columns = list(dict.fromkeys(column for column, _ in probes))
+    value = [f"_v{columns.index(column)}" for column, _ in probes]
+    rows = df.selectExpr(*[f"`{b}`" for b in by], *[f"cast(`{c}` as double) as _v{j}" for j, c in enumerate(columns)])
 
+    margin = 2.0 / accuracy
+    edges = [(max(p - margin, 0.0), min(p + margin, 1.0)) for _, p in probes]
     sketch = rows.groupBy(*by).agg(
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", F.array(*[F.lit(g) for g in grid]), F.lit(accuracy)).alias("_g"),
+        *[F.expr(f"{side}(_v{j}) as _{side}{j}") for j in range(len(columns)) for side in ("min", "max")],
+        *[
+            F.expr(f"percentile_approx({value[i]}, array({low}D, {high}D), {accuracy}) as _edge{i}")
+            for i, (low, high) in enumerate(edges)
+        ],
     )
-    counts: list[Column] = [F.count("_v").alias("_n"), F.max("_min").alias("_min"), F.max("_max").alias("_max")]
-    for i in range(len(names)):
-        low, high = F.col("_g")[2 * i], F.col("_g")[2 * i + 1]
+
+    counts = [f"count(_v{j}) as _n{j}" for j in range(len(columns))]
+    counts += [f"max(_{side}{j}) as _{side}{j}" for j in range(len(columns)) for side in ("min", "max")]
+    for i, v in enumerate(value):
         counts += [
-            F.count_if(F.col("_v") < low).alias(f"_below{i}"),
-            F.count_if(F.col("_v") <= high).alias(f"_upto{i}"),
-            F.max(low).alias(f"_low{i}"),
-            F.max(high).alias(f"_high{i}"),
+            f"count_if({v} < _edge{i}[0]) as _below{i}",
+            f"count_if({v} <= _edge{i}[1]) as _upto{i}",
+            f"max(_edge{i}[0]) as _low{i}",
+            f"max(_edge{i}[1]) as _high{i}",
         ]
-    counted = attach(rows, sketch, by).groupBy(*by).agg(*counts)
-
-    probes = []
-    for i, p in enumerate(probs.values()):
-        target = (F.col("_n") - 1) * F.lit(float(p))
-        first = F.floor(target)
-        last = F.least(first + 1, F.col("_n") - 1)
-        low_ok = F.col(f"_below{i}") <= first
-        probes.append(
-            F.struct(
-                F.lit(i).alias("probe"),
-                F.when(low_ok, F.col(f"_low{i}")).otherwise(F.col("_min")).alias("low"),
-                F.when(F.col(f"_upto{i}") > last, F.col(f"_high{i}")).otherwise(F.col("_max")).alias("high"),
-                F.when(low_ok, F.col(f"_below{i}")).otherwise(F.lit(0)).alias("before"),
-                first.alias("first"),
-                last.alias("last"),
-                (target - first).alias("weight"),
-            ).alias(f"_p{i}")
+    counted = attach(rows, sketch, by).groupBy(*by).agg(*[F.expr(c) for c in counts])
+
+    brackets = []
+    for i, (column, p) in enumerate(probes):
+        j = columns.index(column)
+        target = f"((_n{j} - 1) * {float(p)!r}D)"
+        first = f"floor({target})"
+        last = f"least({first} + 1, _n{j} - 1)"
+        brackets.append(
+            f"""named_struct('probe', {i},
+                'low', if(_below{i} <= {first}, _low{i}, _min{j}),
+                'high', if(_upto{i} > {last}, _high{i}, _max{j}),
+                'before', if(_below{i} <= {first}, _below{i}, 0L),
+                'first', {first}, 'last', {last}, 'weight', {target} - {first}) as _p{i}"""
         )
-    brackets = counted.select(*by, *probes)
-
-    inside = attach(rows, brackets, by)
-    hit = [F.col("_v").between(F.col(f"_p{i}.low"), F.col(f"_p{i}.high")) for i in range(len(names))]
-    any_hit = hit[0]
-    for other in hit[1:]:
-        any_hit = any_hit | other
-    inside = (
-        inside.where(any_hit)
-        .select(*by, "_v", F.explode(F.array(*[f"_p{i}" for i in range(len(names))])).alias("p"))
-        .where(F.col("_v").between(F.col("p.low"), F.col("p.high")))
-        .groupBy(*by, "p", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = Window.partitionBy(*by, "p.probe").orderBy("_v")
-    placed = inside.withColumn("_end", F.col("p.before") + F.sum("_c").over(running)).withColumn(
-        "_start", F.col("_end") - F.col("_c")
-    )
-
-    def at(rank: str) -> Column:
-        covers = (F.col("_start") <= F.col(f"p.{rank}")) & (F.col(f"p.{rank}") < F.col("_end"))
-        return F.max(F.when(covers, F.col("_v")))
-
-    picked = placed.groupBy(*by, "p.probe").agg(
-        at("first").alias("a"), at("last").alias("b"), F.max("p.weight").alias("w")
+    inside = attach(rows, counted.selectExpr(*[f"`{b}`" for b in by], *brackets), by)
+    hits = [f"{v} between _p{i}.low and _p{i}.high" for i, v in enumerate(value)]
+    pairs = ", ".join(f"if({hit}, named_struct('p', _p{i}, 'v', {value[i]}), null)" for i, hit in enumerate(hits))
+    values = (
+        inside.where(" or ".join(hits))
+        .selectExpr(*[f"`{b}`" for b in by], f"explode(array_compact(array({pairs}))) as h")
+        .groupBy(*by, F.col("h.p").alias("p"), F.col("h.v").alias("v"))
+        .agg(F.count(F.lit(1)).alias("c"))
     )
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("w")
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("probe") == i, value_at)).alias(name) for i, name in enumerate(names)]
+    running = Window.partitionBy(*by, "p.probe").orderBy("v")
+    placed = values.withColumn("stop", F.col("p.before") + F.sum("c").over(running))
+
+    picks = []
+    for i in range(len(probes)):
+        for rank in ("first", "last"):
+            covers = f"p.probe = {i} and stop - c <= p.{rank} and p.{rank} < stop"
+            picks.append(f"max(if({covers}, v, null)) as _{rank}{i}")
+        picks.append(f"max(if(p.probe = {i}, p.weight, null)) as _weight{i}")
+    picked = placed.groupBy(*by).agg(*[F.expr(pick) for pick in picks])
+    return picked.selectExpr(
+        *[f"`{b}`" for b in by],
+        *[f"_first{i} + (_last{i} - _first{i}) * _weight{i} as `{name}`" for i, name in enumerate(wanted)],
     )
 
 
