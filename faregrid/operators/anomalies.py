@@ -16,6 +16,9 @@ from faregrid.plans.thresholds import attach
 
 OPPORTUNITY = "REVENUE_OPPORTUNITY"
 INEFFICIENT = "LOW_EFFICIENCY"
+# Thirds as percentages brought back to fractions. With a zone
+# exactly on an edge the last bit decides its tercile.
+TERCILE_EDGES = (1.0 / 3.0 * 100.0 / 100.0, 2.0 / 3.0 * 100.0 / 100.0)
 
 
 def high_impact_zones(zones: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -33,8 +36,7 @@ def enough_zones(high: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def revenue_terciles(high: DataFrame) -> DataFrame:
     """Tercile by interpolated edges, upper edges included."""
     edges = high.agg(
-        F.percentile("revenue_sum", F.lit(1.0 / 3.0)).alias("_e1"),
-        F.percentile("revenue_sum", F.lit(2.0 / 3.0)).alias("_e2"),
+        *[F.percentile("revenue_sum", F.lit(q)).alias(f"_e{i}") for i, q in enumerate(TERCILE_EDGES, 1)]
     )
     label = (
         F.when(F.col("revenue_sum") <= F.col("_e1"), F.lit("small"))

@@ -46,16 +46,17 @@ def with_positions(
 def in_blocks(df: DataFrame, size: int, halo: int) -> DataFrame:
     """Copy the last ``halo`` rows of each block of ``size`` positions onward.
 
-    Adds ``_home`` (the block of the row) and ``_block`` (the block this copy
-    serves). Compute over :func:`block_window`, then call :func:`out_of_blocks`.
+    Adds ``_block`` (the block this copy serves) and ``_own`` (false on the
+    copies). Compute over :func:`block_window`, then call :func:`out_of_blocks`.
     """
     if halo > size:
         raise ValueError("the look-back must fit in one block")
     offset = F.col("pos") - 1
-    home = F.floor(offset / F.lit(size))
+    block = F.floor(offset / F.lit(size))
     near_end = (offset % F.lit(size)) >= F.lit(size - halo)
-    blocks = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
-    return df.withColumn("_home", home).withColumn("_block", F.explode(blocks))
+    own = F.struct(block.alias("_block"), F.lit(True).alias("_own"))
+    copy = F.struct((block + 1).alias("_block"), F.lit(False).alias("_own"))
+    return df.select("*", F.inline(F.when(near_end, F.array(own, copy)).otherwise(F.array(own))))
 
 
 def block_window(key: Sequence[str]) -> WindowSpec:
@@ -64,7 +65,7 @@ def block_window(key: Sequence[str]) -> WindowSpec:
 
 def out_of_blocks(df: DataFrame) -> DataFrame:
     """Keep each row once, in its own block."""
-    return df.where(F.col("_block") == F.col("_home")).drop("_block", "_home")
+    return df.where(F.col("_own")).drop("_block", "_own")
 
 
 def running_offsets(counts: DataFrame, order: str, size: str, width: int = RANGE_WIDTH) -> DataFrame:
