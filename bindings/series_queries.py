@@ -10,6 +10,7 @@ from bindings.registry import query
 from bindings.trip_queries import PRED_DOUBLES, SERIES_DOUBLES
 from faregrid.operators import drilldown, features, forecast, metrics, splits, whatif
 from faregrid.plans import revenue
+from faregrid.storage import staged
 
 P = t.PARAMS
 LAGS = "ft_1, ft_2, ft_3, ft_4, ft_5"
@@ -272,7 +273,7 @@ def e5(spark, sf):
     ), labelled AS (SELECT *, {_LABEL} FROM placed) -- result
     SELECT split, {_all_sql('demand', 'demand_pred')} FROM labelled GROUP BY split""", FULL_DOUBLES)
 def e6(spark, sf):
-    labelled = splits.global_split(t.predictions(spark, sf), p=P)
+    labelled = staged(splits.global_split(t.predictions(spark, sf), p=P), "labelled-predictions")
     return metrics.full_metrics(labelled, "demand", "demand_pred", by=["split"])
 
 

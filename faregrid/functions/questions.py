@@ -1,13 +1,13 @@
 """Tagging of question texts with plain string expressions.
 
 Keyword tests look for substrings, so "versus" also answers to "vs" and
-"most" is found in "almost"; that is how questions are routed.
+"most" is found in "almost"; that is how questions are routed. ``text`` is the
+name of a column of lower-case texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,16 +43,16 @@ OVERALL = ("average", "overall")
 MARGIN = ("profit", "margin")
 
 
-def has_any(text: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+def has_any(text: str, words: Sequence[str]) -> Column:
+    return F.expr(" or ".join(f"contains({text}, '{w}')" for w in words))
 
 
-def _first_match(text: Column, pattern: str) -> Column:
+def _first_match(text: str, pattern: str) -> Column:
     found = F.regexp_extract(text, pattern, 1)
     return F.when(found != "", found)
 
 
-def asked_hour(text: Column) -> Column:
+def asked_hour(text: str) -> Column:
     """Hour named in the text, from the first pattern that matches."""
     options = []
     for pattern, clock in HOUR_PATTERNS:
@@ -65,15 +65,16 @@ def asked_hour(text: Column) -> Column:
     return F.coalesce(*options)
 
 
-def _first_word(text: Column, words: Sequence[str], values: Sequence) -> Column:
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(v)) for w, v in zip(words, values)])
+def _first_word(text: str, words: Sequence[str], values: Sequence) -> Column:
+    tests = " ".join(f"when contains({text}, '{w}') then {v!r}" for w, v in zip(words, values))
+    return F.expr(f"case {tests} end")
 
 
-def asked_weekday(text: Column) -> Column:
+def asked_weekday(text: str) -> Column:
     return _first_word(text, WEEKDAYS, range(7))
 
 
-def asked_day_part(text: Column) -> Column:
+def asked_day_part(text: str) -> Column:
     """Part of the day, only where no hour is named."""
     return F.when(asked_hour(text).isNull(), _first_word(text, DAY_PARTS, DAY_PARTS))
 
@@ -82,16 +83,16 @@ def _as_ids(found: Column) -> Column:
     return F.transform(found, lambda digits: digits.try_cast("bigint"))
 
 
-def named_zones(text: Column) -> Column:
+def named_zones(text: str) -> Column:
     """Zone ids after "zone" or "cluster"; the plural form is not seen."""
     return _as_ids(F.regexp_extract_all(text, F.lit(ZONE_PATTERN), F.lit(2)))
 
 
-def numbers(text: Column) -> Column:
+def numbers(text: str) -> Column:
     return _as_ids(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(1)))
 
 
-def intent(text: Column, known: Column, hour: Column, weekday: Column) -> Column:
+def intent(text: str, known: Column, hour: Column, weekday: Column) -> Column:
     """What the question asks for, by the first rule that applies.
 
     ``known`` is the array of zone ids with data. High and low keywords

@@ -67,7 +67,10 @@ FULL = (
 
 
 def full_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """All metrics including the median absolute error, per group if asked."""
+    """All metrics including the median absolute error, per group if asked.
+
+    ``df`` is read four times, three of them for the exact median.
+    """
     one_pass = metrics(df, actual, predicted, FULL, by)
     errors = df.select(*by, F.abs(F.col(actual) - F.col(predicted)).alias("_error"))
     medians = exact_quantiles(errors, {"median_ae": ("_error", 0.5)}, by)

@@ -61,10 +61,13 @@ def top_similar(
     Each task keeps k candidates per query while it reads its Arrow batches,
     so what is shuffled is k rows per query and task. The query batch is sent
     to the tasks, up to ``max_queries`` vectors at a time; a larger batch is
-    cut by a hash of its id and takes one pass over the base per part.
+    cut by a hash of its id and takes one pass over the base per part. Missing
+    and malformed vectors count as zero vectors.
     """
     queries = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("vector"))
-    n = queries.count()
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    base = repair_vectors(base.select(base_id, vector), max(dim or 1, 1), vector)
+    queries = repair_vectors(queries, max(dim or 1, 1), "vector")
     parts = max(1, -(-2 * n // max_queries)) if n > max_queries else 1
     out = None
     for part in range(parts):

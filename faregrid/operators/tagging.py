@@ -23,26 +23,26 @@ def tag_questions(texts: DataFrame, predictions: DataFrame, text: str = "text")
     lowered = texts.withColumn("_q", F.lower(F.col(text))).withColumn("_known", known_zone_ids(predictions).scalar())
     slots = lowered.withColumns(
         {
-            "asked_hour": q.asked_hour(F.col("_q")),
-            "asked_weekday": q.asked_weekday(F.col("_q")),
-            "asked_day_part": q.asked_day_part(F.col("_q")),
-            "named_zones": q.named_zones(F.col("_q")),
+            "asked_hour": q.asked_hour("_q"),
+            "asked_weekday": q.asked_weekday("_q"),
+            "asked_day_part": q.asked_day_part("_q"),
+            "named_zones": q.named_zones("_q"),
         }
     )
     tagged = slots.withColumn(
-        "intent", q.intent(F.col("_q"), F.col("_known"), F.col("asked_hour"), F.col("asked_weekday"))
+        "intent", q.intent("_q", F.col("_known"), F.col("asked_hour"), F.col("asked_weekday"))
     )
     general = F.col("intent") == "general"
     open_time = F.col("asked_hour").isNull() & F.col("asked_weekday").isNull()
-    overall = open_time & (F.col("asked_day_part").isNull() | q.has_any(F.col("_q"), q.OVERALL))
+    overall = open_time & (F.col("asked_day_part").isNull() | q.has_any("_q", q.OVERALL))
     looked_up = F.regexp_extract("_q", q.LOOKUP_PATTERN, 1)
     lookup = F.when(
-        general & (looked_up != "") & ~q.has_any(F.col("_q"), q.OPEN_ZONE), looked_up.try_cast("bigint")
+        general & (looked_up != "") & ~q.has_any("_q", q.OPEN_ZONE), looked_up.try_cast("bigint")
     )
     return tagged.withColumns(
         {
             "wants_overall": (general & overall).cast("int"),
             "lookup_zone": lookup,
-            "wants_margin": (general & q.has_any(F.col("_q"), q.MARGIN)).cast("int"),
+            "wants_margin": (general & q.has_any("_q", q.MARGIN)).cast("int"),
         }
     ).drop("_q", "_known")

@@ -41,13 +41,20 @@ def exact_quantiles(
     value = [f"_v{columns.index(column)}" for column, _ in probes]
     rows = df.selectExpr(*[f"`{b}`" for b in by], *[f"cast(`{c}` as double) as _v{j}" for j, c in enumerate(columns)])
 
+    # One sketch per column gives the bracket edges of all its probes.
     margin = 2.0 / accuracy
-    edges = [(max(p - margin, 0.0), min(p + margin, 1.0)) for _, p in probes]
+    edges: list[list[str]] = [[] for _ in columns]
+    low_at, high_at = [], []
+    for column, p in probes:
+        j = columns.index(column)
+        low_at.append(f"_edges{j}[{len(edges[j])}]")
+        high_at.append(f"_edges{j}[{len(edges[j]) + 1}]")
+        edges[j] += [f"{max(p - margin, 0.0)!r}D", f"{min(p + margin, 1.0)!r}D"]
     sketch = rows.groupBy(*by).agg(
         *[F.expr(f"{side}(_v{j}) as _{side}{j}") for j in range(len(columns)) for side in ("min", "max")],
         *[
-            F.expr(f"percentile_approx({value[i]}, array({low}D, {high}D), {accuracy}) as _edge{i}")
-            for i, (low, high) in enumerate(edges)
+            F.expr(f"percentile_approx(_v{j}, array({', '.join(edges[j])}), {accuracy}) as _edges{j}")
+            for j in range(len(columns))
         ],
     )
 
@@ -55,10 +62,10 @@ def exact_quantiles(
     counts += [f"max(_{side}{j}) as _{side}{j}" for j in range(len(columns)) for side in ("min", "max")]
     for i, v in enumerate(value):
         counts += [
-            f"count_if({v} < _edge{i}[0]) as _below{i}",
-            f"count_if({v} <= _edge{i}[1]) as _upto{i}",
-            f"max(_edge{i}[0]) as _low{i}",
-            f"max(_edge{i}[1]) as _high{i}",
+            f"count_if({v} < {low_at[i]}) as _below{i}",
+            f"count_if({v} <= {high_at[i]}) as _upto{i}",
+            f"max({low_at[i]}) as _low{i}",
+            f"max({high_at[i]}) as _high{i}",
         ]
     counted = attach(rows, sketch, by).groupBy(*by).agg(*[F.expr(c) for c in counts])
 
