@@ -1,6 +1,6 @@
 """Time the revenue chain on many copies of the events, one zone being hot.
 
-    python -m bindings.scale_check [copies] [events folder]
+    python -m bindings.scale_check [copies] [events folder] [trees per model]
 
 Each event becomes ``copies`` trips, spread over the month and over 260 zones;
 a third of all trips start in zone 1. Bins are ten minutes. With 127 copies of
@@ -16,7 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import tables
+from faregrid.models.boosted import BoostParams, fill_average, fit_stacked, score_stacked
+from faregrid.operators.features import main_features
+from faregrid.operators.metrics import metrics
 from faregrid.operators.recommend import recommendation_feed
+from faregrid.operators.splits import global_split
 from faregrid.params import DEFAULTS
 from faregrid.plans import revenue
 from faregrid.session import build_session
@@ -72,11 +76,22 @@ def main(argv: list[str]) -> None:
     lap("series")
     predictions = staged(revenue.naive_predictions(series, DEFAULTS), "scale-predictions")
     lap("predictions", f"{predictions.count():,} of {series.count():,} series rows")
+    features = staged(fill_average(main_features(series, DEFAULTS)), "scale-features")
+    labelled = staged(global_split(features, p=DEFAULTS), "scale-labelled")
+    lap("features, split", {r["split"]: r["count"] for r in labelled.groupBy("split").count().collect()})
     for table in revenue.monitoring_tables(predictions, DEFAULTS):
         table.collect()
     lap("monitoring")
     recommendation_feed(predictions, 10, DEFAULTS).collect()
     lap("recommendations")
+    trees = int(argv[2]) if len(argv) > 2 else 0
+    if trees:
+        settings = (BoostParams(trees=trees, depth=3), BoostParams(trees=trees, depth=4))
+        models = fit_stacked(labelled.where("split = 'train'"), *settings)
+        lap("two models", f"{trees} trees each")
+        scored = score_stacked(models, labelled)
+        rows = metrics(scored, "demand", "demand_pred", ["wmape", "r2"], ["split"]).collect()
+        lap("scoring", {r.split: round(r.wmape, 2) for r in rows})
     print(f"{'total':16s} {total:8.2f}s")
 
 

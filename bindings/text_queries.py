@@ -177,7 +177,7 @@ REVENUE = boosted.BoostParams(trees=20, depth=4)
 
 
 def _labelled(spark, sf):
-    rows = boosted.fill_average(main_features(t.series(spark, sf), P))
+    rows = staged(boosted.fill_average(main_features(t.series(spark, sf), P)), "main-features")
     return staged(splits.global_split(rows, p=P), "labelled-features")
 
 
@@ -213,7 +213,7 @@ def m2(spark, sf):
 @query("m3_library_demand_model")
 def m3(spark, sf):
     table = revenue.library_feature_table(t.library_cells(spark, sf), t.CENTRES, P)
-    rows = staged(splits.zone_split(table, "pickup_cluster", "pickup_bins", P), "library-features")
+    rows = staged(splits.zone_split(staged(table, "library-features"), "pickup_cluster", "pickup_bins", P), "library-split")
     fitted = _part(rows, "train").unionByName(_part(rows, "validation")).withColumn("held_out", F.col("split") == "validation")
     model = boosted.fit_regressor(fitted, boosted.LIBRARY_FEATURES, "demand", "demand_pred", DEMAND, "held_out")
     return metrics.full_metrics(boosted.score(model, rows), "demand", "demand_pred", by=["split"])

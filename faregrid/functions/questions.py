@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 HOUR_PATTERNS = (
     (r"(\d{1,2})\s*pm", "pm"),
     (r"(\d{1,2})\s*am", "am"),
-    (r"(\d{1,2}):00", "24h"),
-    (r"hour\s+(\d{1,2})", "24h"),
+    (r"(\d{1,2}):00", ":00"),
+    (r"hour\s+(\d{1,2})", "hour"),
 )
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 DAY_PARTS = ("morning", "afternoon", "evening", "night")
@@ -47,19 +47,17 @@ def has_any(text: str, words: Sequence[str]) -> Column:
     return F.expr(" or ".join(f"contains({text}, '{w}')" for w in words))
 
 
-def _first_match(text: str, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(found != "", found)
-
-
 def asked_hour(text: str) -> Column:
-    """Hour named in the text, from the first pattern that matches."""
+    """Hour named in the text, from the first pattern that matches.
+
+    Most texts lack a pattern's literal part, which is far cheaper to look for.
+    """
     options = []
-    for pattern, clock in HOUR_PATTERNS:
-        hour = _first_match(text, pattern).cast("int")
-        if clock == "pm":
+    for pattern, literal in HOUR_PATTERNS:
+        hour = F.when(has_any(text, [literal]), F.regexp_extract(text, pattern, 1).try_cast("int"))
+        if literal == "pm":
             hour = F.when(hour == 12, F.lit(12)).otherwise(hour + 12)
-        elif clock == "am":
+        elif literal == "am":
             hour = F.when(hour == 12, F.lit(0)).otherwise(hour)
         options.append(hour)
     return F.coalesce(*options)
@@ -74,9 +72,9 @@ def asked_weekday(text: str) -> Column:
     return _first_word(text, WEEKDAYS, range(7))
 
 
-def asked_day_part(text: str) -> Column:
+def asked_day_part(text: str, hour: Column) -> Column:
     """Part of the day, only where no hour is named."""
-    return F.when(asked_hour(text).isNull(), _first_word(text, DAY_PARTS, DAY_PARTS))
+    return F.when(hour.isNull(), _first_word(text, DAY_PARTS, DAY_PARTS))
 
 
 def _as_ids(found: Column) -> Column:
@@ -85,28 +83,29 @@ def _as_ids(found: Column) -> Column:
 
 def named_zones(text: str) -> Column:
     """Zone ids after "zone" or "cluster"; the plural form is not seen."""
-    return _as_ids(F.regexp_extract_all(text, F.lit(ZONE_PATTERN), F.lit(2)))
+    found = _as_ids(F.regexp_extract_all(text, F.lit(ZONE_PATTERN), F.lit(2)))
+    return F.when(has_any(text, ["zone", "cluster"]), found).otherwise(F.array().cast("array<bigint>"))
 
 
 def numbers(text: str) -> Column:
     return _as_ids(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(1)))
 
 
-def intent(text: str, known: Column, hour: Column, weekday: Column) -> Column:
+def intent(text: str, known: Column, hour: Column, weekday: Column, zones: Column, high: Column, low: Column) -> Column:
     """What the question asks for, by the first rule that applies.
 
-    ``known`` is the array of zone ids with data. High and low keywords
-    exclude each other and "improve": a question with a high keyword is never
+    ``known`` is the array of zone ids with data, ``zones`` the ids named in
+    the text, ``high`` and ``low`` tell whether it has such keywords. They and
+    "improve" exclude each other: a question with a high keyword is never
     tested for the others.
     """
     pair = numbers(text)
     both_known = F.array_contains(known, F.get(pair, F.lit(0))) & F.array_contains(known, F.get(pair, F.lit(1)))
     open_time = hour.isNull() & weekday.isNull()
-    high = has_any(text, HIGH)
-    low = ~high & has_any(text, LOW)
-    rest = ~high & ~has_any(text, LOW)
+    low = ~high & low
+    rest = ~high & ~low
     ladder = (
-        (F.exists(named_zones(text), lambda z: ~F.coalesce(F.array_contains(known, z), F.lit(False))), "unknown_zone"),
+        (F.exists(zones, lambda z: ~F.coalesce(F.array_contains(known, z), F.lit(False))), "unknown_zone"),
         (has_any(text, COMPARE) & (F.size(pair) >= 2) & both_known, "compare"),
         (has_any(text, DEPLOY) & has_any(text, DEPLOYED), "deployment"),
         (has_any(text, PEAK) & has_any(text, PEAK_OF), "peak_cell"),

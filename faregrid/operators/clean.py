@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from faregrid.functions.calendar import elapsed_minutes
 from faregrid.functions.economics import per_unit
 from faregrid.params import DEFAULTS, Params, Range
+from faregrid.plans.columns import with_computed
 from faregrid.plans.thresholds import value_count_quantile
 
 # Columns a library-path trip may not lack.
@@ -42,12 +43,10 @@ def _within(name: str, bounds: Range, inclusive: bool) -> Column:
 def add_trip_metrics(df: DataFrame) -> DataFrame:
     """Duration in minutes and speed; a trip of no duration has no speed.
 
-    The duration passes through a one-element ``explode``, past which filters
-    are not pushed: else each bound on duration or speed would compute it anew.
+    The duration is computed once, not anew for each bound on it.
     """
     minutes = elapsed_minutes(F.col("pickup_datetime"), F.col("dropoff_datetime"))
-    others = [c for c in df.columns if c not in ("trip_duration_minutes", "speed_mph")]
-    return df.select(*others, F.explode(F.array(minutes)).alias("trip_duration_minutes")).withColumn(
+    return with_computed(df, {"trip_duration_minutes": minutes}).withColumn(
         "speed_mph", per_unit(F.col("trip_distance"), F.col("trip_duration_minutes") / 60.0)
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from faregrid.functions.text import action_lines, chunk_spans, clean_chunk, span_text, strip
 from faregrid.params import DEFAULTS, Params
+from faregrid.plans.columns import with_computed
 
 # Query vectors held by every task at once; larger batches take more passes.
 MAX_QUERIES = 4_096
@@ -34,7 +35,7 @@ def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "text", p: P
 
 def clean_chunks(chunks: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Chunks without code fences and outer white space, short ones dropped."""
-    return chunks.withColumn("chunk_text", clean_chunk(F.col("chunk_text"))).where(
+    return with_computed(chunks, {"chunk_text": clean_chunk(F.col("chunk_text"))}).where(
         F.length("chunk_text") >= p.min_chunk_chars
     )
 

@@ -24,7 +24,8 @@ def global_split(df: DataFrame, zone: str = "cluster_id", bins: str = "time_bin"
     Only the first cell of the validation and of the test part is looked up:
     counts per bin give the bin that holds it, and the zones of that one bin
     are ranked. The rows themselves are then labelled by comparison, with no
-    shuffle and no sort of the whole table.
+    shuffle and no sort of the whole table. The keys of ``df`` are read a few
+    times, so it should be a written table.
     """
     first_ratio, second_ratio = _ratios(p)
     counts = df.groupBy(bins).agg(F.count(F.lit(1)).alias("_n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faregrid.functions import questions as q
+from faregrid.plans.columns import with_computed
 
 
 def known_zone_ids(predictions: DataFrame) -> DataFrame:
@@ -20,17 +21,24 @@ def tag_questions(texts: DataFrame, predictions: DataFrame, text: str = "text")
     General questions may ask for several things at once: overall averages,
     one zone's means and the rows with the highest margin.
     """
-    lowered = texts.withColumn("_q", F.lower(F.col(text))).withColumn("_known", known_zone_ids(predictions).scalar())
-    slots = lowered.withColumns(
+    lowered = with_computed(texts, {"_q": F.lower(F.col(text))}).withColumn("_known", known_zone_ids(predictions).scalar())
+    slots = with_computed(
+        lowered,
         {
             "asked_hour": q.asked_hour("_q"),
             "asked_weekday": q.asked_weekday("_q"),
-            "asked_day_part": q.asked_day_part("_q"),
             "named_zones": q.named_zones("_q"),
-        }
+            "_high": q.has_any("_q", q.HIGH),
+            "_low": q.has_any("_q", q.LOW),
+        },
     )
-    tagged = slots.withColumn(
-        "intent", q.intent("_q", F.col("_known"), F.col("asked_hour"), F.col("asked_weekday"))
+    slot_names = ("asked_hour", "asked_weekday", "named_zones", "_high", "_low")
+    tagged = with_computed(
+        slots,
+        {
+            "asked_day_part": q.asked_day_part("_q", F.col("asked_hour")),
+            "intent": q.intent("_q", F.col("_known"), *[F.col(c) for c in slot_names]),
+        },
     )
     general = F.col("intent") == "general"
     open_time = F.col("asked_hour").isNull() & F.col("asked_weekday").isNull()
@@ -45,4 +53,4 @@ def tag_questions(texts: DataFrame, predictions: DataFrame, text: str = "text")
             "lookup_zone": lookup,
             "wants_margin": (general & q.has_any("_q", q.MARGIN)).cast("int"),
         }
-    ).drop("_q", "_known")
+    ).drop("_q", "_known", "_high", "_low")
