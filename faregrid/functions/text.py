@@ -27,22 +27,33 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def _trailing_lines(sizes: Column, overlap: int) -> Column:
-    """How many of the last lines are repeated: added while below ``overlap``."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
+def _tail(runs: Column, overlap: int) -> Column:
+    """The last runs that are repeated: added while below ``overlap`` characters."""
+    start = F.struct(F.lit(0).alias("runs"), F.lit(0).alias("lines"), F.lit(0).alias("chars"))
 
-    def take(acc: Column, size: Column) -> Column:
+    def take(acc: Column, run: Column) -> Column:
         more = acc["chars"] < overlap
-        return F.struct(
-            F.when(more, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.when(more, acc["chars"] + size).otherwise(acc["chars"]).alias("chars"),
-        )
-
-    return F.aggregate(F.reverse(sizes), start, take, lambda acc: acc["n"])
-
-
-def _total(sizes: Column) -> Column:
-    return F.aggregate(sizes, F.lit(0), lambda acc, size: acc + size)
+        return F.when(
+            more,
+            F.struct(
+                (acc["runs"] + 1).alias("runs"),
+                (acc["lines"] + run["lines"]).alias("lines"),
+                (acc["chars"] + run["size"]).alias("chars"),
+            ),
+        ).otherwise(acc)
+
+    return F.aggregate(F.reverse(runs), start, take)
+
+
+def _append(runs: Column, size: Column) -> Column:
+    """Add a line; blank lines in a row are one run, so runs stay few."""
+    last = F.element_at(runs, -1)
+    joins = (size == 0) & (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["size"] == 0)
+    longer = F.struct(F.lit(0).alias("size"), (last["lines"] + 1).alias("lines"))
+    single = F.struct(size.alias("size"), F.lit(1).alias("lines"))
+    return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(
+        F.concat(runs, F.array(single))
+    )
 
 
 def chunk_spans(lines: Column, chunk_size: int, overlap: int) -> Column:
@@ -50,35 +61,34 @@ def chunk_spans(lines: Column, chunk_size: int, overlap: int) -> Column:
 
     A fold over the lines: a line that would exceed ``chunk_size`` closes the
     open chunk, whose last lines are repeated at the start of the next. Only
-    the open chunk's line sizes are carried; the text itself is cut afterwards.
+    the open chunk's line sizes are carried, as runs of lines; the text itself
+    is cut afterwards.
     """
     sizes = F.transform(lines, lambda line: F.length(line))
-    spans_type = "array<struct<first:int,stop:int>>"
     start = F.struct(
         F.lit(0).alias("i"),
+        F.lit(0).alias("lines"),
         F.lit(0).alias("chars"),
-        F.array().cast("array<int>").alias("open"),
-        F.array().cast(spans_type).alias("spans"),
+        F.array().cast("array<struct<size:int,lines:int>>").alias("open"),
+        F.array().cast("array<struct<first:int,stop:int>>").alias("spans"),
     )
 
     def step(acc: Column, size: Column) -> Column:
-        full = (acc["chars"] + size > chunk_size) & (F.size(acc["open"]) > 0)
-        kept = F.slice(
-            acc["open"],
-            F.size(acc["open"]) - _trailing_lines(acc["open"], overlap) + 1,
-            F.size(acc["open"]),
-        )
-        carried = F.when(full, kept).otherwise(acc["open"])
-        closed = F.struct((acc["i"] - F.size(acc["open"])).alias("first"), acc["i"].alias("stop"))
+        full = (acc["chars"] + size > chunk_size) & (acc["lines"] > 0)
+        tail = _tail(acc["open"], overlap)
+        n = F.size(acc["open"])
+        kept = F.when(full, F.slice(acc["open"], n - tail["runs"] + 1, n)).otherwise(acc["open"])
+        closed = F.struct((acc["i"] - acc["lines"]).alias("first"), acc["i"].alias("stop"))
         return F.struct(
             (acc["i"] + 1).alias("i"),
-            (F.when(full, _total(kept)).otherwise(acc["chars"]) + size).alias("chars"),
-            F.concat(carried, F.array(size)).alias("open"),
+            (F.when(full, tail["lines"]).otherwise(acc["lines"]) + 1).alias("lines"),
+            (F.when(full, tail["chars"]).otherwise(acc["chars"]) + size).alias("chars"),
+            _append(kept, size).alias("open"),
             F.when(full, F.concat(acc["spans"], F.array(closed))).otherwise(acc["spans"]).alias("spans"),
         )
 
     def finish(acc: Column) -> Column:
-        last = F.struct((acc["i"] - F.size(acc["open"])).alias("first"), acc["i"].alias("stop"))
+        last = F.struct((acc["i"] - acc["lines"]).alias("first"), acc["i"].alias("stop"))
         return F.concat(acc["spans"], F.array(last))
 
     return F.aggregate(sizes, start, step, finish)

@@ -43,6 +43,11 @@ def test_spans_equal_prefix_sums(spark, texts, size, overlap):
             assert first <= stop
 
 
+def test_many_blank_lines_stay_cheap(spark):
+    texts = ["\n" * 20_000 + "a" * 100 + "\n" * 20_000 + "b" * 600]
+    assert spark_spans(spark, texts, 600, 150) == [[(0, 40_000), (0, 40_001)]]
+
+
 def test_chunks_of_a_long_line_and_of_no_text(spark):
     df = spark.createDataFrame([(1, "x" * 5000), (2, ""), (3, None)], "doc_id long, text string")
     got = {(r.doc_id, r.chunk_no): len(r.chunk_text) for r in retrieval.chunk_documents(df).collect()}
