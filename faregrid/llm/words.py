@@ -15,6 +15,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -52,6 +53,11 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # word index at which each row begins, plus the total
+    sums: np.ndarray  # hashed bytes before each byte
+
+    def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from a to b; the upper bits are the good ones."""
+        return (self.sums[b] - self.sums[a]) * _tables(len(self.data))[1][a]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -95,12 +101,15 @@ def pieces(at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         row = to
 
 
-def words_of(data: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
-    """Words of the rows that begin at ``at`` (one more entry than rows) in ``data``."""
+def words_of(data: np.ndarray, at: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
+    """Words of the rows that begin at ``at`` (one more entry than rows) in ``data``.
+
+    With ``letters``, words are runs of ASCII letters and digits and of bytes above ASCII.
+    """
     n = len(data)
     if lower:
         data = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
-    inside = ((data - np.uint8(9)) >= 5) & (data != 32)
+    inside = _LETTERS[data] if letters else ((data - np.uint8(9)) >= 5) & (data != 32)
     fresh = np.empty(n + 1, bool)
     fresh[:n] = ~inside
     fresh[n] = True
@@ -116,11 +125,11 @@ def words_of(data: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mixed((sums[end] - sums[start]) * down[start])
-    return Words(data, start, end, hashes, np.searchsorted(start, at))
+    return Words(data, start, end, hashes, np.searchsorted(start, at), sums)
 
 
-def scan(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def scan(texts: pa.Array, lower: bool = False, letters: bool = False) -> Iterator[tuple[int, int, Words]]:
     """Row range and words, piece by piece."""
     data, at = buffers(texts)
     for row, to in pieces(at):
-        yield row, to, words_of(data[at[row] : at[to]], at[row : to + 1] - at[row], lower)
+        yield row, to, words_of(data[at[row] : at[to]], at[row : to + 1] - at[row], lower, letters)
