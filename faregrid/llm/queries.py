@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faregrid.llm import exact_dedup, minhash, mixing, packing, toxicity
+from faregrid.llm import exact_dedup, minhash, mixing, packing, substrings, toxicity
 from faregrid.llm.common import table
 from faregrid.llm.registry import query
 
@@ -45,6 +45,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_repeated_passages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+    return kept.withColumnRenamed("kept", "kept_sha256")
+
+
 @query("op8_packed_sequences")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
