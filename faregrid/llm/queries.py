@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faregrid.llm import exact_dedup, minhash, mixing, packing, substrings, toxicity
+from faregrid.llm import ann, chat, exact_dedup, minhash, mixing, packing, substrings, toxicity
 from faregrid.llm.common import table
 from faregrid.llm.registry import query
 
@@ -45,12 +46,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_nearest_vectors")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op6_repeated_passages")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"), digests=True)
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 
+# The template's strings around a text, and what escaping adds to it.
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 WHEN 'system' THEN 13
+    ELSE 22 + length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?(?:INST|SYS|ROLE)\]|\[(?:ANS|SEP)\]')) END
+    + length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?(?:INST|SYS|ROLE)\]|\[(?:ANS|SEP)\]')) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+OP7_ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op7_chat_paths", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(OP7_ADDED, "conv_id long, turn long, role string, text string"))
+    texts = chat.conversations(chat.chosen_paths(chat.chained(turns)))
+    return chat.digests(texts).select(
+        F.nullif(F.col("tree"), F.lit(-(2**63))).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
 @query("op8_packed_sequences")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
