@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faregrid.llm import ann, chat, exact_dedup, minhash, mixing, packing, substrings, toxicity
+from faregrid.llm import ann, chat, exact_dedup, language, licenses, minhash, mixing, packing, substrings, toxicity
 from faregrid.llm.common import table
 from faregrid.llm.registry import query
 
@@ -51,6 +51,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op5_page_languages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query("op6_repeated_passages")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"), digests=True)
@@ -90,6 +95,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+@query("op9_license_notices")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
