@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 from faregrid.params import DEFAULTS, Params
 from faregrid.plans.positions import block_window, in_blocks, out_of_blocks, with_positions
 
-# Older weights than this do not change a double.
-NEGLIGIBLE = 1e-17
-# Largest exponent to which 1 / (1 - alpha) is raised inside one block.
+# Largest logarithm of a weight inside one block; doubles end near 709.
 MAX_LOG_WEIGHT = 600.0
 BLOCK_ROWS = 4096
 
 
-def ema_memory(alpha: float) -> int:
+def ema_memory(alpha: float, negligible: float = DEFAULTS.ema_negligible) -> int:
     """Rows after which an exponential weight is negligible."""
-    return ceil(log(NEGLIGIBLE) / log(1.0 - alpha))
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("the smoothing factor must lie between 0 and 1")
+    return ceil(log(negligible) / log(1.0 - alpha))
 
 
-def _block_size(alpha: float, halo: int) -> int:
-    size = min(BLOCK_ROWS, floor(MAX_LOG_WEIGHT / -log(1.0 - alpha)) - halo)
-    return max(size, halo)
+def ema_block(alpha: float, negligible: float = DEFAULTS.ema_negligible) -> int:
+    """Rows of a block, so that no weight in block and halo leaves the doubles."""
+    fits = floor(MAX_LOG_WEIGHT / -log(1.0 - alpha)) - ema_memory(alpha, negligible)
+    return max(1, min(max(BLOCK_ROWS, ema_memory(alpha, negligible)), fits))
 
 
 def lag_columns(target: str, n_lags: int, window) -> dict[str, Column]:
@@ -81,17 +82,26 @@ def add_features(
     ``previous`` names further columns whose value on the preceding row is
     added as ``prev_<name>``. One pass: positions, blocks, windows.
     """
-    halo = max(p.n_lags, max(p.rolling_windows, default=1), ema_memory(p.ema_alpha))
-    size = _block_size(p.ema_alpha, halo)
+    memory, room = ema_memory(p.ema_alpha, p.ema_negligible), ema_block(p.ema_alpha, p.ema_negligible)
+    look_back = max(p.n_lags, max(p.rolling_windows, default=1), 1)
     window = block_window([zone])
-    placed = in_blocks(with_positions(series, [zone], bins), size, halo)
-    columns = {
+
+    def averages(size: int, halo: int) -> dict[str, Column]:
+        return ema_columns(target, p.ema_alpha, p.n_lags, window, F.col("_block"), size, halo)
+
+    others = {
         **lag_columns(target, p.n_lags, window),
         **rolling_columns(target, p.rolling_windows, window),
-        **ema_columns(target, p.ema_alpha, p.n_lags, window, F.col("_block"), size, halo),
         **{f"prev_{name}": F.lag(name, 1).over(window) for name in previous},
     }
-    return out_of_blocks(placed.withColumns(columns))
+    placed = with_positions(series, [zone], bins)
+    # One pass where the look-back of the windows fits the averages' blocks, else one each.
+    halo = max(memory, look_back)
+    size = min(max(BLOCK_ROWS, halo), room + memory - halo)
+    if size >= halo:
+        return out_of_blocks(in_blocks(placed, size, halo).withColumns(others | averages(size, halo)))
+    averaged = out_of_blocks(in_blocks(placed, room, min(memory, room)).withColumns(averages(room, min(memory, room))))
+    return out_of_blocks(in_blocks(averaged, max(BLOCK_ROWS, look_back), look_back).withColumns(others))
 
 
 def main_features(series: DataFrame, p: Params = DEFAULTS, previous: Sequence[str] = ()) -> DataFrame:

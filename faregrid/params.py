@@ -33,6 +33,8 @@ class Params:
     n_lags: int = 5
     rolling_windows: tuple[int, ...] = (7, 30)
     ema_alpha: float = 0.3
+    # Weights below this do not change a double; older rows are left out.
+    ema_negligible: float = 1e-17
 
     # Chronological split.
     train_ratio: float = 0.7

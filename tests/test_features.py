@@ -121,3 +121,22 @@ def test_running_offsets(spark):
     got = [r.before for r in positions.running_offsets(df, "o", "s", width=64).orderBy("o").collect()]
     sizes = [s for _, s in rows]
     assert got == list(np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+
+
+@pytest.mark.parametrize(("alpha", "windows"), [(0.3, (144, 1008)), (0.3, (1008, 4320)), (0.01, (7,)), (0.99, (7, 300)), (0.5, ())])
+def test_long_windows_and_any_alpha(series, frame, alpha, windows):
+    p = replace(DEFAULTS, ema_alpha=alpha, rolling_windows=windows)
+    got = ordered(features.add_features(series, p=p))
+    demand = frame.groupby("cluster_id")["demand"]
+    want = demand.transform(lambda x: x.ewm(alpha=alpha, adjust=False).mean().shift(1))
+    np.testing.assert_allclose(got["exp_avg_recursive"], want, rtol=1e-9)
+    assert np.isfinite(got["exp_avg"][got["pos"] > 6]).all()
+    for w in windows:
+        want = demand.transform(lambda x, w=w: x.rolling(w, min_periods=1).mean().shift(1))
+        np.testing.assert_allclose(got[f"rolling_avg_{w}"], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0, -0.5, 2.0])
+def test_alpha_outside_its_range(series, alpha):
+    with pytest.raises(ValueError):
+        features.add_features(series, p=replace(DEFAULTS, ema_alpha=alpha))
