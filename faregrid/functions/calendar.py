@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,11 +46,12 @@ def calendar_columns(ts: Column, rush_hours: Sequence[int]) -> dict[str, Column]
 
 
 def elapsed_micros(start: Column, stop: Column) -> Column:
-    """Microseconds between two timestamps, as a subtraction of longs.
+    """Microseconds between two timestamps, whatever the session zone.
 
-    Naive timestamps are read in the session zone, which is UTC.
+    The difference of naive timestamps is that of their clock readings.
     """
-    return F.unix_micros(stop.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    seconds = (stop - start).cast("interval second").cast("decimal(18,6)")
+    return (seconds * F.lit(MICROS)).cast("long")
 
 
 def elapsed_minutes(start: Column, stop: Column) -> Column:
@@ -63,4 +65,10 @@ def bin_number(ts: Column, origin: Column, bin_seconds: int) -> Column:
 
 
 def month_start(ts: Column) -> Column:
-    return F.date_trunc("month", ts)
+    """Midnight of the first day of the month, as a naive timestamp."""
+    return F.trunc(ts, "month").cast("timestamp_ntz")
+
+
+def naive(moment: datetime) -> Column:
+    """A clock reading as a naive timestamp, whatever the session zone."""
+    return F.lit(moment.isoformat(" ")).cast("timestamp_ntz")

@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.functions.calendar import bin_number, calendar_columns, month_start
+from faregrid.functions.calendar import bin_number, calendar_columns, month_start, naive
 from faregrid.functions.economics import per_unit
 from faregrid.operators.holidays import add_holiday_flags
 from faregrid.operators.zones import attach_centres
@@ -35,15 +35,15 @@ def add_time_bin(
     Finding it is one more pass over ``ts`` and the filter columns; give
     ``origin`` where it is known.
     """
-    start = F.lit(origin) if origin is not None else _earliest(df, ts)
+    start = naive(origin) if origin is not None else _earliest(df, ts)
     return df.withColumn("time_bin", bin_number(F.col(ts), start, bin_seconds))
 
 
 def add_month_bin(
     df: DataFrame, bin_seconds: int, ts: str = "pickup_datetime", origin: datetime | None = None
 ) -> DataFrame:
-    """``pickup_bins`` counted from the start of the earliest month."""
-    start = F.lit(origin) if origin is not None else _earliest(df, ts)
+    """``pickup_bins`` counted from the start of the earliest month; see above for ``origin``."""
+    start = naive(origin) if origin is not None else _earliest(df, ts)
     return df.withColumn("pickup_bins", bin_number(F.col(ts), month_start(start), bin_seconds))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -26,7 +27,8 @@ ZONE_AREAS = (
     (178, 236, 40.700, 30, 0.006, -73.800, 22, 0.005),
     (237, 263, 40.580, 12, 0.007, -74.140, 8, 0.006),
 )
-MAX_CENTRES = 1_000
+# Centres compared in generated code; it grows with them.
+UNROLLED_CENTRES = 40
 
 
 def assign_zone(df: DataFrame, column: str = "PULocationID") -> DataFrame:
@@ -62,17 +64,31 @@ def fit_centres(df: DataFrame, p: Params = DEFAULTS) -> list[tuple[int, float, f
 def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, float]]) -> DataFrame:
     """Add ``pickup_cluster``, the id of the nearest centre (lower id on a tie).
 
-    The centres are a small parameter, written into the expression: no join,
-    and the comparison is compiled with the rest of the stage.
+    The centres are a small parameter, written into the expression: no join. Some tens of them are
+    compared in generated code; more are folded as a constant array, at a cost that grows evenly.
     """
-    if not 0 < len(centres) <= MAX_CENTRES:
-        raise ValueError(f"expected 1 to {MAX_CENTRES} centres")
+    if not centres:
+        raise ValueError("expected at least one centre")
     lat, lon = F.col("pickup_latitude"), F.col("pickup_longitude")
-    scored = [
-        F.struct(((lat - c_lat) * (lat - c_lat) + (lon - c_lon) * (lon - c_lon)).alias("d"), F.lit(int(i)).alias("id"))
-        for i, c_lat, c_lon in centres
-    ]
-    nearest = F.array_min(F.array(*scored))["id"]
+
+    def squared(c_lat, c_lon):
+        return (lat - c_lat) * (lat - c_lat) + (lon - c_lon) * (lon - c_lon)
+
+    if len(centres) <= UNROLLED_CENTRES:
+        scored = [F.struct(squared(a, b).alias("d"), F.lit(int(i)).alias("id")) for i, a, b in centres]
+        nearest = F.array_min(F.array(*scored))["id"]
+    else:
+        table = F.from_json(
+            F.lit(json.dumps([{"id": int(i), "a": float(a), "b": float(b)} for i, a, b in sorted(centres)])),
+            "array<struct<id:int,a:double,b:double>>",
+        )
+        none = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("id"))
+
+        def closer(best, c):
+            d = squared(c["a"], c["b"])
+            return F.when(d < best["d"], F.struct(d.alias("d"), c["id"].alias("id"))).otherwise(best)
+
+        nearest = F.aggregate(table, none, closer)["id"]
     return df.withColumn("pickup_cluster", F.when(lat.isNotNull() & lon.isNotNull(), nearest))
 
 
@@ -84,10 +100,8 @@ def centre_table(df: DataFrame, centres: Sequence[tuple[int, float, float]]) ->
 
 
 def attach_centres(df: DataFrame, centres: Sequence[tuple[int, float, float]]) -> DataFrame:
-    """Coordinates of the assigned centre; the centres are few, so broadcast."""
-    if len(centres) > MAX_CENTRES:
-        raise ValueError(f"expected at most {MAX_CENTRES} centres")
-    return df.join(F.broadcast(centre_table(df, centres)), "pickup_cluster", "left")
+    """Coordinates of the assigned centre; the join strategy follows the number of centres."""
+    return df.join(centre_table(df, centres), "pickup_cluster", "left")
 
 
 def add_zone_coordinates(df: DataFrame, zone: str = "cluster_id") -> DataFrame:

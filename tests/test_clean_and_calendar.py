@@ -1,9 +1,10 @@
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from faregrid.functions.calendar import calendar_columns, elapsed_minutes
+from faregrid.functions.calendar import bin_number, calendar_columns, elapsed_minutes, month_start, naive
 from faregrid.operators import clean, holidays, series, zones
 from faregrid.params import DEFAULTS
 from faregrid.sources import trips
@@ -149,9 +150,18 @@ def test_nearest_centre_tie_and_missing_point(spark):
     assert [r.pickup_cluster for r in got] == [2, None, 9]
 
 
-def test_too_many_centres(spark):
+@pytest.mark.parametrize("n", [40, 41, 1500])
+def test_any_number_of_centres(spark, n):
+    rng = random.Random(n)
+    centres = [(i, rng.random(), rng.random()) for i in range(n)] + [(n, 0.5, 0.5), (n + 1, 0.5, 0.5)]
+    points = [(rng.random(), rng.random()) for _ in range(50)] + [(0.5, 0.5), (None, 0.1)]
+    df = spark.createDataFrame(points, "pickup_latitude double, pickup_longitude double")
+    got = [r.pickup_cluster for r in zones.assign_nearest_centre(df, centres).collect()]
+    want = [min((((a - x) * (a - x) + (b - y) * (b - y)), i) for i, x, y in centres)[1] if a is not None else None for a, b in points]
+    assert got == want
     with pytest.raises(ValueError):
-        zones.assign_nearest_centre(spark.range(1), [(i, 0.0, 0.0) for i in range(zones.MAX_CENTRES + 1)])
+        zones.assign_nearest_centre(df, [])
+
 
 
 def test_zone_coordinates_from_a_table(spark):
@@ -159,3 +169,19 @@ def test_zone_coordinates_from_a_table(spark):
     table = spark.createDataFrame([(1, 10.0, 20.0)], "zone_id int, lat double, lon double")
     got = {r.cluster_id: (r.lat, r.lon) for r in zones.join_zone_coordinates(df, table).collect()}
     assert got == {1: (10.0, 20.0), 2: (zones.DEFAULT_LATITUDE, zones.DEFAULT_LONGITUDE)}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_durations_and_bins_ignore_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("select timestamp_ntz'2024-03-10 01:30:00' a, timestamp_ntz'2024-03-10 03:10:00' b")
+        row = df.select(
+            elapsed_minutes(F.col("a"), F.col("b")).alias("m"),
+            bin_number(F.col("b"), month_start(F.col("a")), 600).alias("bin"),
+            bin_number(F.col("b"), naive(datetime(2024, 3, 10)), 600).alias("day_bin"),
+        ).first()
+        assert tuple(row) == (100.0, 9 * 144 + 19, 19)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
