@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from faregrid.functions.economics import pct_change, per_unit
 from faregrid.plans.positions import with_positions
+from faregrid.plans.thresholds import attach
+from faregrid.storage import staged
 
 
 def price_per_trip() -> Column:
@@ -52,8 +54,9 @@ def zone_change(df: DataFrame) -> DataFrame:
 def zone_drilldown(df: DataFrame) -> DataFrame:
     """Best and worst period, variation of revenue and price, price range.
 
-    The best and worst bins come from the first aggregation of the rows; only
-    those two rows per zone are then given a period number.
+    One aggregation finds the first bins with the highest and the lowest revenue of each zone; a
+    period is the number of the zone's rows up to that bin, counted in a second one. Rows meet the
+    per-zone values by :func:`attach` and are never shuffled on the zone.
     """
     rows = df.where(F.col("cluster_id").isNotNull()).withColumn("price", price_per_trip())
     revenue = F.col("revenue_pred")
@@ -67,35 +70,29 @@ def zone_drilldown(df: DataFrame) -> DataFrame:
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         (F.max("price") - F.min("price")).alias("price_range"),
+        F.max(F.struct(revenue.alias("revenue"), (-F.col("time_bin")).alias("back"))).alias("_high"),
+        F.min(F.struct(revenue.alias("revenue"), F.col("time_bin").alias("bin"))).alias("_low"),
     )
-    periods = add_periods(df.select("cluster_id", "time_bin", "revenue_pred", "demand_pred"))
-    edges = periods.join(cards.select("cluster_id", "highest_revenue", "lowest_revenue"), "cluster_id")
-    found = edges.groupBy("cluster_id").agg(
-        F.min(F.when(F.col("revenue_pred") == F.col("highest_revenue"), F.col("period"))).alias("highest_period"),
-        F.min(F.when(F.col("revenue_pred") == F.col("lowest_revenue"), F.col("period"))).alias("lowest_period"),
+    cards = staged(cards, "zone-cards")
+    ends = cards.select("cluster_id", (-F.col("_high")["back"]).alias("_high"), F.col("_low")["bin"].alias("_low"))
+    found = attach(rows.select("cluster_id", "time_bin"), ends, ["cluster_id"]).groupBy("cluster_id").agg(
+        F.count_if(F.col("time_bin") <= F.col("_high")).alias("highest_period"),
+        F.count_if(F.col("time_bin") <= F.col("_low")).alias("lowest_period"),
     )
-    return cards.join(found, "cluster_id")
+    return cards.drop("_high", "_low").join(found, "cluster_id")
 
 
 def insight_cards(df: DataFrame) -> DataFrame:
-    """Means, row count and peak hour of every zone.
+    """Means, row count and peak hour of every zone, in one aggregation.
 
     The peak hour is that of the row with most revenue, the earliest on a tie.
     """
     rows = df.where(F.col("cluster_id").isNotNull())
-    per_hour_bin = rows.groupBy("cluster_id").agg(
+    return rows.groupBy("cluster_id").agg(
         F.avg("demand_pred").alias("avg_demand"),
         F.avg("revenue_pred").alias("avg_revenue"),
         F.avg("profit_pred").alias("avg_profit"),
         F.avg("margin_pred").alias("avg_margin"),
         F.count(F.lit(1)).alias("total_predictions"),
-        F.max("revenue_pred").alias("_peak"),
+        F.max_by("hour", F.struct(F.col("revenue_pred"), -F.col("time_bin"))).alias("peak_hour"),
     )
-    peaks = (
-        rows.select("cluster_id", "revenue_pred", "time_bin", "hour")
-        .join(per_hour_bin.select("cluster_id", "_peak"), "cluster_id")
-        .where(F.col("revenue_pred") == F.col("_peak"))
-        .groupBy("cluster_id")
-        .agg(F.min_by("hour", "time_bin").alias("peak_hour"))
-    )
-    return per_hour_bin.drop("_peak").join(peaks, "cluster_id", "left")

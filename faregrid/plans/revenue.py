@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,13 @@ from faregrid.params import DEFAULTS, Params
 from faregrid.storage import staged
 
 
-def main_series(trips: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Clean, zone, bin and aggregate trips."""
+def main_series(trips: DataFrame, p: Params = DEFAULTS, origin: datetime | None = None) -> DataFrame:
+    """Clean, zone, bin and aggregate trips.
+
+    Bins count from the earliest clean trip, found by a pass of its own, or from ``origin``.
+    """
     cleaned = assign_zone(clean_main(trips, p))
-    return zone_bin_series(add_time_bin(cleaned, p.bin_seconds), p)
+    return zone_bin_series(add_time_bin(cleaned, p.bin_seconds, origin=origin), p)
 
 
 def naive_predictions(series: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -37,10 +41,13 @@ def naive_predictions(series: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def library_cells_from_trips(
-    trips: DataFrame, centres: Sequence[tuple[int, float, float]], p: Params = DEFAULTS
+    trips: DataFrame,
+    centres: Sequence[tuple[int, float, float]],
+    p: Params = DEFAULTS,
+    origin: datetime | None = None,
 ) -> DataFrame:
     """Clean by the library rules, bin by month, assign centres, aggregate."""
-    binned = add_month_bin(clean_library(trips, p), p.bin_seconds)
+    binned = add_month_bin(clean_library(trips, p), p.bin_seconds, origin=origin)
     return library_cells(assign_nearest_centre(binned, centres))
 
 
@@ -59,5 +66,5 @@ def monitoring_tables(predictions: DataFrame, p: Params = DEFAULTS) -> tuple[Dat
     """
     zones = staged(zone_statistics(predictions), "zone-statistics")
     feed = staged(anomaly_feed(zones, p), "anomaly-feed")
-    actions = proposed_actions(feed.where(F.col("anomaly_no") <= p.feed_size), predictions, p)
+    actions = proposed_actions(feed.where(F.col("anomaly_no") <= p.feed_size), zones, p)
     return feed, actions, cycle_report(feed, actions, zones)

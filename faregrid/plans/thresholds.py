@@ -7,16 +7,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faregrid.storage import staged
+
+
+# Rows of per-group values that may go to every executor, some MB; more are joined by shuffle.
+BROADCAST_GROUPS = 50_000
+# Parts a bracket of values is cut into before its ranks are placed.
+CELLS = 1024
+
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the columns of ``stats`` to every row of ``df``.
 
-    Without ``by``, ``stats`` has one row and becomes a scalar subquery: no
-    join, and a filter on its values still reaches the scan. With ``by`` it is
-    an equi-join whose strategy is left to adaptive execution.
+    Without ``by``, ``stats`` has one row and becomes a scalar subquery: no join, and a filter on
+    its values still reaches the scan. With ``by`` it has one row per group; it is written and
+    counted, and up to BROADCAST_GROUPS rows go to the executors, so that the rows of ``df`` are
+    not shuffled on the group.
     """
     if by:
-        return df.join(stats, list(by), "left")
+        stats = staged(stats, "groups")
+        side = F.broadcast(stats) if stats.count() <= BROADCAST_GROUPS else stats
+        return df.join(side, list(by), "left")
     one = stats.select(F.struct(*stats.columns).alias("one")).scalar()
     return df.withColumn("_one", one).select(*df.columns, "_one.*")
 
@@ -32,9 +43,10 @@ def exact_quantiles(
     ``wanted`` maps result names to (column, probability). ``percentile`` keeps
     every distinct value of a group in one buffer. Here a sketch gives a narrow
     bracket around each wanted rank, a second pass counts what lies below it,
-    and only rows inside a bracket are sorted. Where the sketch missed, the
-    bracket widens to the minimum or maximum, so the result does not depend on
-    the sketch's error. Three passes serve all wanted quantiles.
+    and only rows inside a bracket are kept, as counts of values. A bracket is cut
+    into CELLS ranges whose totals say where the ranks lie, so only those cells
+    are sorted. Where the sketch missed, the bracket widens to the minimum or maximum, so the
+    result does not depend on the sketch's error. Three passes serve all wanted quantiles.
     """
     by, probes = list(by), list(wanted.values())
     columns = list(dict.fromkeys(column for column, _ in probes))
@@ -91,8 +103,21 @@ def exact_quantiles(
         .groupBy(*by, F.col("h.p").alias("p"), F.col("h.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    running = Window.partitionBy(*by, "p.probe").orderBy("v")
-    placed = values.withColumn("stop", F.col("p.before") + F.sum("c").over(running))
+    share = "nanvl((v - p.low) / (p.high - p.low), 0D)"
+    values = values.withColumn("cell", F.expr(f"if(p.high > p.low, cast(least(floor({share} * {CELLS}), {CELLS - 1}) as int), 0)"))
+    values = staged(values, "bracket-values")
+    cells = values.groupBy(*by, F.col("p.probe").alias("probe"), "cell").agg(F.sum("c").alias("size"), F.first("p").alias("p"))
+    upto = F.sum("size").over(Window.partitionBy(*by, "probe").orderBy("cell"))  # CELLS rows a probe at most
+    cells = cells.withColumn("below", F.col("p.before") + upto - F.col("size"))
+    holds = " or ".join(f"(below <= p.{rank} and p.{rank} < below + size)" for rank in ("first", "last"))
+    cells = cells.where(holds).select(*by, "probe", "cell", "below")
+    running = Window.partitionBy(*by, "p.probe", "cell").orderBy("v")
+    same = (F.col("v.p.probe") == F.col("k.probe")) & (F.col("v.cell") == F.col("k.cell"))
+    for b in by:
+        same = same & F.col(f"v.`{b}`").eqNullSafe(F.col(f"k.`{b}`"))
+    found = values.alias("v").join(F.broadcast(cells).alias("k") if not by else cells.alias("k"), same)
+    placed = found.select(*[F.col(f"v.`{b}`").alias(b) for b in by], "p", "v.cell", F.col("v.v").alias("v"), "c", "below")
+    placed = placed.withColumn("stop", F.col("below") + F.sum("c").over(running))
 
     picks = []
     for i in range(len(probes)):

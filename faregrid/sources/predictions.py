@@ -32,10 +32,11 @@ def write_predictions(
     """Write predictions as Parquet or CSV, optionally partitioned.
 
     With partition columns the rows are first brought together by them, so a
-    partition folder gets few files rather than one per task.
+    partition folder gets few files rather than one per task. It is a rebalance:
+    adaptive execution splits the rows of a large partition value over tasks.
     """
     if partition_by:
-        df = df.repartition(*partition_by)
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

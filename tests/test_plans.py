@@ -4,7 +4,7 @@ import pytest
 
 from __spark_entry__ import queries
 from bindings import tables as t
-from faregrid.operators import clean, recommend
+from faregrid.operators import clean, drilldown, metrics, recommend
 from faregrid.plans import revenue
 from tests.conftest import SMALL
 
@@ -33,7 +33,7 @@ def test_bounds_reach_the_scan(spark):
 def test_duration_is_computed_once(spark):
     df = clean.clean_main(t.trips(spark, SMALL), t.PARAMS)
     optimized = df._jdf.queryExecution().optimizedPlan().toString()
-    assert optimized.count("unix_micros") == 2
+    assert optimized.count("interval second") == 1
 
 
 def test_series_reads_only_what_it_needs(spark):
@@ -47,3 +47,19 @@ def test_series_reads_only_what_it_needs(spark):
 def test_top_k_is_not_a_full_sort(spark):
     plan = plan_of(recommend.weekend_incentive(t.predictions(spark, SMALL)))
     assert "TakeOrderedAndProject" in plan
+
+
+def test_rows_are_not_shuffled_on_groups(spark):
+    rows = t.predictions(spark, SMALL)
+    for df in (
+        metrics.full_metrics(rows, "demand", "demand_pred", by=["is_weekend"]),
+        metrics.prediction_intervals(rows, "revenue_pred", ["cluster_id"]),
+        drilldown.zone_drilldown(rows),
+        drilldown.insight_cards(rows),
+    ):
+        assert "SortMergeJoin [is_weekend" not in plan_of(df) and "Window [sum(c" not in plan_of(df).split("cell")[0]
+
+
+def test_a_partitioned_sink_may_split_a_value(spark):
+    plan = plan_of(t.predictions(spark, SMALL).hint("rebalance", "day_of_week"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
