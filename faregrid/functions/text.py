@@ -1,8 +1,10 @@
-"""Text expressions: chunk spans, clean-up and line extraction."""
+"""Chunk spans, and text expressions for clean-up and line extraction."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,75 +29,22 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def _tail(runs: Column, overlap: int) -> Column:
-    """The last runs that are repeated: added while below ``overlap`` characters."""
-    start = F.struct(F.lit(0).alias("runs"), F.lit(0).alias("lines"), F.lit(0).alias("chars"))
+def chunk_spans(lines: Sequence[str], chunk_size: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans (first line, last line + 1) of the chunks of a text's lines.
 
-    def take(acc: Column, run: Column) -> Column:
-        more = acc["chars"] < overlap
-        return F.when(
-            more,
-            F.struct(
-                (acc["runs"] + 1).alias("runs"),
-                (acc["lines"] + run["lines"]).alias("lines"),
-                (acc["chars"] + run["size"]).alias("chars"),
-            ),
-        ).otherwise(acc)
-
-    return F.aggregate(F.reverse(runs), start, take)
-
-
-def _append(runs: Column, size: Column) -> Column:
-    """Add a line; blank lines in a row are one run, so runs stay few."""
-    last = F.element_at(runs, -1)
-    joins = (size == 0) & (F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["size"] == 0)
-    longer = F.struct(F.lit(0).alias("size"), (last["lines"] + 1).alias("lines"))
-    single = F.struct(size.alias("size"), F.lit(1).alias("lines"))
-    return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(
-        F.concat(runs, F.array(single))
-    )
-
-
-def chunk_spans(lines: Column, chunk_size: int, overlap: int) -> Column:
-    """Spans (first line, last line + 1) of the chunks of a line array.
-
-    A fold over the lines: a line that would exceed ``chunk_size`` closes the
-    open chunk, whose last lines are repeated at the start of the next. Only
-    the open chunk's line sizes are carried, as runs of lines; the text itself
-    is cut afterwards.
+    A line that would exceed ``chunk_size`` closes the open chunk; its last lines, up to the first
+    that brings them to ``overlap`` characters, are repeated at the start of the next, which
+    takes the new line whatever its size. Each span is found by bisection on running lengths.
     """
-    sizes = F.transform(lines, lambda line: F.length(line))
-    start = F.struct(
-        F.lit(0).alias("i"),
-        F.lit(0).alias("lines"),
-        F.lit(0).alias("chars"),
-        F.array().cast("array<struct<size:int,lines:int>>").alias("open"),
-        F.array().cast("array<struct<first:int,stop:int>>").alias("spans"),
-    )
-
-    def step(acc: Column, size: Column) -> Column:
-        full = (acc["chars"] + size > chunk_size) & (acc["lines"] > 0)
-        tail = _tail(acc["open"], overlap)
-        n = F.size(acc["open"])
-        kept = F.when(full, F.slice(acc["open"], n - tail["runs"] + 1, n)).otherwise(acc["open"])
-        closed = F.struct((acc["i"] - acc["lines"]).alias("first"), acc["i"].alias("stop"))
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            (F.when(full, tail["lines"]).otherwise(acc["lines"]) + 1).alias("lines"),
-            (F.when(full, tail["chars"]).otherwise(acc["chars"]) + size).alias("chars"),
-            _append(kept, size).alias("open"),
-            F.when(full, F.concat(acc["spans"], F.array(closed))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    def finish(acc: Column) -> Column:
-        last = F.struct((acc["i"] - acc["lines"]).alias("first"), acc["i"].alias("stop"))
-        return F.concat(acc["spans"], F.array(last))
-
-    return F.aggregate(sizes, start, step, finish)
-
-
-def span_text(lines: Column, span: Column) -> Column:
-    return F.array_join(F.slice(lines, span["first"] + 1, span["stop"] - span["first"]), "\n")
+    total = [0, *accumulate(map(len, lines))]
+    spans, first, least, n = [], 0, 1, len(lines)
+    while True:
+        stop = bisect_right(total, total[first] + chunk_size, least + 1, n + 1) - 1 if least < n else n
+        spans.append((first, stop))
+        if stop >= n:
+            return spans
+        repeated = bisect_right(total, total[stop] - overlap, first, stop) - 1
+        first, least = max(first, repeated), stop + 1
 
 
 def clean_chunk(text: Column) -> Column:

@@ -6,31 +6,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from faregrid.functions.text import action_lines, chunk_spans, clean_chunk, span_text, strip
+from faregrid.functions.text import action_lines, chunk_spans, clean_chunk, strip
 from faregrid.params import DEFAULTS, Params
 from faregrid.plans.columns import with_computed
+from faregrid.storage import staged
 
-# Query vectors held by every task at once; larger batches take more passes.
-MAX_QUERIES = 4_096
-# Similarities are compared to nine decimals, so equal vectors tie.
-DECIMALS = 9
+# Query vectors of a block, and the bytes of all blocks that may go to every task.
+BLOCK_QUERIES = 256
+BROADCAST_BYTES = 32 << 20
+# Parts of the base that each block of queries meets where blocks are joined by shuffle.
+BASE_PARTS = 64
+BASE_ROWS = 4096
+# Rounding of a matrix product; pairs this close are measured again, each the same way.
+MARGIN = 1e-9
 
 
 def chunk_documents(df: DataFrame, key: str = "doc_id", text: str = "text", p: Params = DEFAULTS) -> DataFrame:
-    """Overlapping chunks of whole lines: key, chunk number and chunk text."""
-    lines = df.where(F.col(text).isNotNull()).select(key, F.split(F.col(text), "\n").alias("_lines"))
-    spans = lines.select(key, "_lines", F.posexplode(chunk_spans(F.col("_lines"), p.chunk_size, p.chunk_overlap)).alias("chunk_no", "_span"))
-    return spans.select(
-        key,
-        "chunk_no",
-        F.col("_span.first").alias("first_line"),
-        F.col("_span.stop").alias("stop_line"),
-        span_text(F.col("_lines"), F.col("_span")).alias("chunk_text"),
-    )
+    """Overlapping chunks of whole lines: key, chunk number and chunk text.
+
+    Linear in the lines of a document; a document is one row and stays in one task.
+    """
+    texts = df.where(F.col(text).isNotNull()).select(key, text)
+    size, overlap = p.chunk_size, p.chunk_overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "chunk_no", "first_line", "stop_line", "chunk_text"]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lines = batch.column(1)[row].as_py().split("\n")
+                spans = chunk_spans(lines, size, overlap)
+                numbers = [pa.array(x, pa.int32()) for x in (range(len(spans)), *zip(*spans))]
+                said = pa.array(["\n".join(lines[a:b]) for a, b in spans], pa.string())
+                keys = batch.column(0).take(pa.array([row] * len(spans)))
+                yield pa.RecordBatch.from_arrays([keys, *numbers, said], names)
+
+    kind = dict(texts.dtypes)[key]
+    return texts.mapInArrow(run, f"`{key}` {kind}, chunk_no int, first_line int, stop_line int, chunk_text string")
 
 
 def clean_chunks(chunks: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -40,7 +54,7 @@ def clean_chunks(chunks: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def repair_vectors(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
+def repair_vectors(df: DataFrame, dim: int | Column, vector: str = "embedding") -> DataFrame:
     """Zero vector where the embedding is missing, short or not a number."""
     v = F.col(vector)
     valid = v.isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
@@ -55,74 +69,68 @@ def top_similar(
     base_id: str = "vec_id",
     query_id: str = "query_id",
     vector: str = "embedding",
-    max_queries: int = MAX_QUERIES,
 ) -> DataFrame:
     """The k base vectors with the largest dot product for each query.
 
-    Each task keeps k candidates per query while it reads its Arrow batches,
-    so what is shuffled is k rows per query and task. The query batch is sent
-    to the tasks, up to ``max_queries`` vectors at a time; a larger batch is
-    cut by a hash of its id and takes one pass over the base per part. Missing
-    and malformed vectors count as zero vectors.
+    Both sides are packed to blocks, and each block of queries meets each block of the base once, in
+    one pass. Query blocks of up to BROADCAST_BYTES go to the tasks; more are joined by shuffle, each
+    with BASE_PARTS parts of the base. A pair of blocks gives k rows per query. Missing and
+    malformed vectors count as zero vectors.
     """
-    queries = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("vector"))
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    base = repair_vectors(base.select(base_id, vector), max(dim or 1, 1), vector)
-    queries = repair_vectors(queries, max(dim or 1, 1), "vector")
-    parts = max(1, -(-2 * n // max_queries)) if n > max_queries else 1
-    out = None
-    for part in range(parts):
-        chosen = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        found = _search(base, chosen, k, base_id, vector)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _search(base: DataFrame, queries: DataFrame, k: int, base_id: str, vector: str) -> DataFrame:
-    batch = queries.collect()
-    ids = np.array([row["query_id"] for row in batch], dtype=np.int64)
-    matrix = np.array([row["vector"] for row in batch], dtype=np.float64)
-    sent = base.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_matrix = sent.value
-        if not len(query_ids):
-            return
-        best_ids = np.empty((len(query_ids), 0), dtype=np.int64)
-        best_scores = np.empty((len(query_ids), 0))
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            column = rows.column(1)
-            vectors = np.asarray(column.flatten(), dtype=np.float64).reshape(rows.num_rows, -1)
-            scores = np.round(query_matrix @ vectors.T, DECIMALS)
-            row_ids = np.broadcast_to(np.asarray(rows.column(0), dtype=np.int64), scores.shape)
-            best_ids = np.concatenate([best_ids, row_ids], axis=1)
-            best_scores = np.concatenate([best_scores, scores], axis=1)
-            order = np.lexsort((best_ids, -best_scores), axis=1)[:, :k]
-            best_ids = np.take_along_axis(best_ids, order, axis=1)
-            best_scores = np.take_along_axis(best_scores, order, axis=1)
-        width = best_ids.shape[1]
-        if width:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids, width)),
-                    pa.array(best_ids.reshape(-1)),
-                    pa.array(best_scores.reshape(-1)),
-                ],
-                names=["query_id", "base_id", "similarity"],
-            )
-
-    schema = T.StructType(
-        [
-            T.StructField("query_id", T.LongType()),
-            T.StructField("base_id", T.LongType()),
-            T.StructField("similarity", T.DoubleType()),
-        ]
+    queries = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    base = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    queries = staged(queries, "queries")
+    dims = queries.agg(F.greatest(F.max(F.size("vector")), F.lit(1)).alias("dims")).scalar()
+    queries = repair_vectors(queries, dims, "vector")
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    pack = [F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("query_vectors")]
+    packed = staged(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(*pack), "query-blocks")
+    repaired = repair_vectors(base, dims, "vector").mapInArrow(_packed, "ids array<long>, vectors array<double>")
+    met = repaired.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    size = packed.agg(F.sum(F.size("query_vectors").cast("long") * 8)).scalar()
+    small = not packed.agg(F.lit(1).alias("x")).where(size <= BROADCAST_BYTES).isEmpty()
+    if small:
+        pairs = met.join(F.broadcast(packed), "block")
+    else:
+        part = F.pmod(F.xxhash64("ids"), F.lit(BASE_PARTS)).alias("part")
+        spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASE_PARTS - 1).cast("long"))))
+        pairs = met.withColumn("part", part).join(spread, ["block", "part"])
+    found = pairs.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(
+        _best(k), "query_id long, base_id long, similarity double"
     )
-    local = base.select(F.col(base_id).cast("bigint"), F.col(vector)).mapInArrow(scan, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the base, a row each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BASE_ROWS):
+            ids, vectors = (batch.column(i).slice(at, BASE_ROWS) for i in (0, 1))
+            columns = [pa.array([ids.to_numpy(zero_copy_only=False)]), pa.array([vectors.flatten().to_numpy(zero_copy_only=False)])]
+            yield pa.RecordBatch.from_arrays(columns, ["ids", "vectors"])
+
+
+def _best(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, flat, query_ids, query_flat = (batch.column(i).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for i in range(4))
+                if not len(ids) or not len(query_ids):
+                    continue
+                vectors, asked = flat.reshape(len(ids), -1), query_flat.reshape(len(query_ids), -1)
+                scores = asked @ vectors.T
+                at = max(len(ids) - k, 0)
+                least = np.partition(scores, at, axis=1)[:, at] - MARGIN
+                out = []
+                for query, own, line, bound in zip(query_ids, asked, scores, least):
+                    near = np.flatnonzero(line >= bound)
+                    exact = (vectors[near] * own).sum(axis=1)
+                    best = np.lexsort((ids[near], -exact))[:k]
+                    out.append((np.full(len(best), query), ids[near][best], exact[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "base_id", "similarity"])
+
+    return run
 
 
 def assemble_context(ranked: DataFrame, text: str = "chunk_text") -> DataFrame:
