@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Feature columns in training order.
@@ -84,13 +84,25 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop("_features")
 
 
+def tree_count(model: PipelineModel) -> int:
+    """Trees the training kept."""
+    return int(model.stages[-1].getNumTrees)
+
+
 def fit_stacked(
-    train: DataFrame, demand: BoostParams = DEMAND, revenue: BoostParams = REVENUE
+    train: DataFrame, demand: BoostParams = DEMAND, revenue: BoostParams = REVENUE, validation: Column | None = None
 ) -> tuple[PipelineModel, PipelineModel]:
-    """Demand model, then a revenue model that also sees the predicted demand."""
-    first = fit_regressor(train, MAIN_FEATURES, "demand", "demand_pred", demand)
+    """Demand model, then a revenue model that also sees the predicted demand.
+
+    Rows that fulfil ``validation`` are not trained on; they end the training early.
+    """
+    held = None
+    if validation is not None:
+        held = "_held_out"
+        train = train.withColumn(held, validation)
+    first = fit_regressor(train, MAIN_FEATURES, "demand", "demand_pred", demand, held)
     second = fit_regressor(
-        score(first, train), [*MAIN_FEATURES, "demand_pred"], "revenue_total", "revenue_pred", revenue
+        score(first, train), [*MAIN_FEATURES, "demand_pred"], "revenue_total", "revenue_pred", revenue, held
     )
     return first, second
 

@@ -3,71 +3,98 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from faregrid.functions.calendar import calendar_columns, elapsed_micros, naive
+from faregrid.operators.clean import clean_main
+from faregrid.operators.zones import assign_zone
 from faregrid.params import DEFAULTS, Params
 from faregrid.plans.revenue import monitoring_tables
 
+CELL = ("cluster_id", "bin_start")
+
 
 def windowed_series(trips: DataFrame, p: Params = DEFAULTS, late: str = "10 minutes") -> DataFrame:
-    """Demand and revenue per zone and epoch-aligned bin.
+    """The columns of the batch series per zone and epoch-aligned bin, from raw trips.
 
-    Works on streams and on tables. On a stream in append mode a bin is
-    emitted once the watermark has passed its end; state is one row per open
-    (bin, zone).
+    Works on streams and on tables. Trips are cleaned first. On a stream the state is one row per
+    open (bin, zone); a bin is open until the watermark has passed its end.
     """
-    stamped = trips.withColumn("_ts", F.col("pickup_datetime").cast("timestamp"))
-    return (
-        stamped.withWatermark("_ts", late)
-        .groupBy(F.window("_ts", f"{p.bin_seconds} seconds").alias("w"), "cluster_id")
+    # The event time is the clock reading as an instant, whatever the session zone.
+    instant = F.timestamp_micros(elapsed_micros(naive(datetime(1970, 1, 1)), F.col("pickup_datetime")))
+    stamped = assign_zone(clean_main(trips, p)).where(F.col("cluster_id").isNotNull()).withColumn("_instant", instant)
+    cells = (
+        stamped.withWatermark("_instant", late)
+        .groupBy(F.window("_instant", f"{p.bin_seconds} seconds").alias("w"), "cluster_id")
         .agg(
             F.count("VendorID").alias("demand"),
             F.sum("total_amount").alias("revenue_total"),
+            F.avg("total_amount").alias("avg_fare"),
             F.avg("trip_distance").alias("avg_distance"),
-        )
-        .select(
-            "cluster_id",
-            F.unix_seconds("w.start").alias("bin_start"),
-            F.unix_seconds("w.end").alias("bin_end"),
-            "demand",
-            "revenue_total",
-            "avg_distance",
+            F.avg("trip_duration_minutes").alias("avg_duration"),
+            F.min("pickup_datetime").alias("_first"),
         )
     )
+    parts = calendar_columns(F.col("_first"), p.rush_hours)
+    flags = {name: parts[name] for name in ("hour", "day_of_week", "is_weekend", "is_rush_hour")}
+    edges = {"bin_start": F.unix_seconds("w.start"), "bin_end": F.unix_seconds("w.end")}
+    return cells.withColumns(flags | edges).drop("w", "_first")
 
 
 def start_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the stream to Parquet, taking what is available and stopping."""
+    """Take what is available and stop, writing the cells each batch has changed.
+
+    Open bins are written too, so nothing waits for a watermark that no further trip moves. A
+    batch writes its own folder, so one that is repeated overwrites what it wrote before.
+    """
+
+    def write(cells: DataFrame, batch_id: int) -> None:
+        cells.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def current_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The latest state of each cell that :func:`start_to_table` has written."""
+    written = spark.read.parquet(path)
+    rest = [c for c in written.columns if c not in (*CELL, "batch")]
+    latest = written.groupBy(*CELL).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return latest.select(*CELL, "last.*")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had closed their bin, in the recent batches."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for x in query.recentProgress for s in x["stateOperators"])
+
+
 def start_monitoring(
     arrivals: DataFrame,
-    current_predictions: Callable[[], DataFrame],
+    update_predictions: Callable[[DataFrame, int], DataFrame],
     report_path: str,
     checkpoint: str,
     p: Params = DEFAULTS,
     available_now: bool = False,
     every: str = "60 minutes",
 ) -> StreamingQuery:
-    """Run the monitoring cycle on the current predictions at each trigger.
+    """Take each trigger's arrivals into the predictions and run the monitoring cycle on them.
 
-    A batch id names its own output folder, so a repeated batch overwrites
+    ``update_predictions`` gets the arrivals of the batch and its id and returns the predictions
+    that are current with them. A batch id names its own output folder, so a repeated batch overwrites
     what it wrote before.
     """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        feed, actions, report = monitoring_tables(current_predictions(), p)
+        feed, actions, report = monitoring_tables(update_predictions(batch, batch_id), p)
         target = f"{report_path}/batch={batch_id}"
         feed.write.mode("overwrite").parquet(f"{target}/kind=feed")
         actions.write.mode("overwrite").parquet(f"{target}/kind=actions")

@@ -68,53 +68,61 @@ def test_summary_is_one_json_line(spark, tmp_path):
     assert len(row) == 1 and row[0].business_metrics.avg_margin == pytest.approx(0.271)
 
 
-def trip_files(spark, path, batches):
-    for i, rows in enumerate(batches):
-        df = spark.createDataFrame(
-            rows, "pickup_datetime timestamp_ntz, cluster_id int, VendorID int, total_amount double, trip_distance double"
-        )
-        df.coalesce(1).write.parquet(f"{path}/in/part={i}")
+TRIP = (
+    "pickup_datetime timestamp_ntz, dropoff_datetime timestamp_ntz, PULocationID int, VendorID int, total_amount double, trip_distance double"
+)
 
 
-def test_stream_equals_batch_on_closed_bins(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    rows = [(start + timedelta(minutes=7 * i), i % 3, 1, float(i), 1.0) for i in range(200)]
-    trip_files(spark, tmp_path, [rows[:90], rows[90:]])
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = streaming.start_to_table(
-        streaming.windowed_series(stream, t.PARAMS), f"{tmp_path}/out", f"{tmp_path}/state"
-    )
+def made_trips(times):
+    """Trips of ten minutes; every seventh is too long a ride to be clean."""
+    return [(x, x + timedelta(minutes=10), 1 + i % 3, 1, float(i % 50), 99.0 if i % 7 == 0 else 1.0) for i, x in enumerate(times)]
+
+
+def trip_files(spark, path, batches, first=0):
+    for i, rows in enumerate(batches, first):
+        spark.createDataFrame(rows, TRIP).coalesce(1).write.parquet(f"{path}/in/part={i}")
+
+
+def streamed(spark, path):
+    schema = spark.read.parquet(f"{path}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    query = streaming.start_to_table(streaming.windowed_series(stream, t.PARAMS), f"{path}/out", f"{path}/state")
     query.awaitTermination()
-    out = spark.read.parquet(f"{tmp_path}/out")
-    batch = streaming.windowed_series(spark.read.parquet(f"{tmp_path}/in"), t.PARAMS)
-    last = rows[-1][0].timestamp() - 600
-    closed = batch.where(F.col("bin_end") <= F.lit(int(last)))
-    assert out.count() > 0
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, closed.collect()))
+    return query, streaming.current_cells(spark, f"{path}/out")
+
+
+def cells(df):
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = made_trips([datetime(2024, 1, 1) + timedelta(minutes=7 * i) for i in range(300)])
+    trip_files(spark, tmp_path, [rows[:90], rows[90:200], rows[200:]])
+    query, out = streamed(spark, tmp_path)
+    batch = streaming.windowed_series(spark.read.parquet(f"{tmp_path}/in").drop("part"), t.PARAMS)
+    assert cells(out) == cells(batch) and out.count() > 10
+    assert streaming.late_rows(query) == 0
 
 
 def test_stream_resumes_without_repeats(spark, tmp_path):
-    start = datetime(2024, 1, 1)
-    rows = [(start + timedelta(hours=i), 1, 1, 1.0, 1.0) for i in range(60)]
+    rows = made_trips([datetime(2024, 1, 1) + timedelta(hours=i) for i in range(60)])
     trip_files(spark, tmp_path, [rows[:30]])
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    _, first = streamed(spark, tmp_path)
+    n = first.count()
+    trip_files(spark, tmp_path, [rows[30:]], first=1)
+    _, second = streamed(spark, tmp_path)
+    assert second.count() > n
+    assert cells(second) == cells(streaming.windowed_series(spark.read.parquet(f"{tmp_path}/in").drop("part"), t.PARAMS))
 
-    def run():
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        streaming.start_to_table(
-            streaming.windowed_series(stream, t.PARAMS), f"{tmp_path}/out", f"{tmp_path}/state"
-        ).awaitTermination()
-        return [r.bin_start for r in spark.read.parquet(f"{tmp_path}/out").collect()]
 
-    first = run()
-    df = spark.createDataFrame(
-        rows[30:], "pickup_datetime timestamp_ntz, cluster_id int, VendorID int, total_amount double, trip_distance double"
-    )
-    df.coalesce(1).write.parquet(f"{tmp_path}/in/part=1")
-    second = run()
-    assert len(second) > len(first)
-    assert len(second) == len(set(second))
+def test_late_rows_are_counted(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    early, late = made_trips([start + timedelta(hours=i) for i in range(1, 40)]), made_trips([start, start + timedelta(minutes=1)])
+    trip_files(spark, tmp_path, [early])
+    streamed(spark, tmp_path)
+    trip_files(spark, tmp_path, [made_trips([start + timedelta(hours=50)]) + late], first=1)
+    query, _ = streamed(spark, tmp_path)
+    assert streaming.late_rows(query) > 0
 
 
 def test_monitoring_tables_agree(spark):
@@ -156,4 +164,4 @@ def test_split_leaves_the_future_for_testing(spark):
     rows = splits.global_split(t.series(spark, MEDIUM), p=t.PARAMS)
     edges = {r.split: (r.lo, r.hi) for r in rows.groupBy("split").agg(F.min("time_bin").alias("lo"), F.max("time_bin").alias("hi")).collect()}
     assert edges["train"][1] <= edges["validation"][0] and edges["validation"][1] <= edges["test"][0]
-    assert DEMAND.trees == 20
+    assert DEMAND.trees == 1000
