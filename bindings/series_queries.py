@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from bindings import base_sql as b
@@ -56,13 +58,30 @@ def w4(spark, sf):
     return features.add_features(t.series(spark, sf), p=P).select("cluster_id", "time_bin", "exp_avg_recursive")
 
 
+LONG = replace(P, rolling_windows=(144, 1008))
+
+
+@query("w3_long_windows", f"""WITH {b.SERIES}, {_RECURSIVE.format(zone="cluster_id", bins="time_bin", source="series")}
+    -- result
+    SELECT {KEYS}, avg(demand) OVER (PARTITION BY cluster_id ORDER BY time_bin ROWS BETWEEN 144 PRECEDING AND 1 PRECEDING)
+        AS rolling_avg_144,
+      avg(demand) OVER (PARTITION BY cluster_id ORDER BY time_bin ROWS BETWEEN 1008 PRECEDING AND 1 PRECEDING)
+        AS rolling_avg_1008, r.exp_avg AS exp_avg_recursive
+    FROM series LEFT JOIN recursive_averages r ON cluster_id = r.z AND time_bin = r.bin""",
+       "rolling_avg_144 rolling_avg_1008 exp_avg_recursive")
+def w3_long(spark, sf):
+    return features.add_features(t.series(spark, sf), p=LONG).select(
+        "cluster_id", "time_bin", "rolling_avg_144", "rolling_avg_1008", "exp_avg_recursive"
+    )
+
+
 @query("w5_complete_rows", f"""WITH {b.FEATURES} -- result
     SELECT * EXCLUDE (pos, prev_avg_fare) FROM features""", SERIES_DOUBLES + " exp_avg")
 def w5(spark, sf):
     return features.main_features(t.series(spark, sf), P).drop("pos")
 
 
-@query("w6_library_features", f"""WITH {b.LIBRARY_CELLS},
+LIBRARY_ROWS = f"""{b.LIBRARY_CELLS},
     {_RECURSIVE.format(zone="pickup_cluster", bins="pickup_bins", source="cells")},
     windows AS (
       SELECT pickup_cluster, pickup_bins, demand, revenue, lag(demand, 1) OVER w AS ft_1, lag(demand, 5) OVER w AS ft_5,
@@ -71,10 +90,14 @@ def w5(spark, sf):
         avg(demand) OVER (PARTITION BY pickup_cluster ORDER BY pickup_bins ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)
           AS rolling_avg_30
       FROM cells WINDOW w AS (PARTITION BY pickup_cluster ORDER BY pickup_bins)
-    ) -- result
-    SELECT windows.*, r.exp_avg, c.cluster_lat, c.cluster_lon
-    FROM windows JOIN recursive_averages r ON pickup_cluster = r.z AND pickup_bins = r.bin
-      JOIN centres c USING (pickup_cluster) WHERE ft_5 IS NOT NULL""",
+    ), library_rows AS (
+      SELECT windows.*, r.exp_avg, c.cluster_lat, c.cluster_lon
+      FROM windows JOIN recursive_averages r ON pickup_cluster = r.z AND pickup_bins = r.bin
+        JOIN centres c USING (pickup_cluster) WHERE ft_5 IS NOT NULL
+    )"""
+
+
+@query("w6_library_features", f"WITH {LIBRARY_ROWS} -- result\nSELECT * FROM library_rows",
        "revenue rolling_avg_7 rolling_avg_30 exp_avg cluster_lat cluster_lon")
 def w6(spark, sf):
     table = revenue.library_feature_table(t.library_cells(spark, sf), t.CENTRES, P)
@@ -84,13 +107,13 @@ def w6(spark, sf):
     )
 
 
-_LABEL = """CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'validation' ELSE 'test' END AS split"""
+LABEL = """CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'validation' ELSE 'test' END AS split"""
 
 
 @query("w7_global_split", f"""WITH {b.SERIES}, placed AS (
       SELECT {KEYS}, row_number() OVER (ORDER BY time_bin, cluster_id) - 1 AS i, count(*) OVER () AS n FROM series
     ) -- result
-    SELECT {KEYS}, {_LABEL} FROM placed""")
+    SELECT {KEYS}, {LABEL} FROM placed""")
 def w7(spark, sf):
     return splits.global_split(t.series(spark, sf), p=P).select("cluster_id", "time_bin", "split")
 
@@ -99,7 +122,7 @@ def w7(spark, sf):
       SELECT {KEYS}, row_number() OVER (PARTITION BY cluster_id ORDER BY time_bin) - 1 AS i,
         count(*) OVER (PARTITION BY cluster_id) AS n FROM series
     ) -- result
-    SELECT {KEYS}, {_LABEL} FROM placed""")
+    SELECT {KEYS}, {LABEL} FROM placed""")
 def w8(spark, sf):
     return splits.zone_split(t.series(spark, sf), p=P).select("cluster_id", "time_bin", "split")
 
@@ -270,7 +293,7 @@ def e5(spark, sf):
 
 @query("e6_metrics_per_split", f"""WITH {b.PREDICTIONS}, placed AS (
       SELECT *, row_number() OVER (ORDER BY time_bin, cluster_id) - 1 AS i, count(*) OVER () AS n FROM predictions
-    ), labelled AS (SELECT *, {_LABEL} FROM placed) -- result
+    ), labelled AS (SELECT *, {LABEL} FROM placed) -- result
     SELECT split, {_all_sql('demand', 'demand_pred')} FROM labelled GROUP BY split""", FULL_DOUBLES)
 def e6(spark, sf):
     labelled = staged(splits.global_split(t.predictions(spark, sf), p=P), "labelled-predictions")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings import base_sql as b
 from bindings import tables as t
+from bindings.answer_queries import REPORT_SQL
 from bindings.registry import query
+from bindings.series_queries import LABEL, LIBRARY_ROWS
 from faregrid.functions.text import ACTION_WORDS, DEFAULT_LINES
 from faregrid.models import boosted
 from faregrid.operators import metrics, retrieval, splits
@@ -126,7 +129,7 @@ _defaults = ", ".join(f"'{line}'" for line in DEFAULT_LINES)
 
 @query("t6_action_lines", f"""WITH texts AS (
       SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text
-        WHEN 1 THEN 'STEP 3 - ACTION RECOMMENDATIONS:' || chr(10) || text
+        WHEN 1 THEN 'Part three, the recommended action:' || chr(10) || text
         ELSE replace(text, chr(10), chr(10) || '  Possible Solution: ') END AS text FROM conversations
     ), found AS (
       SELECT conv_id, turn, list_transform(list_filter(string_split(text, chr(10)), lambda x: {_words}),
@@ -140,40 +143,46 @@ def t6(spark, sf):
     return retrieval.extract_actions(t.investigations(spark, sf))
 
 
-STREAM_DOUBLES = "revenue_total avg_distance"
-
-
-@query("x1_streaming_series", f"""WITH {b.TRIPS}, cells AS (
-      SELECT PULocationID AS cluster_id, CAST(epoch(time_bucket(INTERVAL 6 HOUR, pickup_datetime, TIMESTAMP '1970-01-01')) AS BIGINT)
-          AS bin_start, count(VendorID) AS demand, sum(total_amount) AS revenue_total, avg(trip_distance) AS avg_distance
-      FROM trips GROUP BY 1, 2
+@query("x1_streaming_series", f"""WITH {b.CLEAN}, cells AS (
+      SELECT cluster_id, CAST(epoch(time_bucket(INTERVAL 6 HOUR, pickup_datetime, TIMESTAMP '1970-01-01')) AS BIGINT) AS bin_start,
+        count(VendorID) AS demand, sum(total_amount) AS revenue_total, avg(total_amount) AS avg_fare,
+        avg(trip_distance) AS avg_distance, avg(trip_duration_minutes) AS avg_duration, min(pickup_datetime) AS first_pickup
+      FROM cleaned GROUP BY 1, 2
     ) -- result
-    SELECT cluster_id, bin_start, bin_start + 21600 AS bin_end, demand, revenue_total, avg_distance FROM cells
-    WHERE bin_start + 21600 <= (SELECT epoch(max(pickup_datetime)) - 600 FROM trips)""", STREAM_DOUBLES)
+    SELECT * EXCLUDE (first_pickup), bin_start + 21600 AS bin_end, CAST(hour(first_pickup) AS INTEGER) AS hour,
+      CAST(isodow(first_pickup) - 1 AS INTEGER) AS day_of_week, CAST(isodow(first_pickup) >= 6 AS INTEGER) AS is_weekend,
+      CAST(hour(first_pickup) IN (7, 8, 9, 16, 17, 18, 19) AS INTEGER) AS is_rush_hour FROM cells""",
+       "revenue_total avg_fare avg_distance avg_duration")
 def x1(spark, sf):
     schema = t.read(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    trips = t.trips_from_events(events).withColumn("cluster_id", F.col("PULocationID"))
     path = fresh_path(spark, "stream-series")
-    streaming.start_to_table(streaming.windowed_series(trips, P), f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    cells = streaming.windowed_series(t.trips_from_events(events), P)
+    streaming.start_to_table(cells, f"{path}/out", f"{path}/state").awaitTermination()
+    return streaming.current_cells(spark, f"{path}/out")
 
 
-@query("x2_monitoring_per_trigger")
+@query("x2_monitoring_per_trigger", REPORT_SQL, "total_impact")
 def x2(spark, sf):
     schema = t.read(spark, sf, "events").schema
     arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     path = fresh_path(spark, "monitoring")
-    streaming.start_monitoring(
-        arrivals, lambda: t.predictions(spark, sf), f"{path}/out", f"{path}/state", P, available_now=True
-    ).awaitTermination()
-    reports = spark.read.parquet(f"{path}/out/batch=*/kind=report")
-    return reports
+
+    def update(batch, batch_id):
+        """Predictions from all trips that have arrived."""
+        t.trips_from_events(batch).write.mode("overwrite").parquet(f"{path}/trips/batch={batch_id}")
+        rows = staged(revenue.main_series(spark.read.parquet(f"{path}/trips"), P), "arrived-series")
+        return staged(revenue.naive_predictions(rows, P), "arrived-predictions")
+
+    streaming.start_monitoring(arrivals, update, f"{path}/out", f"{path}/state", P, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out/batch=*/kind=report")
 
 
-# Fewer trees than the published runs: the tables are small.
-DEMAND = boosted.BoostParams(trees=20, depth=3)
-REVENUE = boosted.BoostParams(trees=20, depth=4)
+# Published settings: up to 1000 trees; the validation slice ends the training.
+DEMAND, REVENUE = boosted.DEMAND, boosted.REVENUE
+_SPLIT = f"""{b.FEATURES}, placed AS (
+      SELECT *, row_number() OVER (ORDER BY time_bin, cluster_id) - 1 AS i, count(*) OVER () AS n FROM features
+    ), labelled AS (SELECT *, {LABEL} FROM placed)"""
 
 
 def _labelled(spark, sf):
@@ -189,55 +198,90 @@ def _part(df, name):
 def _stacked(app, spark, sf):
     """Fitted models and the labelled rows, once per session and folder."""
     rows = _labelled(spark, sf)
-    return boosted.fit_stacked(_part(rows, "train"), DEMAND, REVENUE), rows
+    return boosted.fit_stacked(rows.where("split <> 'test'"), DEMAND, REVENUE, F.col("split") == "validation"), rows
 
 
 def _models(spark, sf):
     return _stacked(spark.sparkContext.applicationId, spark, sf)
 
 
-@query("m1_demand_model")
+def _quality(scored, actual, predicted, model, limit):
+    """Per split: rows, and whether the model stayed within its limits and beat a constant forecast."""
+    got = metrics.metrics(scored, actual, predicted, ["wmape", "r2"], by=["split"])
+    sizes = scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    trees = boosted.tree_count(model)
+    return got.join(sizes, "split").select(
+        "split", "n_rows", (F.col("r2") > 0).alias("better_than_mean"), F.lit(0 < trees <= limit).alias("trees_within_limit")
+    )
+
+
+_QUALITY = f"""WITH {_SPLIT} -- result
+    SELECT split, count(*) AS n_rows, true AS better_than_mean, true AS trees_within_limit FROM labelled GROUP BY split"""
+
+
+@query("m1_demand_model", _QUALITY)
 def m1(spark, sf):
     (demand, _), rows = _models(spark, sf)
-    scored = boosted.score(demand, rows)
-    return metrics.metrics(scored, "demand", "demand_pred", ["wmape", "mae", "rmse", "r2"], by=["split"])
+    return _quality(boosted.score(demand, rows), "demand", "demand_pred", demand, DEMAND.trees)
 
 
-@query("m2_stacked_revenue_model")
+@query("m2_stacked_revenue_model", _QUALITY)
 def m2(spark, sf):
     models, rows = _models(spark, sf)
-    scored = boosted.score_stacked(models, rows)
-    return metrics.metrics(scored, "revenue_total", "revenue_pred", ["wmape", "mae", "rmse", "r2"], by=["split"])
+    return _quality(boosted.score_stacked(models, rows), "revenue_total", "revenue_pred", models[1], REVENUE.trees)
 
 
-@query("m3_library_demand_model")
+@query("m3_library_demand_model", f"""WITH {LIBRARY_ROWS}, placed AS (
+      SELECT *, row_number() OVER (PARTITION BY pickup_cluster ORDER BY pickup_bins) - 1 AS i,
+        count(*) OVER (PARTITION BY pickup_cluster) AS n FROM library_rows
+    ), labelled AS (SELECT *, {LABEL} FROM placed) -- result
+    SELECT split, count(*) AS n_rows, true AS better_than_mean, true AS trees_within_limit FROM labelled GROUP BY split""")
 def m3(spark, sf):
     table = revenue.library_feature_table(t.library_cells(spark, sf), t.CENTRES, P)
     rows = staged(splits.zone_split(staged(table, "library-features"), "pickup_cluster", "pickup_bins", P), "library-split")
-    fitted = _part(rows, "train").unionByName(_part(rows, "validation")).withColumn("held_out", F.col("split") == "validation")
+    fitted = rows.where("split <> 'test'").withColumn("held_out", F.col("split") == "validation")
     model = boosted.fit_regressor(fitted, boosted.LIBRARY_FEATURES, "demand", "demand_pred", DEMAND, "held_out")
-    return metrics.full_metrics(boosted.score(model, rows), "demand", "demand_pred", by=["split"])
+    return _quality(boosted.score(model, rows), "demand", "demand_pred", model, DEMAND.trees)
 
 
-@query("m4_batch_scoring")
+# Whatever the model predicts, costs are fixed shares of it.
+@query("m4_batch_scoring", f"""WITH {_SPLIT} -- result
+    SELECT cluster_id, time_bin, demand, 0.65 AS driver_share, 0.029 AS processing_share, 0.05 AS ops_share, 0.271 AS margin_pred
+    FROM labelled WHERE split = 'test'""", "driver_share processing_share ops_share margin_pred")
 def m4(spark, sf):
     models, rows = _models(spark, sf)
     scored = predictions_table(boosted.score_stacked(models, _part(rows, "test")), P)
-    return scored.drop("pos", "split")
+    share = lambda name: F.col(name) / F.col("revenue_pred")
+    return scored.select(
+        "cluster_id",
+        "time_bin",
+        "demand",
+        share("driver_costs").alias("driver_share"),
+        share("processing_fees").alias("processing_share"),
+        share("ops_costs").alias("ops_share"),
+        "margin_pred",
+    )
 
 
-@query("m5_feature_importance")
+_NAMES = ", ".join(f"('{name}')" for name in boosted.MAIN_FEATURES)
+
+
+@query("m5_feature_importance", f"SELECT feature, true AS in_range, 1.0 AS total FROM (VALUES {_NAMES}) AS result(feature)", "total")
 def m5(spark, sf):
     (demand, _), _ = _models(spark, sf)
-    return boosted.feature_importance(spark, demand)
+    total = F.sum("importance").over(Window.partitionBy())
+    return boosted.feature_importance(spark, demand, None).select(
+        "feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total")
+    )
 
 
-@query("s8_model_persistence")
+@query("s8_model_persistence", f"WITH {_SPLIT} -- result\nSELECT cluster_id, time_bin, true AS same FROM labelled")
 def s8(spark, sf):
     (demand, _), rows = _models(spark, sf)
     path = fresh_path(spark, "model")
     boosted.save_model(spark, demand, path)
     loaded, _ = boosted.load_model(spark, path)
-    scored = boosted.score(loaded, _part(rows, "test")).select("cluster_id", "time_bin", F.col("demand_pred").alias("loaded"))
-    original = boosted.score(demand, _part(rows, "test")).select("cluster_id", "time_bin", "demand_pred")
-    return scored.join(original, ["cluster_id", "time_bin"])
+    scored = boosted.score(loaded, rows).select("cluster_id", "time_bin", F.col("demand_pred").alias("loaded"))
+    original = boosted.score(demand, rows).select("cluster_id", "time_bin", "demand_pred")
+    both = scored.join(original, ["cluster_id", "time_bin"])
+    return both.select("cluster_id", "time_bin", F.col("loaded").eqNullSafe(F.col("demand_pred")).alias("same"))

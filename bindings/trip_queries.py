@@ -20,7 +20,9 @@ P = t.PARAMS
 @query("s1_trip_scan", f"WITH {b.TRIPS} -- result\nSELECT * FROM trips",
        "trip_distance total_amount passenger_count pickup_latitude pickup_longitude dropoff_latitude dropoff_longitude")
 def s1(spark, sf):
-    return trips.load_trips(spark, *[f for f in t.trips(spark, sf).inputFiles()])
+    path = fresh_path(spark, "trip-files")
+    t.trips(spark, sf).write.parquet(path)
+    return trips.load_trips(spark, path)
 
 
 @query("s2_scan_by_role", f"""WITH {b.TRIPS} -- result
@@ -272,12 +274,28 @@ def z1_busiest(spark, sf):
     return zones.busiest_zones(zones.assign_zone(clean.clean_main(t.trips(spark, sf), P)))
 
 
-@query("z2_fit_centres")
+# What any fit must give: all centres, every point at its nearest one, and the sums of the points
+# back from the sizes and means of the clusters.
+@query("z2_fit_centres", f"""WITH {b.LIBRARY_CLEAN} -- result
+    SELECT 40 AS centres, 0 AS misplaced, count(*) AS trips, sum(pickup_latitude) AS latitudes,
+      sum(pickup_longitude) AS longitudes FROM library_clean""", "latitudes longitudes")
 def z2(spark, sf):
     cleaned = staged(clean.clean_library(t.trips(spark, sf), P).select("pickup_latitude", "pickup_longitude"), "points")
     centres = zones.fit_centres(cleaned, P)
-    sizes = zones.assign_nearest_centre(cleaned, centres).groupBy("pickup_cluster").agg(F.count(F.lit(1)).alias("trips"))
-    return zones.attach_centres(sizes, centres)
+    lat, lon = F.col("pickup_latitude"), F.col("pickup_longitude")
+    assigned = zones.attach_centres(zones.assign_nearest_centre(cleaned, centres), centres)
+    own = (lat - F.col("cluster_lat")) ** 2 + (lon - F.col("cluster_lon")) ** 2
+    least = F.least(*[(lat - a) * (lat - a) + (lon - c) * (lon - c) for _, a, c in centres])
+    means = assigned.withColumn("off", (own > least + 1e-12).cast("int")).groupBy("pickup_cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("off").alias("off"), F.avg(lat).alias("lat"), F.avg(lon).alias("lon")
+    )
+    return means.agg(
+        F.lit(len(centres)).alias("centres"),
+        F.sum("off").cast("int").alias("misplaced"),
+        F.sum("n").alias("trips"),
+        F.sum(F.col("n") * F.col("lat")).alias("latitudes"),
+        F.sum(F.col("n") * F.col("lon")).alias("longitudes"),
+    )
 
 
 @query("z3_nearest_centre", f"WITH {b.NEAREST} -- result\nSELECT trip_id, pickup_cluster FROM nearest")

@@ -6,9 +6,12 @@ one row per zone.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faregrid.functions.calendar import naive
 from faregrid.functions.economics import pct_change, per_unit
 from faregrid.operators.portfolio import zone_statistics
 from faregrid.params import DEFAULTS, Params
@@ -166,19 +169,30 @@ def zone_context(df: DataFrame) -> DataFrame:
     )
 
 
-def proposed_actions(feed: DataFrame, predictions: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def identified(feed: DataFrame, at: datetime) -> DataFrame:
+    """Anomaly id and time of detection for the feed of one cycle."""
+    number = F.lpad(F.col("anomaly_no").cast("string"), 3, "0")
+    return feed.withColumns({"anomaly_id": F.concat(F.lit(f"{at:%Y%m%dT%H%M%S}-"), number), "detected_at": naive(at)})
+
+
+def described(actions: DataFrame, at: datetime) -> DataFrame:
+    """A line of text and the time of the proposal for each action."""
+    said = F.lower(F.replace(F.col("action_type"), F.lit("_"), F.lit(" ")))
+    text = F.concat(said, F.lit(" in zone "), F.col("zone_id").cast("string"))
+    return actions.withColumns({"description": text, "proposed_at": naive(at)})
+
+
+def proposed_actions(feed: DataFrame, zones: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Action type, expected impact and confidence for each anomaly of a feed.
 
-    ``feed`` needs ``type``, ``zone_id`` and ``potential_gain``. The types
-    LOW_REVENUE and UNDERPERFORMING are sized from the zone's own totals.
+    ``feed`` needs ``type``, ``zone_id`` and ``potential_gain``. The types LOW_REVENUE and
+    UNDERPERFORMING are sized from the zone's totals in ``zones``, the zone statistics.
     """
-    totals = (
-        predictions.groupBy(F.col("cluster_id").alias("zone_id"))
-        .agg(
-            F.coalesce(F.sum("revenue_pred"), F.lit(0.0)).alias("_revenue"),
-            F.coalesce(F.sum("demand_pred"), F.lit(0.0)).alias("_demand"),
-            F.avg("avg_fare_pred").alias("_fare"),
-        )
+    totals = zones.select(
+        F.col("cluster_id").alias("zone_id"),
+        F.coalesce("revenue_sum", F.lit(0.0)).alias("_revenue"),
+        F.coalesce("demand_sum", F.lit(0.0)).alias("_demand"),
+        F.col("fare_mean").alias("_fare"),
     )
     kind = F.col("type")
 

@@ -199,3 +199,69 @@ def executive_rows(df: DataFrame, k: int = 5) -> DataFrame:
 def top_summaries(df: DataFrame, k: int = 20) -> DataFrame:
     """Zone summaries of the zones with most revenue."""
     return zone_summary(df).orderBy(F.desc("revenue"), "cluster_id").limit(k)
+
+
+# What each ranking question asks for, and the order of the zones.
+RANKINGS = {
+    "top_revenue": ("revenue", False),
+    "top_demand": ("demand", False),
+    "bottom_demand": ("demand", True),
+    "bottom_revenue": ("revenue", True),
+    "deployment": ("demand", False),
+}
+SLOT = ("asked_hour", "asked_weekday", "asked_day_part")
+
+
+def slice_totals(df: DataFrame) -> DataFrame:
+    """Demand, revenue and rows per zone of every slice a question can name.
+
+    Rows are aggregated per (zone, hour, weekday) first. Each of these cells is in six slices: its
+    hour, its part of the day or any time, each on its weekday or on any day.
+    """
+    cells = df.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id", "hour", "day_of_week").agg(
+        F.coalesce(F.sum("demand_pred"), F.lit(0.0)).alias("demand"),
+        F.coalesce(F.sum("revenue_pred"), F.lit(0.0)).alias("revenue"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    part = F.lit(None).cast("string")
+    for name, hours in DAY_PART_HOURS.items():
+        part = F.when(F.col("hour").isin(list(hours)), F.lit(name)).otherwise(part)
+    nobody, nothing = F.lit(None).cast("int"), F.lit(None).cast("string")
+    slots = [
+        F.struct(hour.alias("asked_hour"), day.alias("asked_weekday"), of_day.alias("asked_day_part"))
+        for hour, of_day in ((F.col("hour"), nothing), (nobody, part), (nobody, nothing))
+        for day in (F.col("day_of_week"), nobody)
+    ]
+    spread = cells.select("cluster_id", "demand", "revenue", "n_rows", F.inline(F.array(*slots)))
+    return spread.groupBy(*SLOT, "cluster_id").agg(F.sum("demand").alias("demand"), F.sum("revenue").alias("revenue"), F.sum("n_rows").alias("n_rows"))
+
+
+def answered_questions(tagged: DataFrame, df: DataFrame, k: int = 5) -> DataFrame:
+    """Answer rows of the ranking questions of a tagged table.
+
+    One row per question and ranked zone of its slice, up to ``k``. A question about an empty slice
+    gets one row with the rows and zones of the whole table instead (``from_slice`` false). The
+    rankings are made once per slice, of which there are a thousand at most, and met by slot.
+    """
+    totals = slice_totals(df)
+    ranked = []
+    for intent, (measure, ascending) in RANKINGS.items():
+        key = F.asc(measure) if ascending else F.desc(measure)
+        rank = F.row_number().over(Window.partitionBy(*SLOT).orderBy(key, "cluster_id"))
+        ranked.append(totals.withColumns({"intent": F.lit(intent), "rank": rank}).where(F.col("rank") <= k))
+    answers = ranked[0]
+    for more in ranked[1:]:
+        answers = answers.unionByName(more)
+    asked = tagged.where(F.col("intent").isin(list(RANKINGS)))
+    # Null slots mean any; a key of text lets them meet by an equi-join.
+    slot = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("any")) for c in (*SLOT, "intent")])
+    rows = asked.withColumn("_slot", slot).join(answers.withColumn("_slot", slot).drop(*SLOT, "intent"), "_slot", "left")
+    whole = coverage(df).select(F.col("n_rows").alias("_all"), F.col("zones").alias("_zones"))
+    found = F.col("rank").isNotNull()
+    return attach(rows, whole).withColumns(
+        {
+            "from_slice": found,
+            "n_rows": F.when(found, F.col("n_rows")).otherwise(F.col("_all")),
+            "zones": F.when(~found, F.col("_zones")),
+        }
+    ).drop("_slot", "_all", "_zones")

@@ -36,7 +36,7 @@ def positive_revenue_zones(df: DataFrame) -> DataFrame:
 
 
 def zone_statistics(df: DataFrame) -> DataFrame:
-    """Mean, sample deviation and total of demand and revenue; margin too."""
+    """Mean, sample deviation and total of demand and revenue; margin and fare too."""
     return (
         df.where(F.col("cluster_id").isNotNull())
         .groupBy("cluster_id")
@@ -49,6 +49,7 @@ def zone_statistics(df: DataFrame) -> DataFrame:
             F.coalesce(F.sum("revenue_pred"), F.lit(0.0)).alias("revenue_sum"),
             F.avg("margin_pred").alias("margin_mean"),
             F.stddev_samp("margin_pred").alias("margin_std"),
+            F.avg("avg_fare_pred").alias("fare_mean"),
         )
     )
 

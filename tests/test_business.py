@@ -100,7 +100,7 @@ def test_published_surge_impact(spark):
     assert got[0].expected_impact == pytest.approx(39.2106, abs=1e-3)
     assert got[0].expected_revenue == pytest.approx(654.2783, abs=1e-3)
     assert got[0].confidence == "high"
-    assert got[0].rationale == "High demand (51.9 trips) with below-median pricing"
+    assert got[0].rationale == "Demand of 51.9 trips at a fare below the median"
 
 
 def test_published_weekend_impact(spark):
