@@ -157,7 +157,7 @@ def _features(spark, sf):
 
 @query("p1_predicted_fare", f"WITH {b.PREDICTIONS} -- result\nSELECT {KEYS}, avg_fare_pred FROM predictions", "avg_fare_pred")
 def p1(spark, sf):
-    return forecast.add_fare(forecast.naive_forecast(_features(spark, sf))).select("cluster_id", "time_bin", "avg_fare_pred")
+    return forecast.add_fare(t.rounded(forecast.naive_forecast(_features(spark, sf)))).select("cluster_id", "time_bin", "avg_fare_pred")
 
 
 COSTS = ["driver_costs", "processing_fees", "ops_costs", "total_costs"]
@@ -165,7 +165,7 @@ COSTS = ["driver_costs", "processing_fees", "ops_costs", "total_costs"]
 
 @query("p2_cost_stack", f"WITH {b.PREDICTIONS} -- result\nSELECT {KEYS}, {', '.join(COSTS)} FROM predictions", " ".join(COSTS))
 def p2(spark, sf):
-    return forecast.add_costs(forecast.naive_forecast(_features(spark, sf)), P).select("cluster_id", "time_bin", *COSTS)
+    return forecast.add_costs(t.rounded(forecast.naive_forecast(_features(spark, sf))), P).select("cluster_id", "time_bin", *COSTS)
 
 
 @query("p3_profit_and_margin", f"WITH {b.PREDICTIONS} -- result\nSELECT {KEYS}, profit_pred, margin_pred FROM predictions",
@@ -240,7 +240,7 @@ def p6(spark, sf):
 
 @query("m6_naive_forecast", f"WITH {b.PREDICTIONS} -- result\nSELECT * FROM predictions", PRED_DOUBLES)
 def m6(spark, sf):
-    return revenue.naive_predictions(t.series(spark, sf), P)
+    return t.predictions_of(t.series(spark, sf))
 
 
 def _metric(spark, sf, names):

@@ -12,6 +12,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faregrid.operators.features import main_features
+from faregrid.operators.forecast import naive_forecast, predictions_table
 from faregrid.params import DEFAULTS
 from faregrid.plans import revenue
 from faregrid.storage import staged
@@ -100,8 +102,19 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "series", lambda: revenue.main_series(trips(spark, sf_dir), PARAMS))
 
 
+def rounded(forecast: DataFrame) -> DataFrame:
+    """Six decimals, as the SQL has them: ties then don't depend on the order of summation."""
+    return forecast.withColumns({c: F.round(F.col(c) + F.lit(1e-9), 6) for c in ("demand_pred", "revenue_pred")})
+
+
+def predictions_of(series: DataFrame) -> DataFrame:
+    """The naive predictions of a written series, rounded before costs and profit follow."""
+    features = main_features(series, PARAMS, previous=["avg_fare"])
+    return predictions_table(rounded(naive_forecast(features)), PARAMS)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "predictions", lambda: revenue.naive_predictions(series(spark, sf_dir), PARAMS))
+    return _once(spark, sf_dir, "predictions", lambda: predictions_of(series(spark, sf_dir)))
 
 
 def library_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from faregrid.operators import metrics, retrieval, splits
 from faregrid.operators.features import main_features
 from faregrid.operators.forecast import predictions_table
 from faregrid.plans import revenue
+from faregrid.plans.thresholds import attach
 from faregrid.storage import fresh_path, staged
 from faregrid.streaming import series as streaming
 
@@ -172,7 +173,7 @@ def x2(spark, sf):
         """Predictions from all trips that have arrived."""
         t.trips_from_events(batch).write.mode("overwrite").parquet(f"{path}/trips/batch={batch_id}")
         rows = staged(revenue.main_series(spark.read.parquet(f"{path}/trips"), P), "arrived-series")
-        return staged(revenue.naive_predictions(rows, P), "arrived-predictions")
+        return staged(t.predictions_of(rows), "arrived-predictions")
 
     streaming.start_monitoring(arrivals, update, f"{path}/out", f"{path}/state", P, available_now=True).awaitTermination()
     return spark.read.parquet(f"{path}/out/batch=*/kind=report")
@@ -263,6 +264,22 @@ def m4(spark, sf):
     )
 
 
+# The monitoring cycle on the models' own predictions: what holds whatever they predict.
+@query("m7_model_chain", f"""WITH {_SPLIT} -- result
+    SELECT count(DISTINCT cluster_id) AS zones_monitored, true AS feed_within_limit, true AS actions_match_feed,
+      true AS costs_add_up FROM labelled""")
+def m7(spark, sf):
+    models, rows = _models(spark, sf)
+    predictions = staged(revenue.model_predictions(rows, models, P), "model-predictions")
+    feed, actions, report = revenue.monitoring_tables(predictions, P)
+    off = F.abs(F.col("revenue_pred") - F.col("total_costs") - F.col("profit_pred"))
+    costs = predictions.agg((F.max(off) < 1e-6).alias("costs_add_up"))
+    found = feed.agg((F.count(F.lit(1)) <= P.max_opportunities + P.max_inefficient).alias("feed_within_limit"))
+    acted = F.col("actions_proposed") == F.least("anomalies_detected", F.lit(P.feed_size))
+    own = report.select("zones_monitored", acted.alias("actions_match_feed"))
+    return attach(attach(own, found), costs)
+
+
 _NAMES = ", ".join(f"('{name}')" for name in boosted.MAIN_FEATURES)
 
 

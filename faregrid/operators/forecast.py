@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from faregrid.functions.economics import cost_columns, per_unit
 from faregrid.params import DEFAULTS, Params
 
-# Predictions are kept to six decimals, so that ties between rows do not
-# depend on the order of summation; the nudge decides half-way cases.
-DECIMALS = 6
-NUDGE = 1e-9
-
-
-def _stored(column):
-    return F.round(column + F.lit(NUDGE), DECIMALS)
-
-
 def naive_forecast(features: DataFrame) -> DataFrame:
     """Demand as its running average, revenue at the previous row's fare.
 
@@ -26,8 +16,8 @@ def naive_forecast(features: DataFrame) -> DataFrame:
     """
     return (
         features.where(F.col("exp_avg").isNotNull() & F.col("prev_avg_fare").isNotNull())
-        .withColumn("demand_pred", _stored(F.col("exp_avg")))
-        .withColumn("revenue_pred", _stored(F.col("exp_avg") * F.col("prev_avg_fare")))
+        .withColumn("demand_pred", F.col("exp_avg"))
+        .withColumn("revenue_pred", F.col("exp_avg") * F.col("prev_avg_fare"))
         .drop("prev_avg_fare", "pos")
     )
 

@@ -103,14 +103,12 @@ def holiday_flags(calendar: DataFrame) -> DataFrame:
 def add_holiday_flags(df: DataFrame, column: str, calendar: DataFrame | None = None) -> DataFrame:
     """Flags for the date of ``column``: on, before and after a holiday.
 
-    The flag table holds at most three dates per holiday, about forty a year,
-    so it is broadcast; without ``calendar`` the years come from ``df``.
+    The flag table holds at most three dates per holiday, about forty a year;
+    without ``calendar`` the years come from ``df``.
     """
     if calendar is None:
         calendar = holiday_calendar(holiday_years(df, column))
     names = ["is_holiday", "day_before_holiday", "day_after_holiday"]
     flags = holiday_flags(calendar).withColumnRenamed("date", "_date")
-    joined = df.withColumn("_day", F.to_date(F.col(column))).join(
-        F.broadcast(flags), F.col("_day") == F.col("_date"), "left"
-    )
+    joined = df.withColumn("_day", F.to_date(F.col(column))).join(flags, F.col("_day") == F.col("_date"), "left")
     return joined.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in names}).drop("_day", "_date")
