@@ -46,6 +46,15 @@ def with_ids(df: DataFrame, column: str, ids: DataFrame, keep: bool) -> DataFram
     return df.join(ids, df[column] == ids[name], "left_semi" if keep else "left_anti")
 
 
+# Tasks per core for tables of a few numbers per row that come out of a shuffle.
+FOLD = 4
+
+
+def folded(df: DataFrame, label: str) -> DataFrame:
+    """:func:`written` for slim tables after a shuffle: no more tasks and files than cores can use."""
+    return written(df.coalesce(FOLD * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     return staged(df, f"llm-{label}")

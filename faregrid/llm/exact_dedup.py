@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import SPACE, unused, with_ids, written
+from faregrid.llm.common import SPACE, folded, unused, with_ids, written
 
 # 2**20 words of 64 bits: the filter that goes to the executors has at most 16 bytes a word.
 FILTER_WORDS = 1 << 20
@@ -53,14 +53,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "digests",
     )
-    bits = F.broadcast(written(repeated_filter(hashed, words), "filter"))
+    bits = F.broadcast(folded(repeated_filter(hashed, words), "filter"))
     word, mask = _fingerprint("digest", words)
     probed = hashed.withColumns({"word": word, "mask": mask}).join(bits, "word", "left")
     maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
     slim = ["doc_id", "digest", "row"]
     rest = probed.where(maybe).select(*slim)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    groups = written(
+    groups = folded(
         rest.groupBy("digest")
         .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
         .select("digest", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")),
@@ -83,14 +83,14 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     to one, which concerns those rows only. Where one id has several texts, a text goes with its
     own group alone.
     """
-    groups = written(exact_groups(docs, id_col, text_col).where("group_size > 1 and not kept"), "copies")
+    groups = folded(exact_groups(docs, id_col, text_col).where("group_size > 1 and not kept"), "copies")
     clean = F.col("keep_id").eqNullSafe(F.col("doc_id"))
-    mark = unused(docs, "digest")
-    hit = written(groups.where("doc_id is not null").select("doc_id").distinct(), "hit")
+    mark, gone_id, gone_mark = (unused(docs, x) for x in ("digest", "gone_id", "gone_digest"))
+    hit = folded(groups.where("doc_id is not null").select("doc_id").distinct(), "hit")
     nulls = docs[id_col].isNull()
     passed = with_ids(docs, id_col, hit, keep=False).where(~nulls)
     touched = with_ids(docs, id_col, hit, keep=True).unionByName(docs.where(nulls)).withColumn(mark, digest(docs[text_col]))
-    gone = groups.where(~clean).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone")).distinct()
-    left = touched.join(gone, touched[id_col].eqNullSafe(gone["_gone_id"]) & (touched[mark] == gone["_gone"]), "left_anti")
+    gone = groups.where(~clean).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_mark)).distinct()
+    left = touched.join(gone, touched[id_col].eqNullSafe(gone[gone_id]) & (touched[mark] == gone[gone_mark]), "left_anti")
     # What is left here repeats an id; identical pairs of id and text become one row.
     return passed.unionByName(left.dropDuplicates([id_col, mark]).drop(mark))

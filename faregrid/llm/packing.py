@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import written
+from faregrid.llm.common import folded, written
 
 ROOM = 1024
 END_ID = 0
@@ -152,7 +152,7 @@ def packed(
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cut = written(slim.mapInArrow(_tokenized(path or tokenizer_path(), room, end_id), PIECES), "pieces")
-    sizes = written(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("size")), "lengths")
+    sizes = folded(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("size")), "lengths")
     # Ranks of a length: those of earlier tasks, then the place in its task.
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))

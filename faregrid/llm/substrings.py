@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import with_ids, written
+from faregrid.llm.common import folded, with_ids, written
 from faregrid.llm.words import Words, scan
 
 WINDOW = 20
@@ -185,14 +185,14 @@ def _kept(digests: bool):
 def _beside_text(texts: DataFrame, rows: DataFrame, fields: list[str], name: str) -> DataFrame:
     """(doc, text, rows of the doc as an array); a document has no more rows than words."""
     rows = rows.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias(name))
-    ids = written(rows.select("doc"), "ids")
+    ids = folded(rows.select("doc"), "ids")
     return with_ids(texts, "doc", ids, keep=True).join(rows, "doc").select("doc", "text", name)
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """Written (doc, start, n): n windows from word start on are repeats. ``texts`` has doc, text."""
     runs = written(texts.mapInArrow(_stretches, _RUNS), "runs")
-    counts = written(runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "prefixes")
+    counts = folded(runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "prefixes")
     open_runs = written(runs.join(counts, "prefix"), "open")
     fields = ["prefix", "first", "n"]
     kinds = "prefix long, first int, n int, doc long, words binary"
@@ -206,7 +206,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     ranges = bins.groupBy("bin").applyInArrow(_subtrees, "doc long, start int, n int")
     windows = written(followed(open_runs.where(F.col("shared") > SHARED)).mapInArrow(_whole_windows, "window binary, doc long, start int"), "windows")
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("size"))
-    earliest = written(earliest.where("size > 1").select("window", "first"), "earliest")
+    earliest = folded(earliest.where("size > 1").select("window", "first"), "earliest")
     later = windows.join(earliest, "window").where(F.struct("doc", "start") != F.col("first"))
     return written(ranges.unionByName(later.select("doc", "start", F.lit(1).alias("n"))), "ranges")
 
@@ -222,9 +222,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Of equal texts only the first can hold the earliest windows; the others go as a whole.
     long = profiles.where(F.col("n_words") >= WINDOW)
     copies = long.groupBy("digest").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"))
-    copies = written(copies.where("lead < last").select("digest", "lead"), "copies")
-    gone = written(long.join(copies, "digest").where("doc > lead").select("doc", "digest").distinct(), "gone")
-    leads = with_ids(texts, "doc", written(gone.select("doc").distinct(), "ids"), keep=False)
+    copies = folded(copies.where("lead < last").select("digest", "lead"), "copies")
+    gone = folded(long.join(copies, "digest").where("doc > lead").select("doc", "digest").distinct(), "gone")
+    leads = with_ids(texts, "doc", folded(gone.select("doc").distinct(), "ids"), keep=False)
     ranges = repeated_ranges(leads)
     stripped = _beside_text(leads, ranges, ["start", "n"], "ranges")
     stripped = stripped.mapInArrow(_kept(digests), "doc long, digest string, n_removed long, kept string").distinct()
