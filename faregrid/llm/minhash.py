@@ -8,7 +8,7 @@ blocks. So each pair in a common bucket is either compared or known to be connec
 no bucket, however large, is listed as pairs or held by one task.
 
 With 32 bands of 4, a pair at the threshold shares no bucket with probability 5e-6; one whose
-signatures agree in less than LEAST_AGREEMENT is at the threshold with probability below 1e-6.
+signatures agree in less than LEAST_AGREEMENT is at the threshold with probability 4e-6.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing. Rows
 with a null id have a null component and are kept. Rows that repeat an id are one document.
@@ -21,12 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import with_ids, written
+from faregrid.llm.common import folded, with_ids, written
 from faregrid.llm.components import components
 from faregrid.llm.words import Words, mixed, scan
 
@@ -34,8 +33,8 @@ SHINGLE = 5
 BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 LEAST_PERCENT = 75
-LEAST_AGREEMENT = 0.55
-BLOCK, CHUNK = 256, 4096
+LEAST_AGREEMENT = 0.58
+BLOCK, CHUNK = 100_000, 500_000  # shingles of a block of minor members and of a chunk of all members
 SKETCH = "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>"
 
 _draw = np.random.default_rng(20)
@@ -110,6 +109,11 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(enough)).select([0, 1])
 
 
+def _close(a: np.ndarray, b: np.ndarray) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= LEAST_PERCENT * (len(a) + len(b) - common)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (hub, member) that reach the threshold on their full sets."""
     last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
@@ -121,15 +125,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = hubs[i].as_py()
                 if text != last[0]:
                     last = (text, shingle_sets(next(scan(pa.array([text]), lower=True))[2])[0])
-                common = len(np.intersect1d(own, last[1], assume_unique=True))
-                good[i] = 100 * common >= LEAST_PERCENT * (len(own) + len(last[1]) - common)
+                good[i] = _close(own, last[1])
         yield batch.filter(pa.array(good)).select([0, 1])
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Written links (u, v) among (hub, member)."""
-    pairs = written(pairs, "pairs")
-    ends = lambda p: written(p.select(F.explode(F.array("hub", "member")).alias("id")).distinct(), "ends")
+    pairs = folded(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select(F.col("hub").alias("u"), F.col("member").alias("v"))
+    ends = lambda p: folded(p.select(F.explode(F.array("hub", "member")).alias("id")).distinct(), "ends")
 
     def beside(p: DataFrame, values: DataFrame, column: str) -> DataFrame:
         """A hub's value meets its pairs last, so that only members' values are shuffled per pair."""
@@ -138,52 +143,77 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataF
         return member.join(v.toDF("hub", "h"), "hub").select("hub", "member", "h", "m")
 
     close = beside(pairs, sketches, "signature").mapInArrow(_agreeing, "hub long, member long")
-    close = written(close.distinct(), "close")
+    close = folded(close.distinct(), "close")
     links = beside(close, texts, "text").mapInArrow(_linked, "hub long, member long")
     return written(links.select(F.col("hub").alias("u"), F.col("member").alias("v")), "links")
 
 
-def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of minor members and one chunk of all members, by signature."""
-    matrix = lambda x: np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, HASHES)
-    minor, others = rows[rows["minor"]], rows[~rows["minor"]]
-    found: list[np.ndarray] = []
-    if len(minor) and len(others):
-        sign, of, ids = matrix(others), others["component"].to_numpy(), others["member"].to_numpy()
-        hub = int(rows["hub"].iloc[0])
-        for member, component, own in zip(minor["member"], minor["component"], matrix(minor), strict=True):
-            if member != hub:
-                hit = ids[(of != component) & (ids != hub) & ((sign == own).mean(axis=1) >= LEAST_AGREEMENT)]
-                found.append(np.stack([np.full(len(hit), member), hit], axis=1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"hub": pairs.max(axis=1), "member": pairs.min(axis=1)}) if len(pairs) else pd.DataFrame({"hub": [], "member": []}, dtype="int64")
-
-
-def _unsettled(shared: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame | None:
-    """Pairs of different components in a common bucket that no hub has settled."""
+def _settled(group: pa.Table) -> pa.Table:
+    """Links between one block of minor members and one chunk of all members of a bucket.
+
+    A pair that shares several buckets is compared in that of its first common band. One link of a
+    member to another component is enough, so the likeliest candidate of each is tried first.
+    """
+    minor = group.column("minor").to_numpy(zero_copy_only=False)
+    ids, component, sizes = (group.column(c).to_numpy() for c in ("member", "component", "n_shingles"))
+    sign = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+    keys = _band_keys(sign)
+    band = int(np.flatnonzero(keys[0] == group.column("key")[0].as_py())[0])
+    hub, major = group.column("hub")[0].as_py(), group.column("major")[0].as_py()
+    texts, sets = group.column("text").combine_chunks(), {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_sets(next(scan(texts.slice(i, 1), lower=True))[2])[0]
+        return sets[i]
+
+    links: list[tuple[int, int]] = []
+    others = np.flatnonzero(~minor & (ids != hub))
+    for i in np.flatnonzero(minor & (ids != hub)):
+        near = others[(component[others] != component[i]) & ((component[others] == major) | (ids[others] < ids[i]))]
+        small, large = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
+        near = near[100 * small >= LEAST_PERCENT * large]
+        near = near[(keys[near] == keys[i]).argmax(axis=1) == band]
+        agreement = (sign[near] == sign[i]).mean(axis=1)
+        done: set[int] = set()
+        for j in near[np.argsort(-agreement, kind="stable")][: int((agreement >= LEAST_AGREEMENT).sum())]:
+            if component[j] not in done and _close(shingles(i), shingles(j)):
+                done.add(component[j])
+                links.append((ids[i], ids[j]))
+    u, v = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _unsettled(shared: DataFrame, parts: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Written links between different components in a common bucket that no hub has settled."""
     labelled = shared.join(parts, shared["member"] == parts["node"], "left")
-    labelled = written(labelled.select("key", "hub", "member", F.coalesce("component", "member").alias("component")), "labelled")
-    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    labelled = folded(labelled.select("key", "hub", "member", "n_shingles", F.coalesce("component", "member").alias("component")), "labelled")
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     buckets = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("major")
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("n").alias("total"),
+        F.sum("shingles").alias("shingles"),
+        F.max(F.struct("n", "component", F.col("shingles").alias("own"))).alias("top"),
     )
-    buckets = written(buckets.where("parts > 1 and total > 2"), "buckets")
+    blocks = F.ceil((F.col("shingles") - F.col("top.own")) / F.lit(BLOCK))
+    chunks = F.ceil(F.col("shingles") / F.lit(CHUNK))
+    buckets = buckets.where("parts > 1 and total > 2").select("key", F.col("top.component").alias("major"), blocks.alias("blocks"), chunks.alias("chunks"))
+    buckets = folded(buckets, "buckets")
     if buckets.isEmpty():
         return None
-    blocks = F.ceil((F.col("total") - F.col("major.n")) / F.lit(BLOCK))
-    chunks = F.ceil(F.col("total") / F.lit(CHUNK))
-    rows = labelled.join(buckets.withColumns({"blocks": blocks, "chunks": chunks}), "key")
-    ids = written(rows.select("member").distinct(), "ends")
+    rows = labelled.join(buckets, "key")
+    ids = folded(rows.select("member").distinct(), "ends")
     sign = with_ids(sketches.select("doc_id", "signature"), "doc_id", ids, keep=True)
-    rows = rows.join(sign, rows["member"] == sign["doc_id"])
+    bodies = sign.join(with_ids(texts, "doc_id", ids, keep=True), "doc_id").withColumnRenamed("doc_id", "member")
+    rows = rows.join(bodies, "member")
     spot = lambda n: F.pmod(F.xxhash64("member"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["key", "hub", "member", "component", "signature"]
-    minor = rows.where(F.col("component") != F.col("major.component"))
+    columns = ["key", "hub", "major", "member", "component", "n_shingles", "signature", "text"]
+    minor = rows.where("component <> major")
     minor = minor.select(*columns, spot("blocks").alias("block"), every("chunks").alias("chunk"), F.lit(True).alias("minor"))
     others = rows.select(*columns, every("blocks").alias("block"), spot("chunks").alias("chunk"), F.lit(False).alias("minor"))
-    pairs = minor.unionByName(others).groupBy("key", "block", "chunk").applyInPandas(_compared, "hub long, member long")
-    return pairs.distinct()
+    links = minor.unionByName(others).groupBy("key", "block", "chunk").applyInArrow(_settled, "u long, v long")
+    return folded(links.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,22 +221,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(texts.mapInArrow(_sketch, SKETCH), "sketches")
     known = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
+    classes = folded(known.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     mine = (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["class"])
-    keys = written(known.join(classes, mine).select(F.col("class").alias("member"), F.explode("bands").alias("key")), "keys")
+    keys = known.join(classes, mine).select(F.col("class").alias("member"), "n_shingles", F.explode("bands").alias("key"))
+    keys = written(keys, "keys")
     hub = F.min(F.struct(F.xxhash64("member", "key").alias("by"), "member"))["member"]
     hubs = keys.groupBy("key").agg(hub.alias("hub"), F.min("member").alias("low"), F.max("member").alias("high"))
-    hubs = written(hubs.where("low < high").select("key", "hub"), "hubs")
-    shared = written(keys.join(hubs, "key").select("key", "hub", "member"), "shared")
+    hubs = folded(hubs.where("low < high").select("key", "hub"), "hubs")
+    shared = written(keys.join(hubs, "key").select("key", "hub", "member", "n_shingles"), "shared")
     links = _confirmed(shared.where("hub <> member").select("hub", "member").distinct(), sketches, texts)
-    parts = written(components(links), "parts")
-    more = _unsettled(shared, parts, sketches)
-    if more is not None:
-        found = _confirmed(more, sketches, texts)
-        if not found.isEmpty():
-            parts = written(components(links.unionByName(found)), "parts")
+    parts = folded(components(links), "parts")
+    more = _unsettled(shared, parts, sketches, texts)
+    if more is not None and not more.isEmpty():
+        stars = parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        parts = folded(components(stars.unionByName(more)), "parts")
     groups = classes.join(parts, classes["class"] == parts["node"], "left")
-    groups = written(groups.select("digest", F.coalesce("component", "class").alias("component_id")), "groups")
+    groups = folded(groups.select("digest", F.coalesce("component", "class").alias("component_id")), "groups")
     slim = sketches.select("doc_id", "n_shingles", "digest")
     # Rows without shingles or id stay out of the join: their common digest would be a hot key.
     joins = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
@@ -221,4 +251,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat the id of a document that stays all stay.
     """
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id").distinct()
-    return with_ids(docs, id_col, written(gone, "gone"), keep=False)
+    return with_ids(docs, id_col, folded(gone, "gone"), keep=False)
