@@ -134,13 +134,23 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     return Model(weights.astype(np.float32), float(base))
 
 
+def _logistic(z: np.ndarray | float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-np.asarray(z, np.float64)))
+
+
+def _noisy_or(p: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return -np.expm1(np.bincount(of, np.log1p(-p), rows))
+
+
 def _sentence_scores(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, row and score of each sentence."""
     first, row = sentences(words)
     ids, of = features(words)
     per_word = np.bincount(of, model.weights[ids], len(words.start))
     z = np.add.reduceat(per_word, first) + model.base if len(first) else np.empty(0)
-    return first, row, 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    return first, row, _logistic(z)
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -164,12 +174,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        blank = 1 / (1 + np.exp(-np.clip(model.base, -700, 700)))
+        blank = _logistic(model.base)
         for batch in batches:
             for row, to, words in _scan(batch.column(1)):
                 _, of, p = _sentence_scores(words, model)
-                clean = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-12)), to - row)
-                score = np.where(words.counts() > 0, -np.expm1(clean), blank)
+                score = np.where(words.counts() > 0, _noisy_or(p, of, to - row), blank)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(score)], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
