@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import written
+from faregrid.llm.common import folded, written
 
 SAMPLE = 8192
 MOST_LISTS = 1024
@@ -35,7 +35,7 @@ BLOCK_ROWS = 2048
 QUERY_ROWS = 128
 COLUMNS = 16
 EPSILON = 2.1
-SLACK = 1.0001  # for single precision in the rotated space
+SLACK, NOISE = 1.0001, 1e-9  # for single precision in the rotated space, of the bound and of the vector's square
 
 
 def usable(vector: Column) -> Column:
@@ -51,13 +51,15 @@ class Index:
         rng = np.random.default_rng(11)
         dims = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0].astype(np.float32)
-        lists = max(1, min(MOST_LISTS, int(rows**0.5), len(sample) // 16))
-        centres = sample[rng.permutation(len(sample))[:lists]].copy()
+        # Equal vectors count once, or equal centres would split them at random.
+        pool = np.unique(sample, axis=0)
+        lists = max(1, min(MOST_LISTS, int(rows**0.5), len(pool) // 16))
+        centres = pool[rng.permutation(len(pool))[:lists]]
         for _ in range(10):
-            own = self._nearest(sample, centres, 1)[:, 0]
-            sums, count = np.zeros_like(centres), np.bincount(own, minlength=lists)
-            np.add.at(sums, own, sample)
-            centres[count > 0] = sums[count > 0] / count[count > 0, None]
+            own = self._nearest(pool, centres, 1)[:, 0]
+            sums, count = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+            np.add.at(sums, own, pool)
+            centres = sums[count > 0] / count[count > 0, None]
         self.centres = centres
         self.probes = self._calibrated(sample, k)
 
@@ -91,7 +93,7 @@ def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
 
 def _scan(q: np.ndarray, columns: list[np.ndarray], k: int, bound: float) -> np.ndarray:
     """Rows of a block that may be among the k nearest of ``q``; ``bound`` is a squared distance."""
-    dims = len(q)
+    dims, noise = len(q), NOISE * float(q @ q)
     rows = len(columns[0])
     head = slice(0, min(rows, 4 * k))  # measured whole, for a first bound of the block
     first = sum(((c[head] - q[i * COLUMNS : i * COLUMNS + c.shape[1]]) ** 2).sum(axis=1) for i, c in enumerate(columns))
@@ -103,7 +105,7 @@ def _scan(q: np.ndarray, columns: list[np.ndarray], k: int, bound: float) -> np.
         partial = partial + ((part - q[seen : seen + c.shape[1]]) ** 2).sum(axis=1)
         seen += c.shape[1]
         limit = bound * SLACK if seen == dims else bound * seen / dims * (1 + EPSILON / seen**0.5) ** 2
-        stays = partial <= limit
+        stays = partial <= limit + noise
         alive, partial = alive[stays], partial[stays]
     return alive
 
@@ -116,7 +118,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    rows = written(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    rows = folded(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
     sizes = rows.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
     usual = sizes.orderBy(F.desc("n"), "dims").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -197,7 +199,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    first = written(ranked(searched(probes.where("probe = 0").withColumn("bound", F.lit(None).cast("double")))), "first")
+    first = folded(ranked(searched(probes.where("probe = 0").withColumn("bound", F.lit(None).cast("double")))), "first")
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     others = probes.where("probe > 0").join(bounds, "vec_id", "left")
     both = first.drop("rank").unionByName(searched(others))
