@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import n_words, unused, written
+from faregrid.llm.common import folded, n_words, unused, written
 from faregrid.llm.ranks import with_ranks
 
 WEIGHTS = (1, 2, 3)
@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     known = sizes.withColumn("none", F.col("source").isNull())
     ranked = with_ranks(known, [], [F.col("none"), F.col("source")])
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    sources = written(
+    sources = folded(
         ranked.select("source", "source_size", weight.cast("long").alias("weight"), (F.col("source_size") * most).alias("cap")),
         "sources",
     )
@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
         level = ((now["all"] or 0) - (now["cap"] or 0)) / now["weight"]
     share = F.lit(float(level)) * F.col("weight")
     target = F.when(F.col("cap") < share, F.col("cap").cast("double")).otherwise(share)
-    return written(sources.select("source", "source_size", "weight", target.alias("target")), "targets")
+    return folded(sources.select("source", "source_size", "weight", target.alias("target")), "targets")
 
 
 def mixture(
@@ -92,16 +92,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: each row of ``docs`` as often as it has copies, columns as they were."""
     drawn = mixture(docs, id_col, text_col, source_col, **how)
     drawn = drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    size, turn = unused(docs, "size"), unused(docs, "turn")
+    size, turn, copy = (unused(docs, x) for x in ("size", "turn", "copy"))
     keys = [id_col, source_col, size]
     # Rows alike in id, source and size share their copies evenly; the join needs the same shuffle.
     lined = docs.withColumn(size, n_words(docs[text_col]))
     lined = lined.withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(text_col)))
-    right = drawn.select(*[F.col(c).alias(f"__{c}") for c in drawn.columns]).where("__copies > 0")
+    right = {c: unused(docs, f"drawn_{c}") for c in ("doc_id", "source", "size", "copies", "rows")}
+    drawn = drawn.where("copies > 0").select(*[F.col(c).alias(name) for c, name in right.items()])
     same = (
-        lined[id_col].eqNullSafe(right["__doc_id"]) & lined[source_col].eqNullSafe(right["__source"]) & (lined[size] == right["__size"])
+        lined[id_col].eqNullSafe(drawn[right["doc_id"]])
+        & lined[source_col].eqNullSafe(drawn[right["source"]])
+        & (lined[size] == drawn[right["size"]])
     )
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col(turn) <= F.pmod(F.col("__copies"), F.col("__rows"))).cast("long")
+    copies, rows = F.col(right["copies"]), F.col(right["rows"])
+    own = F.floor(copies / rows) + (F.col(turn) <= F.pmod(copies, rows)).cast("long")
     many = F.array_repeat(F.lit(0), own.cast("int"))
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return lined.join(right, same).select(*kept, F.explode(many).alias("__copy")).drop("__copy")
+    return lined.join(drawn, same).select(*kept, F.explode(many).alias(copy)).drop(copy)
