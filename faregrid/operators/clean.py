@@ -16,7 +16,7 @@ from faregrid.functions.calendar import elapsed_minutes
 from faregrid.functions.economics import per_unit
 from faregrid.params import DEFAULTS, Params, Range
 from faregrid.plans.columns import with_computed
-from faregrid.plans.thresholds import value_count_quantile
+from faregrid.plans.thresholds import exact_quantiles, value_count_quantile
 
 # Columns a library-path trip may not lack.
 CRITICAL = (
@@ -94,15 +94,17 @@ def drop_critical_nulls(df: DataFrame) -> DataFrame:
     return df.dropna(subset=list(CRITICAL))
 
 
-def impute_median(df: DataFrame, column: str = "passenger_count") -> DataFrame:
+def impute_median(df: DataFrame, column: str = "passenger_count", continuous: bool = False) -> DataFrame:
     """Fill NULLs with the column's median, if the column exists.
 
     The median comes from value counts: a count column has few distinct
-    values, so its state stays small whatever the number of trips.
+    values, so its state stays small whatever the number of trips. For a
+    ``continuous`` column it comes from the bounded passes of exact quantiles.
     """
     if column not in df.columns:
         return df
-    median = value_count_quantile(df, column, 0.5).scalar()
+    found = exact_quantiles(df, {"q": (column, 0.5)}) if continuous else value_count_quantile(df, column, 0.5)
+    median = found.scalar()
     return df.withColumn(column, F.coalesce(F.col(column).cast("double"), median))
 
 

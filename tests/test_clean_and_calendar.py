@@ -185,3 +185,10 @@ def test_durations_and_bins_ignore_the_session_zone(spark, zone):
         assert tuple(row) == (100.0, 9 * 144 + 19, 19)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("continuous", [False, True])
+def test_median_of_counts_and_of_a_continuous_column(spark, continuous):
+    df = spark.createDataFrame([(1, 0.25), (2, None), (3, 7.5), (4, 1.125), (5, 2.0)], "i int, passenger_count double")
+    got = {r.i: r.passenger_count for r in clean.impute_median(df, continuous=continuous).collect()}
+    assert got == {1: 0.25, 2: 1.5625, 3: 7.5, 4: 1.125, 5: 2.0}
