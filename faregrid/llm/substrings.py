@@ -33,8 +33,8 @@ from faregrid.llm.words import Words, scan
 
 WINDOW = 20
 PREFIX = 4
-SHARED = 1000  # occurrences from which a prefix is lengthened to the whole window
 GROUP = 20_000  # anchored stretches a task holds at once, about 4 MB
+SHARED = GROUP  # a prefix that alone exceeds a group is lengthened to the whole window
 LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 28) - 1)
 _RUNS = "prefix long, doc long, first int, n int"
@@ -81,16 +81,26 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["prefix", "doc", "first", "n"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as Python objects take many times their bytes."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each stretch of (doc, text, runs)."""
-    for batch in batches:
+    for batch in _slices(batches):
+        out: list[tuple] = []
         for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             words = text.encode().split()
-            runs = [r for r in runs if r["first"] + r["n"] + WINDOW - 1 <= len(words)]
-            said = [b" ".join(words[r["first"] : r["first"] + r["n"] + WINDOW - 1]) for r in runs]
-            columns = [pa.array([r[k] for r in runs], kind) for k, kind in (("prefix", pa.int64()), ("first", pa.int32()), ("n", pa.int32()))]
-            columns += [pa.array([doc] * len(runs), pa.int64()), pa.array(said, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["prefix", "first", "n", "doc", "words"])
+            for r in runs:
+                end = r["first"] + r["n"] + WINDOW - 1
+                if end <= len(words):
+                    out.append((r["prefix"], r["first"], r["n"], doc, b" ".join(words[r["first"] : end])))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["prefix", "first", "n", "doc", "words"])
 
 
 def _leaves(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,41 +153,35 @@ def _subtrees(group: pa.Table) -> pa.Table:
 
 def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of each stretch under the digest of its words."""
-    for batch in batches:
-        firsts, ns, docs, said = (batch.column(c).to_pylist() for c in ("first", "n", "doc", "words"))
-        for at in range(0, len(batch), 512):
-            out: list[tuple] = []
-            for first, n, doc, text in zip(firsts[at : at + 512], ns[at : at + 512], docs[at : at + 512], said[at : at + 512], strict=True):
-                words = text.split()
-                out += [
-                    (hashlib.blake2b(b" ".join(words[j : j + WINDOW]), digest_size=16).digest(), doc, first + j) for j in range(n)
-                ]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            kinds = [pa.binary(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["window", "doc", "start"])
+    for batch in _slices(batches, 512):
+        out: list[tuple] = []
+        for first, n, doc, text in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "doc", "words")), strict=True):
+            words = text.split()
+            out += [(hashlib.blake2b(b" ".join(words[j : j + WINDOW]), digest_size=16).digest(), doc, first + j) for j in range(n)]
+        kinds = [pa.binary(), pa.int64(), pa.int32()]
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 3, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["window", "doc", "start"])
 
 
 def _kept(digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words outside the repeats of (doc, text, ranges)."""
-        for batch in batches:
-            docs, texts, marks = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(docs), 64):
-                out = []
-                for doc, text, ranges in zip(docs[at : at + 64], texts[at : at + 64], marks[at : at + 64], strict=True):
-                    words = text.encode().split()
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    for r in ranges:
-                        a, b = min(r["start"], len(words)), min(r["start"] + r["n"] + WINDOW - 1, len(words))
-                        edges[a] += 1
-                        edges[b] -= 1
-                    stays = np.cumsum(edges[:-1]) == 0
-                    left = b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s])
-                    own = hashlib.sha256(b" ".join(words)).hexdigest()
-                    out.append((doc, own, int((~stays).sum()), hashlib.sha256(left).hexdigest() if digests else left.decode()))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "n_removed", "kept"])
+        for batch in _slices(batches):
+            out = []
+            for doc, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = text.encode().split()
+                edges = np.zeros(len(words) + 1, np.int64)
+                for r in ranges:
+                    a, b = min(r["start"], len(words)), min(r["start"] + r["n"] + WINDOW - 1, len(words))
+                    edges[a] += 1
+                    edges[b] -= 1
+                stays = np.cumsum(edges[:-1]) == 0
+                left = b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s])
+                own = hashlib.sha256(b" ".join(words)).hexdigest()
+                out.append((doc, own, int((~stays).sum()), hashlib.sha256(left).hexdigest() if digests else left.decode()))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "n_removed", "kept"])
 
     return run
 
@@ -192,7 +196,7 @@ def _beside_text(texts: DataFrame, rows: DataFrame, fields: list[str], name: str
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """Written (doc, start, n): n windows from word start on are repeats. ``texts`` has doc, text."""
     runs = written(texts.mapInArrow(_stretches, _RUNS), "runs")
-    counts = folded(runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "prefixes")
+    counts = written(runs.groupBy("prefix").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1"), "prefixes")
     open_runs = written(runs.join(counts, "prefix"), "open")
     fields = ["prefix", "first", "n"]
     kinds = "prefix long, first int, n int, doc long, words binary"
