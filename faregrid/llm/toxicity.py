@@ -81,14 +81,13 @@ def _scan(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield row, to, words_of(data[at[row] : at[to]], at[row : to + 1] - at[row], lower=True, letters=True)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Train on a bounded sample of documents, on the driver."""
     weights, positive = np.zeros(1 << BITS), float(labels.mean()) if len(labels) else 0.0
     if not 0 < positive < 1:
         return Model(weights, np.inf if positive else -np.inf)
-    column = pa.array(texts)
     seen = np.zeros((2, 1 << BITS), np.int64)
-    for row, to, words in _scan(column):
+    for row, to, words in _scan(texts):
         ids, of = features(words)
         pairs = np.unique((words.row_of()[of] << BITS) | ids)
         label = labels[row + (pairs >> BITS)]
@@ -103,7 +102,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     used, owner, rows, done = [], [], [], 0
-    for row, _, words in _scan(column):
+    for row, _, words in _scan(texts):
         first, of_row = sentences(words)
         ids, of = features(words)
         kept = place[ids] >= 0
@@ -164,8 +163,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         known = known.where(rank < F.lit(int((1 << 30) * 0.9 * sample / total)))
     known = written(known, "labels")
     texts = with_ids(docs.select("doc_id", "text").where("text is not null"), "doc_id", written(known.select("doc_id"), "ids"), keep=True)
-    rows = texts.join(known, "doc_id").select(F.xxhash64("doc_id").alias("by"), "text", "toxic").toPandas().sort_values(["by", "text"])
-    return fit(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(np.int64))
+    rows = texts.join(known, "doc_id").select(F.xxhash64("doc_id").alias("by"), F.xxhash64("text").alias("then"), "toxic", "text").toArrow()
+    # A fixed order, so that sums and with them the model do not depend on the tasks' order.
+    order = rows.select(["by", "then"]).to_pandas().sort_values(["by", "then"]).index.to_numpy()
+    labels = (rows.column("toxic").to_numpy()[order] > 0).astype(np.int64)
+    ordered = rows.column("text").combine_chunks().cast(pa.large_string()).take(pa.array(order))
+    del rows
+    return fit(ordered, labels)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
