@@ -1,9 +1,12 @@
 """Licence notices by the Dice coefficient over word bigrams.
 
 Texts are normalised to lower-case words of letters and digits. Each line, each paragraph and the
-whole text is compared with the templates. A coefficient of ``least`` or more bounds the size of the
-set of bigrams from both sides and the number of shared bigrams from below, so most units and
-templates are never compared; no unit that reaches the threshold is lost.
+whole text is compared with the templates and, if ``inline``, each stretch of words wherever it
+begins and ends, across line breaks too, whose number of bigrams is in the template's size range. A
+coefficient of ``least`` or more bounds the size of the set of bigrams from both sides and the number
+of shared bigrams from below, so most units, stretches and templates are never compared; none that
+reaches the threshold is lost. The best stretches begin and end with a bigram of the template, so
+only those are looked at.
 
 Defined results: null, empty and one-word texts have no licence and score 0. Equal scores go to the
 template first by name. Rows that repeat an id are scanned each on its own. Other columns take no
@@ -73,6 +76,7 @@ class Templates:
         # Dice >= t for sizes a, b: a >= t b / (2 - t), a <= b (2 - t) / t, shared >= t b / (2 - t).
         self.ratio = least / (2 - least)
         self.fewest = min((len(g) * self.ratio for _, g in self.sets), default=np.inf)
+        self.members = [np.isin(self.known, g) for _, g in self.sets]
 
     def best(self, grams: np.ndarray) -> tuple[float, str | None]:
         """Best template for the bigrams of a unit that reaches the threshold."""
@@ -95,7 +99,41 @@ def _units(words: Words) -> Iterator[np.ndarray]:
         yield np.concatenate([[0], np.cumsum(fresh)])
 
 
-def found(words: Words, templates: Templates, rows: int) -> list[tuple[float, str | None]]:
+def _stretches(words: Words, templates: Templates) -> Iterator[tuple[int, float, str]]:
+    """Row, score and template of the best stretch from each word on that reaches the threshold."""
+    grams, row = words.grams(2), words.row_of()
+    hit = np.flatnonzero((row[1:] == row[:-1]) & templates.table[grams >> np.uint64(64 - _TABLE_BITS)])
+    which = np.minimum(np.searchsorted(templates.known, grams[hit]), len(templates.known) - 1)
+    exact = templates.known[which] == grams[hit]
+    hit, which = hit[exact], which[exact]
+    last = words.first[1:][row[hit]] - 1
+    for (name, other), member in zip(templates.sets, templates.members, strict=True):
+        mine = member[which]
+        at = hit[mine]
+        fewest = len(other) * templates.ratio - 1e-9
+        if len(at) < fewest:
+            continue
+        end = np.minimum(at + int(len(other) / templates.ratio + 1e-9), last[mine])
+        enough = np.searchsorted(at, end) - np.arange(len(at)) >= fewest
+        start, end = at[enough], end[enough]
+        if not len(start):
+            continue
+        shared = np.zeros(len(grams), bool)
+        shared[at] = True
+        # Equal stretches are compared once.
+        _, lead, same = np.unique(words.spans(words.start[start], words.end[end]), return_index=True, return_inverse=True)
+        dice = np.zeros(len(lead))
+        for i, (a, b) in enumerate(zip(start[lead].tolist(), end[lead].tolist(), strict=True)):
+            fresh = np.zeros(b - a, bool)
+            fresh[np.unique(grams[a:b], return_index=True)[1]] = True
+            common = np.cumsum(fresh & shared[a:b])
+            if common[-1] >= fewest:
+                dice[i] = (2 * common / (np.cumsum(fresh) + len(other))).max()
+        for i in np.flatnonzero(dice[same] >= templates.least):
+            yield int(row[start[i]]), float(dice[same[i]]), name
+
+
+def found(words: Words, templates: Templates, rows: int, inline: bool = False) -> list[tuple[float, str | None]]:
     """Best score and template of each row."""
     out: list[tuple[float, str | None]] = [(0.0, None)] * rows
     grams = words.grams(2)
@@ -113,13 +151,25 @@ def found(words: Words, templates: Templates, rows: int) -> list[tuple[float, st
             at = row[a]
             if (score, out[at][1] or "~") > (out[at][0], name or "~"):
                 out[at] = (score, name)
+    if inline:
+        for at, score, name in _stretches(words, templates):
+            if (score, out[at][1] or "~") > (out[at][0], name):
+                out[at] = (score, name)
     return out
 
 
 def scanned(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Mapping[str, str] = TEMPLATES, least: float = LEAST
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    texts: Mapping[str, str] = TEMPLATES,
+    least: float = LEAST,
+    inline: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, license (null if none), dice."""
+    """One row per row of ``docs``: doc_id, license (null if none), dice.
+
+    With ``inline``, notices that share their line with other words are found too.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +178,7 @@ def scanned(
             data, at = buffers(batch.column(1))
             for row, to in pieces(at):
                 words = words_of(data[at[row] : at[to]], at[row : to + 1] - at[row], lower=True, letters=True)
-                best = found(words, templates, to - row)
+                best = found(words, templates, to - row, inline)
                 columns = [pa.array([n for _, n in best], pa.string()), pa.array([s for s, _ in best], pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), *columns], ["doc_id", "license", "dice"])
 

@@ -97,7 +97,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_license_notices")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(table(spark, sf_dir, "documents"))
+    return licenses.scanned(table(spark, sf_dir, "documents"), inline=True)
 
 
 OP10_SQL = r"""

@@ -162,6 +162,43 @@ class TestLicenses:
         got = {r["doc_id"]: (r["dice"], r["license"]) for r in licenses.scanned(docs).collect()}
         assert got == {i: self.brute(t) for i, t in texts.items()}
 
+    def stretches(self, text, least=licenses.LEAST):
+        """Best (dice, license) over all stretches in the templates' size ranges, one by one."""
+        import re
+
+        words = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+        said, best = words(text), (0.0, None)
+        said = list(zip(said, said[1:], strict=False))
+        for name, template in sorted(licenses.TEMPLATES.items()):
+            other = words(template)
+            other = set(zip(other, other[1:], strict=False))
+            for a in range(len(said)):
+                for b in range(a + 1, min(len(said), a + int(len(other) * (2 - least) / least + 1e-9)) + 1):
+                    own = set(said[a:b])
+                    dice = 2 * len(own & other) / (len(own) + len(other))
+                    if dice >= least and dice > best[0]:
+                        best = (dice, name)
+        return best
+
+    def test_notices_inside_lines(self, spark):
+        rng = brute.seeded(7)
+        rows = [
+            (1, "Copyright (c) 2020 Jane Doe. Released under the MIT License."),
+            (2, f"{brute.prose(rng, 30)} licensed under CC BY 4.0, {brute.prose(rng, 40)}"),
+            (3, f"// {licenses.TEMPLATES['BSD'][:40]}\n// {licenses.TEMPLATES['BSD'][40:]} {brute.prose(rng, 9)}"),
+            (4, "under the license " * 60),
+            (5, None),
+        ]
+        for n, name in enumerate(("GPL-2.0", "MIT", "MPL-2.0", "Unlicense")):
+            for i in range(4):
+                said = brute.mutated(rng, licenses.TEMPLATES[name], 0.05 * i)
+                rows.append((10 * n + 10 + i, f"{brute.prose(rng, 9)} {said} {brute.prose(rng, 5)}"))
+        got = {r["doc_id"]: (r["dice"], r["license"]) for r in licenses.scanned(brute.documents(spark, rows), inline=True).collect()}
+        assert (got[1], got[2], got[3]) == ((1.0, "MIT"), (1.0, "CC-BY-4.0-short"), (got[3][0], "BSD"))
+        for i, text in rows:
+            dice, name = max(self.stretches(text or ""), self.brute(text), key=lambda x: x[0])
+            assert (got[i][1], round(got[i][0], 12)) == (name, round(dice, 12)), i
+
     def test_empty(self, spark):
         assert licenses.scanned(brute.documents(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
 
