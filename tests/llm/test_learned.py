@@ -199,6 +199,30 @@ class TestLicenses:
             dice, name = max(self.stretches(text or ""), self.brute(text), key=lambda x: x[0])
             assert (got[i][1], round(got[i][0], 12)) == (name, round(dice, 12)), i
 
+    def test_sister_licences_and_all_notices(self, spark):
+        header = licenses.TEMPLATES["GPL-3.0-header"].replace
+        conditions = licenses.TEMPLATES["BSD-2-Clause"]
+        texts = {
+            "GPL-2.0-header": header("version 3", "version 2"),
+            "GPL-3.0-header": header("", ""),
+            "LGPL-3.0-header": header("GNU General", "GNU Lesser General"),
+            "AGPL-3.0-header": header("GNU General", "GNU Affero General"),
+            "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+            "BSD-2-Clause": f"Copyright (c) 2020 Jane Doe. {conditions}",
+            "BSD-3-Clause": f"{conditions}\n{licenses.TEMPLATES['BSD-3-Clause'][len(conditions):]}",
+        }
+        rows = list(enumerate(texts.values()))
+        rows.append((101, licenses.TEMPLATES["BSD-3-Clause"].replace("the copyright holder", "Doe Inc.")))
+        rows.append((100, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."))
+        got = {r["doc_id"]: r for r in licenses.scanned(brute.documents(spark, rows), inline=True).collect()}
+        assert [(got[i]["license"], got[i]["dice"]) for i in range(len(texts))] == [(name, 1.0) for name in texts]
+        assert got[101]["license"] == "BSD-3-Clause" and 0.9 < got[101]["dice"] < 1
+        both = {n["license"]: n["dice"] for n in got[100]["notices"]}
+        assert both["MIT"] == both["Apache-2.0"] == 1.0
+        for r in got.values():
+            ranked = [(-n["dice"], n["license"]) for n in r["notices"]]
+            assert ranked == sorted(ranked) and (-r["dice"], r["license"]) in ranked and -ranked[-1][0] >= licenses.LEAST
+
     def test_empty(self, spark):
         assert licenses.scanned(brute.documents(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
 
