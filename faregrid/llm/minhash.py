@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import folded, with_ids, written
+from faregrid.llm.common import folded, unused, with_ids, written
 from faregrid.llm.components import components
 from faregrid.llm.words import Words, mixed, scan
 
@@ -245,10 +245,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates; all columns stay.
 
-    Rows that repeat the id of a document that stays all stay.
+    Rows that repeat the id of a document that stays all stay. With ``by_row`` each row is a
+    document of its own, also without an id: the row of smallest id stays, null being last.
     """
+    if by_row:
+        return _one_row_of_each(docs, id_col, text_col)
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id").distinct()
     return with_ids(docs, id_col, folded(gone, "gone"), keep=False)
+
+
+def _one_row_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    number = unused(docs, "row")
+    # Written, so that a row that is read again has its number again.
+    docs = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = written(near_duplicates(docs, number, text_col).select(F.col("doc_id").alias("row"), "component_id"), "rows")
+    groups = folded(rows.where("row <> component_id").select("component_id").distinct(), "groups")
+    members = folded(with_ids(rows, "component_id", groups, keep=True), "members")
+    ids = docs.select(F.col(number).alias("row"), F.col(id_col).alias("id"))
+    ids = with_ids(ids, "row", members.select("row"), keep=True)
+    members = folded(members.join(ids, "row"), "named")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("stays"))
+    first = folded(first.select(F.col("stays").alias("row")), "first")
+    gone = folded(with_ids(members.select("row"), "row", first, keep=False), "gone")
+    return with_ids(docs, number, gone, keep=False).drop(number)

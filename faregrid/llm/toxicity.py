@@ -29,6 +29,7 @@ from faregrid.llm.words import Words, buffers, pieces, words_of
 
 SAMPLE = 12_000
 HOLD_OUT = 5
+LEAST_TOXIC = 0.5
 BITS = 20
 GROUPS = (4, 6)  # bytes of a letter group
 MOST_WORDS = 32
@@ -172,17 +173,21 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(ordered, labels)
 
 
+def _scores(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row range and score of each row, piece by piece."""
+    blank = _logistic(model.base)
+    for row, to, words in _scan(texts):
+        _, of, p = _sentence_scores(words, model)
+        yield row, to, np.where(words.counts() > 0, _noisy_or(p, of, to - row), blank)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        blank = _logistic(model.base)
         for batch in batches:
-            for row, to, words in _scan(batch.column(1)):
-                _, of, p = _sentence_scores(words, model)
-                score = np.where(words.counts() > 0, _noisy_or(p, of, to - row), blank)
+            for row, to, score in _scores(batch.column(1), shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(score)], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -219,11 +224,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= LEAST_TOXIC).cast("int").alias("predicted"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents predicted toxic; all columns stay."""
-    found = toxicity(docs, labels, id_col, text_col).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return with_ids(docs, id_col, written(found, "toxic"), keep=False)
+    """``docs`` without the rows predicted toxic; all columns stay.
+
+    Each row goes or stays by its own text, whether its id is null or shared with other rows.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(slim, labels))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, score in _scores(batch.column(place), shared.value):
+                yield batch.slice(row, to - row).filter(pa.array(score < LEAST_TOXIC))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 import pytest
 
+import corpus_pipeline
 from faregrid.llm import components, exact_dedup, minhash, substrings
 from tests.llm import brute
 
@@ -116,6 +117,30 @@ class TestNear:
         assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+class TestNearByRow:
+    def test_one_row_of_each_group_stays(self, spark):
+        a, b, c = BASE[:3]
+        rows = [(None, a + " end"), (7, a), (None, "alone " + brute.prose(brute.seeded(11), 40)), (None, c), (None, c + " end")]
+        # The two texts of id 5 are documents of their own: 4 stands for one, 5 for the other.
+        rows += [(5, a + " tail"), (5, b), (4, a + " more"), (9, b + " end"), (10, None), (None, None), (None, "")]
+        docs = brute.documents(spark, rows)
+        for left in (minhash.drop_near_copies(docs, by_row=True), corpus_pipeline.near(spark, docs, "")):
+            assert left.columns == docs.columns
+            got = [(r["doc_id"], r["text"]) for r in left.collect()]
+            assert len(got) == 7
+            assert {(4, a + " more"), (5, b), rows[2], (10, None), (None, None), (None, "")} < set(got)
+            assert len({(None, c), (None, c + " end")} & set(got)) == 1
+
+    def test_as_by_id_where_ids_are_unique(self, spark):
+        rows = near_rows()[:-1]
+        rows = list({i: (i, t) for i, t in rows}.values())
+        got = sorted(r["doc_id"] for r in minhash.drop_near_copies(brute.documents(spark, rows), by_row=True).collect())
+        assert got == sorted(set(brute.near_components(rows).values()))
+
+    def test_empty(self, spark):
+        assert minhash.drop_near_copies(empty(spark), by_row=True).count() == 0
+
+
 class TestSubstrings:
     def rows(self):
         rng = brute.seeded(9)

@@ -49,6 +49,18 @@ class TestToxicity:
         assert left.columns == docs.columns
         assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in got if not (r["predicted"] and r["doc_id"] is not None)}
 
+    def test_rows_go_by_their_own_text(self, spark):
+        rows, labels = self.rows()
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        extra = [(None, "You vile one"), (None, "plain w1"), (2000, "A vile day"), (2000, "plain w2")]
+        docs = brute.documents(spark, rows + extra)
+        left = toxicity.drop_toxic(docs, known)
+        assert left.schema == docs.schema
+        got = sorted((str(r["doc_id"]), r["text"]) for r in left.collect() if r["doc_id"] in (None, 2000))
+        assert got == [("2000", "plain w2"), ("None", "plain w1")]
+        clean = toxicity.toxicity(docs, known).where("predicted = 0").count()
+        assert left.count() == clean
+
     def test_labels_of_held_out_rows_are_not_learned(self, spark):
         rows, labels = self.rows()
         docs = brute.documents(spark, rows).select("doc_id", "text")
