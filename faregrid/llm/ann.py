@@ -5,7 +5,8 @@ estimate the whole distance. A list is stored in blocks of rows, each as column
 dimensions. A query scans the lists of its nearest centres column block by column block; a
 candidate whose partial distance shows, by a hypothesis test, that the whole one is very
 probably beyond the k-th best so far is abandoned. A first scan of the nearest list sets that
-bound for the others. What remains is measured exactly on the original vectors.
+bound for the others. What remains is measured exactly on the original vectors. Queries that then
+have fewer than k rows measure whole lists, twice as many each time, until they have k.
 
 Centres and the number of lists to probe come from a sample of at most SAMPLE vectors; every
 vector is indexed. The number of probes is the smallest whose recall on the sample reaches
@@ -136,14 +137,16 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
             own = shared.value.lists(_matrix(batch.column(1)))[:, 0]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], ["list", "vec_id", "vector"])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            lists = index.lists(_matrix(batch.column(1)), index.probes)
-            n = lists.shape[1]
-            take = pa.array(np.repeat(np.arange(len(batch)), n))
-            columns = [pa.array(lists.ravel(), pa.int32()), pa.array(np.tile(np.arange(n), len(batch)), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns + [c.take(take) for c in batch.columns], ["list", "probe", "vec_id", "vector"])
+    def probing(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = shared.value.lists(_matrix(batch.column(1)), most)
+                n = lists.shape[1]
+                take = pa.array(np.repeat(np.arange(len(batch)), n))
+                columns = [pa.array(lists.ravel(), pa.int32()), pa.array(np.tile(np.arange(n), len(batch)), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns + [c.take(take) for c in batch.columns], ["list", "probe", "vec_id", "vector"])
+
+        return run
 
     def block(group: pa.Table) -> pa.Table:
         """A block of a list: ids, original vectors, and rotated ones by column blocks."""
@@ -159,9 +162,10 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     dealt = in_lists.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     blocks = dealt.select("list", "block", "vec_id", "vector").groupBy("list", "block")
     blocks = written(blocks.applyInArrow(block, "list int, ids binary, originals binary, rotated binary"), "blocks")
-    probes = written(rows.where(asked).mapInArrow(probing, "list int, probe int, vec_id long, vector array<float>"), "probes")
+    probe_kinds = "list int, probe int, vec_id long, vector array<float>"
+    probes = written(rows.where(asked).mapInArrow(probing(shared.value.probes), probe_kinds), "probes")
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
         index, dims = shared.value, usual["dims"]
         for batch in batches:
             queries, bounds, originals, rotated, ids = (batch.column(c).to_pylist() for c in ("queries", "bounds", "originals", "rotated", "ids"))
@@ -179,7 +183,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for query, bound, q, t in zip(queries[at], bounds[at], asked_vectors, turned, strict=True):
                     # The query itself may be in the block: one more than k.
-                    near = _scan(t, columns, k + 1, np.inf if bound is None else bound * bound * SLACK)
+                    near = np.arange(len(own)) if whole else _scan(t, columns, k + 1, np.inf if bound is None else bound * bound * SLACK)
                     near = near[own[near] != query]
                     apart = x[near].astype(np.float64) - q.astype(np.float64)
                     score = np.sqrt((apart * apart).sum(axis=1))
@@ -188,14 +192,14 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
                 columns_out = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns_out)), ["query_id", "vec_id", "score"])
 
-    def searched(asked_rows: DataFrame) -> DataFrame:
+    def searched(asked_rows: DataFrame, whole: bool = False) -> DataFrame:
         """Queries of a list in groups, each group against each block of the list."""
         sizes = asked_rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).alias("groups"))
         dealt = asked_rows.join(F.broadcast(sizes), "list").withColumn("group", F.pmod(F.xxhash64("vec_id"), F.col("groups")))
         grouped = dealt.groupBy("list", "group").agg(F.collect_list(F.struct("vec_id", "bound", "vector")).alias("q"))
         grouped = grouped.select("list", F.col("q.vec_id").alias("queries"), F.col("q.bound").alias("bounds"), F.flatten("q.vector").alias("vectors"))
         pairs = blocks.join(grouped, "list").select("queries", "bounds", "vectors", "ids", "originals", "rotated")
-        return pairs.mapInArrow(found, "query_id long, vec_id long, score double")
+        return pairs.mapInArrow(lambda batches: found(batches, whole), "query_id long, vec_id long, score double")
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -203,4 +207,21 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     others = probes.where("probe > 0").join(bounds, "vec_id", "left")
     both = first.drop("rank").unionByName(searched(others))
-    return ranked(both).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best_rows = folded(ranked(both), "best")
+    # Queries with fewer than k rows measure all of twice as many lists, until they have k or no list is left.
+    most, lists = shared.value.probes, len(shared.value.centres)
+    enough = min(k, usual["n"] - 1)
+    full = lambda df: df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("query_id")
+    queries = rows.where(asked)
+    short = queries.join(full(best_rows), F.col("vec_id") == F.col("query_id"), "left_anti") if enough else queries.limit(0)
+    short = folded(short, "short")
+    while not short.isEmpty():
+        most = min(2 * most, lists)
+        wider = short.mapInArrow(probing(most), probe_kinds).withColumn("bound", F.lit(None).cast("double"))
+        more = folded(ranked(searched(written(wider, "wider"), whole=True)), "more")
+        ids = short.select(F.col("vec_id").alias("query_id"))
+        best_rows = folded(best_rows.join(ids, "query_id", "left_anti").unionByName(more), "best")
+        if most == lists:
+            break
+        short = folded(short.join(full(more), F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    return best_rows.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -116,6 +116,15 @@ class TestNearest:
             got.setdefault(r["query_id"], []).append((round(r["score"], 12), r["vec_id"]))
         assert got == {q: [(round(s, 12), i) for s, i in w] for q, w in self.brute(good).items()}
 
+    def test_queries_with_few_vectors_in_their_lists(self, spark, monkeypatch):
+        monkeypatch.setattr(ann.Index, "_calibrated", lambda self, sample, k: 1)
+        rng = np.random.default_rng(3)
+        centre = rng.standard_normal(8)
+        good = {i: (centre + 0.01 * rng.standard_normal(8) if i % 10 else 50 * rng.standard_normal(8)).astype(np.float32).tolist() for i in range(400)}
+        vectors = spark.createDataFrame(list(good.items()), "vec_id long, embedding array<float>")
+        got = {r["query_id"]: r["count"] for r in ann.nearest(vectors, F.col("vec_id") % 10 == 0).groupBy("query_id").count().collect()}
+        assert got == dict.fromkeys(range(0, 400, 10), 10)
+
     def test_empty(self, spark):
         vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
         got = ann.nearest(vectors, F.col("vec_id") % 100 == 0)
