@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faregrid.llm import ann, chat, exact_dedup, language, licenses, minhash, mixing, packing, substrings, toxicity
+from faregrid.llm import ann, chat, exact_dedup, language, licenses, lines, minhash, mixing, packing, substrings, toxicity
 from faregrid.llm.common import table
 from faregrid.llm.registry import query
 
@@ -111,3 +111,22 @@ FROM d WINDOW same AS (PARTITION BY text_sha256)
 @query("op10_exact_copies", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op11_repeated_lines", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.without_repeated_lines(table(spark, sf_dir, "documents"), digests=True)
+    return kept.withColumnRenamed("kept", "kept_sha256")
