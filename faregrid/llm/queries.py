@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faregrid.llm import ann, chat, exact_dedup, language, licenses, lines, minhash, mixing, packing, substrings, toxicity
+from faregrid.llm import ann, chat, exact_dedup, language, licenses, lines, minhash, mixing, packing, part_codes, substrings, toxicity
 from faregrid.llm.common import table
 from faregrid.llm.registry import query
 
@@ -130,3 +130,34 @@ FROM m GROUP BY doc_id
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.without_repeated_lines(table(spark, sf_dir, "documents"), digests=True)
     return kept.withColumnRenamed("kept", "kept_sha256")
+
+
+def _op12_round(n: int, last: bool = False) -> str:
+    """Each part's nearest entry of codebook ``n``, and the codebook after that. 64 * distance + index orders both."""
+    found = f"""
+a{n} AS (SELECT p.rid, p.part, any_value(p.v) AS v, min(64 * list_sum(list_transform(list_zip(p.v, e.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT + e.entry) AS best
+      FROM p JOIN e{n} e ON p.part = e.part GROUP BY p.rid, p.part)"""
+    return found if last else f"""{found},
+s{n} AS (SELECT part, best % 64 AS entry, i, floor(sum(v[i]) / count(*))::BIGINT AS x
+      FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{n}) GROUP BY part, best % 64, i),
+n{n} AS (SELECT part, entry, list(x ORDER BY i) AS v FROM s{n} GROUP BY part, entry),
+e{n + 1} AS (SELECT e.part, e.entry, coalesce(n.v, e.v) AS v FROM e{n} e LEFT JOIN n{n} n ON e.part = n.part AND e.entry = n.entry),"""
+
+
+OP12_SQL = f"""
+WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS rid FROM q),
+p AS (SELECT rid, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS v FROM k, range(16) r(part)),
+e0 AS (SELECT part, rid AS entry, v FROM p WHERE rid < 64),
+{_op12_round(0)}{_op12_round(1)}{_op12_round(2, True)},
+c AS (SELECT rid, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY rid),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN c USING (rid), b
+"""
+
+
+@query("op12_part_codes", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.codes_with_label_errors(table(spark, sf_dir, "embeddings"))
