@@ -40,7 +40,7 @@ ROUNDS = 2
 SCALE = 256
 LIMIT = 1 << 26
 BLOCK_ROWS = 4096
-LEAF = 64
+LEAF = 128
 Codebook = list[np.ndarray]  # per part, entries x components
 
 
@@ -64,7 +64,8 @@ def anchored(points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of up to ``count`` anchors, and for each point the anchor that owns it.
 
     Each new anchor is the point farthest from its owner, and takes the points nearer to it than to
-    theirs. An anchor at twice its radius or more has none to lose.
+    theirs. An anchor at twice its radius or more has none to lose; a radius only shrinks, so its
+    first value is a bound.
     """
     owner = np.zeros(len(points), np.int64)
     rows = [0]
@@ -78,44 +79,54 @@ def anchored(points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         apart = ((points[rows] - points[new]) ** 2).sum(axis=1)
         losing = apart < 4 * reach[: len(rows)]
         mine = np.flatnonzero(losing[owner])
-        mine = mine[near[mine] > 0]
         to_new = ((points[mine] - points[new]) ** 2).sum(axis=1)
         stolen = to_new < near[mine]
         mine, to_new = mine[stolen], to_new[stolen]
         owner[mine], near[mine] = len(rows), to_new
+        reach[len(rows)] = to_new.max()
         rows.append(new)
-        reach = np.zeros(count)
-        np.maximum.at(reach, owner, near)
     return np.array(rows), owner
 
 
 class _Builder:
-    """Nodes of one tree, children before parents."""
+    """Balls of one tree, children before parents."""
 
     def __init__(self, points: np.ndarray, leaf: int) -> None:
         self.points, self.leaf = points, leaf
-        self.nodes: list[tuple[int, int]] = []
-        self.members: list[np.ndarray | None] = []
+        self.children: list[tuple[int, int]] = []
+        self.members: list[np.ndarray] = []  # of leaves
         self.sizes: list[int] = []
         self.sums: list[np.ndarray] = []
         self.radii: list[float] = []
 
-    def _ball(self, members: np.ndarray, left: int, right: int) -> int:
+    def centre(self, ball: int) -> np.ndarray:
+        return self.sums[ball] / self.sizes[ball]
+
+    def _add(self, children: tuple[int, int], members: np.ndarray, size: int, total: np.ndarray) -> int:
+        for column, value in ((self.children, children), (self.members, members), (self.sizes, size), (self.sums, total)):
+            column.append(value)
+        return len(self.children) - 1
+
+    def _leaf(self, members: np.ndarray) -> int:
         inside = self.points[members]
-        total = inside.sum(axis=0)
-        self.nodes.append((left, right))
-        self.members.append(members)
-        self.sums.append(total)
-        self.radii.append(float(np.sqrt(((inside - total / len(members)) ** 2).sum(axis=1).max())))
-        return len(self.nodes) - 1
+        ball = self._add((-1, -1), members, len(members), inside.sum(axis=0))
+        self.radii.append(float(np.sqrt(((inside - self.centre(ball)) ** 2).sum(axis=1).max())))
+        return ball
+
+    def _common(self, left: int, right: int) -> int:
+        """The ball around two others; its radius is a bound."""
+        ball = self._add((left, right), _NONE, self.sizes[left] + self.sizes[right], self.sums[left] + self.sums[right])
+        gaps = [np.sqrt(((self.centre(ball) - self.centre(x)) ** 2).sum()) + self.radii[x] for x in (left, right)]
+        self.radii.append(float(max(gaps)))
+        return ball
 
     def build(self, members: np.ndarray) -> int:
         """Root of a tree over ``members``, from the middle out."""
         if len(members) <= self.leaf:
-            return self._ball(members, -1, -1)
+            return self._leaf(members)
         rows, owner = anchored(self.points[members], int(np.ceil(np.sqrt(len(members)))))
         if len(rows) == 1:  # all points are equal
-            return self._ball(members, -1, -1)
+            return self._leaf(members)
         order = np.argsort(owner, kind="stable")
         runs = np.split(members[order], np.cumsum(np.bincount(owner, minlength=len(rows)))[:-1])
         return self._merged([self.build(run) for run in runs])
@@ -123,48 +134,46 @@ class _Builder:
     def _merged(self, balls: list[int]) -> int:
         """One root: of all pairs, the two whose common ball is smallest are merged first."""
         n = len(balls)
-        at = np.array(balls)
-        centre = np.array([self.sums[b] / len(self.members[b]) for b in balls])
+        at = list(balls)
+        centre = np.array([self.centre(b) for b in balls])
         radius = np.array([self.radii[b] for b in balls])
         apart = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(axis=2))
         size = np.maximum((apart + radius[:, None] + radius[None]) / 2, np.maximum(radius[:, None], radius[None]))
-        size[np.tril_indices(n)] = np.inf
-        root = balls[0]
+        gone = np.full(n, np.inf)
+        size[np.diag_indices(n)] = np.inf
         for _ in range(n - 1):
-            i, j = divmod(int(size.argmin()), n)
-            members = np.concatenate((self.members[at[i]], self.members[at[j]]))
-            root = self._ball(members, int(at[i]), int(at[j]))
-            at[i], radius[i], centre[i] = root, self.radii[root], self.sums[root] / len(members)
+            i, j = sorted(divmod(int(size.argmin()), n))
+            at[i] = self._common(at[i], at[j])
+            radius[i], centre[i] = self.radii[at[i]], self.centre(at[i])
             gaps = np.sqrt(((centre - centre[i]) ** 2).sum(axis=1))
             fresh = np.maximum((gaps + radius + radius[i]) / 2, np.maximum(radius, radius[i]))
-            size[i, i + 1 :] = np.where(np.isinf(size[i, i + 1 :]), np.inf, fresh[i + 1 :])
-            size[:i, i] = np.where(np.isinf(size[:i, i]), np.inf, fresh[:i])
-            size[j, :] = size[:, j] = np.inf
-        return root
+            fresh[np.isinf(size[i])] = np.inf  # itself, and what was merged before
+            size[i, :] = size[:, i] = fresh
+            size[j, :] = size[:, j] = gone
+        return at[0]
+
+
+_NONE = np.empty(0, np.int64)
 
 
 def metric_tree(points: np.ndarray, leaf: int = LEAF) -> Tree:
     """Tree over integer points; the last ball is the root."""
     builder = _Builder(points, leaf)
     builder.build(np.arange(len(points)))
-    n = len(builder.nodes)
-    low, high, spots = np.zeros(n, np.int64), np.zeros(n, np.int64), []
-    placed, todo = 0, [n - 1]
-    visited = []
+    n = len(builder.children)
+    low, placed, spots, todo = np.zeros(n, np.int64), 0, [], [n - 1]
     while todo:
         ball = todo.pop()
-        visited.append(ball)
-        left, right = builder.nodes[ball]
         low[ball] = placed
+        left, right = builder.children[ball]
         if left < 0:
             spots.append(builder.members[ball])
-            placed += len(builder.members[ball])
+            placed += builder.sizes[ball]
         else:
             todo += [right, left]
-    for ball in visited:
-        high[ball] = low[ball] + len(builder.members[ball])
-    nodes = np.array(builder.nodes)
-    return Tree(np.concatenate(spots), low, high, nodes[:, 0], nodes[:, 1], np.array(builder.radii), np.array(builder.sums))
+    children = np.array(builder.children)
+    high = low + np.array(builder.sizes)
+    return Tree(np.concatenate(spots), low, high, children[:, 0], children[:, 1], np.array(builder.radii), np.array(builder.sums))
 
 
 def owned(tree: Tree, points: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, int, np.ndarray | int, int]]:
