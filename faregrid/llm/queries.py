@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faregrid.llm import ann, chat, exact_dedup, language, licenses, lines, minhash, mixing, packing, part_codes, substrings, toxicity
+from faregrid.llm import alignment, ann, chat, exact_dedup, language, licenses, lines, minhash, mixing, packing, part_codes, substrings, toxicity
 from faregrid.llm.common import table
 from faregrid.llm.registry import query
 
@@ -161,3 +161,8 @@ FROM k JOIN c USING (rid), b
 @query("op12_part_codes", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.codes_with_label_errors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_aligned_tokens")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
