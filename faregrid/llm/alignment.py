@@ -9,9 +9,8 @@ the ranges of a very long text are encoded by different tasks and their open end
 tree, a few neighbours at a time; closed groups stay where they were found. Both sides of a range
 may be cut at different places, as each side has its own safe ones.
 
-Texts of up to RANGE bytes are one range. There both sides are cut at words, whose alignment is
-remembered, since words repeat. Documents lie in blocks; a block lists its distinct id pairs, sends
-their counts, and gets the corpus-wide counts of its own pairs back: a product of a sparse matrix by
+Texts of up to RANGE bytes are one range. There both sides are cut at words, and each distinct word of
+a block of documents is aligned once. A block lists its distinct id pairs, sends their counts, and gets the corpus-wide counts of its own pairs back: a product of a sparse matrix by
 a vector without a broadcast of pairs or a row per link.
 
 Each position where a token of either side ends closes one link (the two tokens that cover the bytes
@@ -41,11 +40,10 @@ from faregrid.llm.common import folded, written
 from faregrid.llm.packing import Encoder, tokenizer_path
 
 RANGE = 1 << 18  # bytes of a range
-BLOCK = 4 << 20  # bytes of text whose documents share a list of pairs
+BLOCK = 8 << 20  # bytes of text whose documents share a list of pairs
 BLOCK_DOCS = 4096
 FAN = 16  # fragments composed at once
-REMEMBERED = 1 << 16  # words whose alignment a worker keeps
-LONGEST = 64  # characters of a word that is kept
+TOGETHER = 1 << 15  # characters of distinct words that are encoded at once
 _SHIFT = 32
 # The code points that the byte-level pattern takes for white space.
 WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -77,6 +75,8 @@ class Sides:
         names = [self._pieces.id_to_piece(i) for i in range(self._pieces.get_piece_size())]
         single = {f"<0x{b:02X}>": bytes([b]) for b in range(256)}
         self.b = [single[x] if x in single else x.replace("▁", " ").encode() for x in names]
+        texts = list(map(str, range(max(len(self.a), len(self.b)))))
+        self.said = {mark: np.array([x + mark for x in texts], object) for mark in ",|;"}
         self.a_len = np.array([len(x) for x in self.a], np.int64)
         self.b_len = np.array([len(x) for x in self.b], np.int64)
         # Neighbours inside some piece: elsewhere no merge can cross.
@@ -123,19 +123,22 @@ _ZERO = np.empty(0, np.int64)
 NOTHING: Tokens = (_ZERO, _ZERO, _ZERO, _ZERO)
 
 
-def linked(tokens: Sequence[list[int]]) -> tuple[list[str], list[int]]:
-    """Groups as text and linked id pairs of tokens whose sides begin together and end together."""
+def linked(known: Sides, tokens: Tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens whose sides begin and end together: the text of the groups, a part per token with what
+    follows it, the ends of the groups, and the linked id pairs with their ends."""
     a, a_end, b, b_end = tokens
-    said, pairs = [], []
-    i = j = i_from = j_from = 0
-    while i < len(a) and j < len(b):
-        pairs.append(a[i] << _SHIFT | b[j])
-        x, y = a_end[i], b_end[j]
-        i, j = i + (x <= y), j + (y <= x)
-        if x == y:
-            said.append(f"{','.join(map(str, a[i_from:i]))}|{','.join(map(str, b[j_from:j]))}")
-            i_from, j_from = i, j
-    return said, pairs
+    ends = np.concatenate((a_end, b_end))
+    ends.sort(kind="stable")
+    again = np.diff(ends, append=-1) == 0
+    shared, ends = ends[again], ends[~again]
+    pairs = a[np.searchsorted(a_end, ends)] << _SHIFT | b[np.searchsorted(b_end, ends)]
+    said = np.empty(len(a) + len(b), object)
+    a_to, b_to = (np.concatenate(([0], np.searchsorted(x, shared) + 1)) for x in (a_end, b_end))
+    for ids, to, other, mark in ((a, a_to, b_to[:-1], "|"), (b, b_to, a_to[1:], ";")):
+        texts = known.said[","][ids]
+        texts[to[1:] - 1] = known.said[mark][ids[to[1:] - 1]]
+        said[np.arange(len(ids)) + np.repeat(other, np.diff(to))] = texts
+    return said.tolist(), shared, pairs, ends
 
 
 @dataclass
@@ -144,13 +147,13 @@ class Closed:
 
     runs: list[tuple[int, str]] = field(default_factory=list)
     groups: int = 0
-    pairs: list[int] = field(default_factory=list)
+    pairs: list[np.ndarray] = field(default_factory=list)
 
-    def add(self, tokens: Tokens) -> None:
-        said, pairs = linked([x.tolist() for x in tokens])
-        self.runs.append((int(tokens[1][0]), ";".join(said)))
-        self.groups += len(said)
-        self.pairs += pairs
+    def add(self, known: Sides, tokens: Tokens) -> None:
+        said, shared, pairs, _ = linked(known, tokens)
+        self.runs.append((int(tokens[1][0]), "".join(said)[:-1]))
+        self.groups += len(shared)
+        self.pairs.append(pairs)
 
 
 @dataclass
@@ -174,23 +177,23 @@ def _after(left: Tokens, right: Tokens) -> Tokens:
     return tuple(np.concatenate(x) for x in zip(left, right))  # type: ignore[return-value]
 
 
-def fragment(tokens: Tokens, closed: Closed, begun: bool) -> Fragment:
+def fragment(known: Sides, tokens: Tokens, closed: Closed, begun: bool) -> Fragment:
     """Fragment of consecutive tokens; groups that close go to ``closed``. ``begun``: both sides begin at one place."""
     shared = np.intersect1d(tokens[1], tokens[3], assume_unique=True)
     if not len(shared):
         return Fragment(suffix=tokens, cut=True) if begun else Fragment(prefix=tokens)
     first, last = -1 if begun else int(shared[0]), int(shared[-1])
     if last > first:
-        closed.add(_between(tokens, first, last))
+        closed.add(known, _between(tokens, first, last))
     return Fragment(_between(tokens, -1, first), _between(tokens, last, 1 << 62), True)
 
 
-def composed(left: Fragment, right: Fragment, closed: Closed) -> Fragment:
+def composed(known: Sides, left: Fragment, right: Fragment, closed: Closed) -> Fragment:
     """Fragment of two neighbours; groups that close between them go to ``closed``. Associative."""
     if left.cut:
-        met = fragment(_after(left.suffix, right.prefix), closed, True)
+        met = fragment(known, _after(left.suffix, right.prefix), closed, True)
         return Fragment(left.prefix, right.suffix if right.cut else met.suffix, True)
-    met = fragment(_after(left.prefix, right.prefix), closed, False)
+    met = fragment(known, _after(left.prefix, right.prefix), closed, False)
     return Fragment(met.prefix, right.suffix, True) if right.cut else met
 
 
@@ -214,63 +217,86 @@ def ranges(known: Sides, text: str, size: int = RANGE) -> Iterator[tuple[str, in
         a, b, a_at, b_at = a_to, b_to, a_at + len(a_text.encode()), b_at + len(b_text.encode())
 
 
-def _word(known: Sides, word: str) -> tuple[int, int, list[str], list[int]] | None:
-    """Tokens on either side, groups and pairs of a stretch that both sides cut off; None as above."""
-    a, b = known.encode_a(word), known.encode_b(word)
-    raw = word.encode()
-    if not known.same(a, known.a, raw) or not known.same(b, known.b, raw):
-        return None
-    ends = ([int(x) for x in np.cumsum(lengths[ids])] for ids, lengths in ((a, known.a_len), (b, known.b_len)))
-    a_end, b_end = ends
-    return len(a), len(b), *linked([list(a), a_end, list(b), b_end])
-
-
-@lru_cache(maxsize=REMEMBERED)
-def _remembered(paths: tuple[str, str], word: str):
-    return _word(sides(*paths), word)
+@dataclass
+class Words:
+    """Alignment of distinct words; numbers count per word."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    said: list[str]  # their groups, each with a mark behind
+    lengths: np.ndarray  # links per word
+    pairs: np.ndarray  # of all words, in order
+    bad: np.ndarray
+
+
+def aligned_words(known: Sides, words: list[str]) -> Words:
+    """Words are encoded many at once: what both sides cut off on its own is encoded alike among others."""
+    counts = np.zeros((4, len(words)), np.int64)
+    said, pairs, bad = [""] * len(words), [_ZERO], np.zeros(len(words), bool)
+    todo, size, low = [], 0, 0
+    for i, word in enumerate(words):
+        size += len(word)
+        alone = word[-1] in WHITE  # it would run on into the next word
+        if alone and i > low:
+            todo.append((low, i))
+            low = i
+        if alone or size >= TOGETHER or i == len(words) - 1:
+            todo.append((low, i + 1))
+            size, low = 0, i + 1
+    todo.reverse()
+    while todo:
+        low, high = todo.pop()
+        text = "".join(words[low:high])
+        tokens = range_tokens(known, text, 0, text, 0)
+        if tokens is None:
+            if high - low == 1:
+                bad[low] = True
+            else:
+                todo += [((low + high) // 2, high), (low, (low + high) // 2)]
+            continue
+        ends = np.cumsum([len(w.encode()) for w in words[low:high]])
+        parts, shared, links, link_ends = linked(known, tokens)
+        for row, places in enumerate((tokens[1], tokens[3], shared, link_ends)):
+            counts[row, low:high] = np.bincount(np.searchsorted(ends, places), minlength=high - low)
+        pairs.append(links)
+        at = 0
+        for i, to in enumerate(np.cumsum(counts[0, low:high] + counts[1, low:high]).tolist(), low):
+            said[i] = "".join(parts[at:to])
+            at = to
+    return Words(*counts[:3], said, counts[3], np.concatenate(pairs), bad)
 
 
 class _Block(dict):
     """Documents that share lists of words and pairs. The dictionary numbers their words."""
 
-    def __init__(self, paths: tuple[str, str]) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.paths, self.size = paths, 0
-        self.found: list = []  # per word
-        self.said: list[str] = []
-        self.bad: set[int] = set()
-        self.docs: list = []
-        self.digests: list[str] = []
+        self.size = 0
+        self.docs: list[int | None] = []
         self.words: list[np.ndarray] = []
 
     def __missing__(self, word: str) -> int:
-        got = _remembered(self.paths, word) if len(word) <= LONGEST else _word(sides(*self.paths), word)
-        number = self[word] = len(self.found)
-        if got is None:
-            self.bad.add(number)
-            got = (0, 0, [], [])
-        self.found.append(got)
-        self.said.append(";".join(got[2]))
+        self[word] = number = len(self)
         return number
 
     def add(self, doc: int | None, text: str | None) -> None:
         words = list(map(self.__getitem__, _WORDS.findall(" " + text))) if text else []
-        if self.bad and not self.bad.isdisjoint(words):
-            words = []
-        said = self.said
         self.docs.append(doc)
-        self.digests.append(hashlib.sha256(";".join([said[i] for i in words]).encode()).hexdigest() if words else "")
         self.words.append(np.array(words, np.int32))
         self.size += len(text or "")
 
-    def batch(self, number: int) -> pa.RecordBatch:
-        words = np.concatenate(self.words)
-        at = np.concatenate(([0], np.cumsum([len(x) for x in self.words])))
-        counts = [np.array([f(x) for x in self.found], np.int64) for f in (lambda x: x[0], lambda x: x[1], lambda x: len(x[2]), lambda x: len(x[3]))]
-        sums = [_per_run(c[words], at) for c in counts[:3]]
-        flat = np.array([p for x in self.found for p in x[3]], np.int64)
-        used = np.repeat(np.bincount(words, minlength=len(self.found)), counts[3])
-        return _block_row(number, self.docs, [None] * len(self.docs), sums, self.digests, at, words, counts[3], flat, used)
+    def batch(self, known: Sides, number: int) -> pa.RecordBatch:
+        found = aligned_words(known, list(self))
+        none = np.empty(0, np.int32)
+        rows = [none if found.bad[x].any() else x for x in self.words]
+        said = found.said
+        digests = [hashlib.sha256("".join([said[i] for i in x.tolist()])[:-1].encode()).hexdigest() if len(x) else "" for x in rows]
+        words = np.concatenate(rows)
+        at = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+        sums = [_per_run(n[words], at) for n in (found.n_a, found.n_b, found.n_groups)]
+        used = np.repeat(np.bincount(words, minlength=len(said)), found.lengths)
+        return _block_row(number, self.docs, [None] * len(rows), sums, digests, at, words, found.lengths, found.pairs, used)
 
 
 def _per_run(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -310,16 +336,16 @@ def _documents(paths: tuple[str, str]):
     """Blocks of short documents (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, block = _numbers(), _Block(paths)
+        numbers, known, block = _numbers(), sides(*paths), _Block()
         for batch in batches:
             for at in range(0, len(batch), 64):
                 for doc, text in zip(*(batch.column(i).slice(at, 64).to_pylist() for i in (0, 1)), strict=True):
                     block.add(doc, text)
                     if block.size >= BLOCK or len(block.docs) >= BLOCK_DOCS:
-                        yield block.batch(next(numbers))
-                        block = _Block(paths)
+                        yield block.batch(known, next(numbers))
+                        block = _Block()
         if block.docs:
-            yield block.batch(next(numbers))
+            yield block.batch(known, next(numbers))
 
     return run
 
@@ -350,7 +376,7 @@ _PIECE_TYPE = (
 
 
 def _piece(key: int, no: int, ok: bool, n_a: int, n_b: int, open_: Fragment, closed: Closed) -> list:
-    pairs, counts = np.unique(np.array(closed.pairs, np.int64), return_counts=True)
+    pairs, counts = np.unique(np.concatenate([_ZERO, *closed.pairs]), return_counts=True)
     first, said = [x for x, _ in closed.runs], [x for _, x in closed.runs]
     return [key, no, ok, n_a, n_b, open_.cut, *open_.prefix, *open_.suffix, first, said, closed.groups, pairs, counts]
 
@@ -366,7 +392,7 @@ def _fragments(paths: tuple[str, str]):
             for i in range(len(batch)):
                 row = [batch.column(name)[i].as_py() for name in _RANGE]
                 tokens, closed = range_tokens(known, *row[3:]), Closed()
-                got = fragment(tokens or NOTHING, closed, row[2] == 0)
+                got = fragment(known, tokens or NOTHING, closed, row[2] == 0)
                 n_a, n_b = (len(tokens[0]), len(tokens[2])) if tokens else (0, 0)
                 piece = _piece(row[0], row[2], tokens is not None, n_a, n_b, got, closed)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(piece, schema)], schema=schema)
@@ -380,17 +406,21 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(x, scalars.get(x, pa.int64() if x in plain else pa.list_(pa.int64()))) for x in _PIECE])
 
 
-def _compose(table: pa.Table) -> pa.Table:
+def _composing(paths: tuple[str, str]):
     """One piece from up to FAN neighbours: their outer open ends, and what closes between them."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["no"])
-    closed, state = Closed(), Fragment()
-    for at, row in enumerate(rows):
-        ends = [np.array(row[x], np.int64) for x in _OPEN]
-        right = Fragment(tuple(ends[:4]), tuple(ends[4:]), row["cut"])
-        state = composed(state, right, closed) if at else right
-    piece = _piece(rows[0]["key"], rows[0]["group"], True, 0, 0, state, closed)
-    schema = _arrow_schema()
-    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(piece, schema)], schema=schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["no"])
+        known, closed, state = sides(*paths), Closed(), Fragment()
+        for at, row in enumerate(rows):
+            ends = [np.array(row[x], np.int64) for x in _OPEN]
+            right = Fragment(tuple(ends[:4]), tuple(ends[4:]), row["cut"])
+            state = composed(known, state, right, closed) if at else right
+        piece = _piece(rows[0]["key"], rows[0]["group"], True, 0, 0, state, closed)
+        schema = _arrow_schema()
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(piece, schema)], schema=schema)
+
+    return run
 
 
 def long_documents(docs: DataFrame, paths: tuple[str, str], size: int = RANGE) -> tuple[DataFrame, DataFrame] | None:
@@ -409,7 +439,7 @@ def long_documents(docs: DataFrame, paths: tuple[str, str], size: int = RANGE) -
     pieces = [level := level.join(bad, "key", "left_anti")]
     while n_ranges > 1:
         grouped = level.select("key", "no", "cut", *_OPEN, F.floor(F.col("no") / FAN).alias("group"))
-        level = written(grouped.groupBy("key", "group").applyInArrow(_compose, _PIECE_TYPE), "align-composed")
+        level = written(grouped.groupBy("key", "group").applyInArrow(_composing(paths), _PIECE_TYPE), "align-composed")
         pieces.append(level)
         n_ranges = -(-n_ranges // FAN)
     every = pieces[0]

@@ -12,12 +12,12 @@ from faregrid.llm import minhash, toxicity
 from tests.llm import brute
 
 MEDIUM = "/root/testdata/sf0.01"
-NAMES = [f"op{n}_" for n in range(1, 11)]
+NAMES = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_each_operator_has_one_query():
     names = list(entry.queries())
-    assert [sum(x.startswith(n) for x in names) for n in NAMES] == [1] * 10 and "pipeline" in names
+    assert [sum(x.startswith(n) for x in names) for n in NAMES] == [1] * 13 and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("op")])
