@@ -40,7 +40,7 @@ from faregrid.llm.common import folded, written
 from faregrid.llm.packing import Encoder, tokenizer_path
 
 RANGE = 1 << 18  # bytes of a range
-BLOCK = 8 << 20  # bytes of text whose documents share a list of pairs
+BLOCK = 2 << 20  # bytes of text whose documents share a list of pairs
 BLOCK_DOCS = 4096
 FAN = 16  # fragments composed at once
 TOGETHER = 1 << 15  # characters of distinct words that are encoded at once
