@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import tables
-from faregrid.models.boosted import BoostParams, fill_average, fit_stacked, score_stacked
+from faregrid.models.boosted import DEMAND, REVENUE, fit_stacked, score_stacked
 from faregrid.operators.features import main_features
 from faregrid.operators.metrics import metrics
 from faregrid.operators.recommend import recommendation_feed
@@ -76,7 +77,7 @@ def main(argv: list[str]) -> None:
     lap("series")
     predictions = staged(revenue.naive_predictions(series, DEFAULTS), "scale-predictions")
     lap("predictions", f"{predictions.count():,} of {series.count():,} series rows")
-    features = staged(fill_average(main_features(series, DEFAULTS)), "scale-features")
+    features = staged(main_features(series, DEFAULTS), "scale-features")
     labelled = staged(global_split(features, p=DEFAULTS), "scale-labelled")
     lap("features, split", {r["split"]: r["count"] for r in labelled.groupBy("split").count().collect()})
     for table in revenue.monitoring_tables(predictions, DEFAULTS):
@@ -86,7 +87,7 @@ def main(argv: list[str]) -> None:
     lap("recommendations")
     trees = int(argv[2]) if len(argv) > 2 else 0
     if trees:
-        settings = (BoostParams(trees=trees, depth=3), BoostParams(trees=trees, depth=4))
+        settings = (replace(DEMAND, trees=trees), replace(REVENUE, trees=trees))
         models = fit_stacked(labelled.where("split = 'train'"), *settings)
         lap("two models", f"{trees} trees each")
         scored = score_stacked(models, labelled)

@@ -179,7 +179,7 @@ def x2(spark, sf):
     return spark.read.parquet(f"{path}/out/batch=*/kind=report")
 
 
-# Published settings: up to 1000 trees; the validation slice ends the training.
+# Published settings, with the penalties' size per row; the validation slice ends the training.
 DEMAND, REVENUE = boosted.DEMAND, boosted.REVENUE
 _SPLIT = f"""{b.FEATURES}, placed AS (
       SELECT *, row_number() OVER (ORDER BY time_bin, cluster_id) - 1 AS i, count(*) OVER () AS n FROM features
@@ -187,7 +187,7 @@ _SPLIT = f"""{b.FEATURES}, placed AS (
 
 
 def _labelled(spark, sf):
-    rows = staged(boosted.fill_average(main_features(t.series(spark, sf), P)), "main-features")
+    rows = staged(main_features(t.series(spark, sf), P, previous=["avg_fare"]), "main-features")
     return staged(splits.global_split(rows, p=P), "labelled-features")
 
 
@@ -199,50 +199,128 @@ def _part(df, name):
 def _stacked(app, spark, sf):
     """Fitted models and the labelled rows, once per session and folder."""
     rows = _labelled(spark, sf)
-    return boosted.fit_stacked(rows.where("split <> 'test'"), DEMAND, REVENUE, F.col("split") == "validation"), rows
+    settings = (boosted.for_rows(p, _part(rows, "train").count()) for p in (DEMAND, REVENUE))
+    return boosted.fit_stacked(rows.where("split <> 'test'"), *settings, F.col("split") == "validation"), rows
 
 
 def _models(spark, sf):
     return _stacked(spark.sparkContext.applicationId, spark, sf)
 
 
-def _quality(scored, actual, predicted, model, limit):
-    """Per split: rows, and whether the model stayed within its limits and beat a constant forecast."""
-    got = metrics.metrics(scored, actual, predicted, ["wmape", "r2"], by=["split"])
+def _errors(scored, actual, predicted, model, naive):
+    """Per split: rows, trees, the model's errors and those of the naive forecast."""
+    own = metrics.metrics(scored, actual, predicted, ["wmape", "mae", "rmse", "r2"], by=["split"])
+    simple = metrics.metrics(scored.withColumn("naive", naive), actual, "naive", ["wmape", "rmse"], by=["split"])
     sizes = scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-    trees = boosted.tree_count(model)
-    return got.join(sizes, "split").select(
-        "split", "n_rows", (F.col("r2") > 0).alias("better_than_mean"), F.lit(0 < trees <= limit).alias("trees_within_limit")
+    simple = simple.withColumnsRenamed({"wmape": "naive_wmape", "rmse": "naive_rmse"})
+    return own.join(simple, "split").join(sizes, "split").withColumn("n_trees", F.lit(boosted.tree_count(model)))
+
+
+def _quality(errors, limit):
+    """Whether the model beats the mean, and the naive forecast both in absolute and in squared errors, on each split."""
+    return errors.select(
+        "split",
+        "n_rows",
+        (F.col("r2") > 0).alias("better_than_mean"),
+        ((F.col("rmse") < F.col("naive_rmse")) & (F.col("wmape") < F.col("naive_wmape"))).alias("better_than_naive"),
+        F.col("n_trees").between(1, limit).alias("trees_within_limit"),
     )
 
 
 _QUALITY = f"""WITH {_SPLIT} -- result
-    SELECT split, count(*) AS n_rows, true AS better_than_mean, true AS trees_within_limit FROM labelled GROUP BY split"""
+    SELECT split, count(*) AS n_rows, true AS better_than_mean, true AS better_than_naive, true AS trees_within_limit
+    FROM labelled GROUP BY split"""
+
+
+def _demand_errors(spark, sf):
+    (demand, _), rows = _models(spark, sf)
+    return _errors(boosted.score(demand, rows), "demand", "demand_pred", demand, F.col("exp_avg"))
+
+
+def _revenue_errors(spark, sf):
+    models, rows = _models(spark, sf)
+    return _errors(boosted.score_stacked(models, rows), "revenue_total", "revenue_pred", models[1], F.col("exp_avg") * F.col("prev_avg_fare"))
+
+
+@lru_cache(maxsize=4)
+def _library_model(app, spark, sf):
+    table = revenue.library_feature_table(t.library_cells(spark, sf), t.CENTRES, P)
+    rows = staged(splits.zone_split(staged(table, "library-features"), "pickup_cluster", "pickup_bins", P), "library-split")
+    fitted = rows.where("split <> 'test'").withColumn("held_out", F.col("split") == "validation")
+    settings = boosted.for_rows(DEMAND, _part(rows, "train").count())
+    return boosted.fit_regressor(fitted, boosted.LIBRARY_FEATURES, "demand", "demand_pred", settings, "held_out"), rows
+
+
+def _library_errors(spark, sf):
+    model, rows = _library_model(spark.sparkContext.applicationId, spark, sf)
+    return _errors(boosted.score(model, rows), "demand", "demand_pred", model, F.col("exp_avg"))
 
 
 @query("m1_demand_model", _QUALITY)
 def m1(spark, sf):
-    (demand, _), rows = _models(spark, sf)
-    return _quality(boosted.score(demand, rows), "demand", "demand_pred", demand, DEMAND.trees)
+    return _quality(_demand_errors(spark, sf), DEMAND.trees)
 
 
 @query("m2_stacked_revenue_model", _QUALITY)
 def m2(spark, sf):
-    models, rows = _models(spark, sf)
-    return _quality(boosted.score_stacked(models, rows), "revenue_total", "revenue_pred", models[1], REVENUE.trees)
+    return _quality(_revenue_errors(spark, sf), REVENUE.trees)
 
 
 @query("m3_library_demand_model", f"""WITH {LIBRARY_ROWS}, placed AS (
       SELECT *, row_number() OVER (PARTITION BY pickup_cluster ORDER BY pickup_bins) - 1 AS i,
         count(*) OVER (PARTITION BY pickup_cluster) AS n FROM library_rows
     ), labelled AS (SELECT *, {LABEL} FROM placed) -- result
-    SELECT split, count(*) AS n_rows, true AS better_than_mean, true AS trees_within_limit FROM labelled GROUP BY split""")
+    SELECT split, count(*) AS n_rows, true AS better_than_mean, true AS better_than_naive, true AS trees_within_limit
+    FROM labelled GROUP BY split""")
 def m3(spark, sf):
-    table = revenue.library_feature_table(t.library_cells(spark, sf), t.CENTRES, P)
-    rows = staged(splits.zone_split(staged(table, "library-features"), "pickup_cluster", "pickup_bins", P), "library-split")
-    fitted = rows.where("split <> 'test'").withColumn("held_out", F.col("split") == "validation")
-    model = boosted.fit_regressor(fitted, boosted.LIBRARY_FEATURES, "demand", "demand_pred", DEMAND, "held_out")
-    return _quality(boosted.score(model, rows), "demand", "demand_pred", model, DEMAND.trees)
+    return _quality(_library_errors(spark, sf), DEMAND.trees)
+
+
+@query("m_model_errors")
+def m_errors(spark, sf):
+    """Figures of the three models per split. No SQL states what a training gives; tests hold them against the naive forecast."""
+    tables = ((name, errors(spark, sf)) for name, errors in (("demand", _demand_errors), ("revenue", _revenue_errors), ("library", _library_errors)))
+    first, *others = (df.select(F.lit(name).alias("model"), *df.columns) for name, df in tables)
+    for df in others:
+        first = first.unionByName(df)
+    return first
+
+
+# Two trees each for demand and revenue: (feature, threshold, missing goes left, value of left, value of right).
+STUMPS = (
+    ("exp_avg", 20.0, True, -4.5, 6.25),
+    ("hour", 11.0, False, -1.5, 2.0),
+    ("demand_pred", 31.5, True, -310.0, 420.0),
+    ("is_rush_hour", 0.0, True, -25.0, 40.0),
+)
+
+
+def _fixed_model(spark, stumps, features, prediction, base):
+    rows = []
+    for tree, (feature, threshold, left, low, high) in enumerate(stumps):
+        rows += [(tree, 0, feature, threshold, left, 0.0, 1.0), (tree, 1, None, 0.0, False, low, 0.0), (tree, 2, None, 0.0, False, high, 0.0)]
+    return boosted.model_of(spark.createDataFrame(rows, boosted.NODES), features, prediction, base)
+
+
+def _case(stump):
+    feature, threshold, left, low, high = stump
+    return f"CASE WHEN {feature} <= {threshold} THEN {low} WHEN {feature} IS NULL THEN {low if left else high} ELSE {high} END"
+
+
+# Forecasts and costs of a given ensemble, so that every figure can be stated in SQL.
+@query("m4_given_ensemble", f"""WITH {_SPLIT}, demands AS (
+      SELECT *, CAST(24.0 + {_case(STUMPS[0])} + {_case(STUMPS[1])} AS DOUBLE) AS demand_pred FROM labelled WHERE split = 'test'
+    ), revenues AS (SELECT *, CAST(900.0 + {_case(STUMPS[2])} + {_case(STUMPS[3])} AS DOUBLE) AS revenue_pred FROM demands) -- result
+    SELECT cluster_id, time_bin, demand_pred, revenue_pred, revenue_pred / demand_pred AS avg_fare_pred, revenue_pred * 0.65 AS driver_costs,
+      revenue_pred * 0.029 AS processing_fees, revenue_pred * 0.05 AS ops_costs, revenue_pred * 0.271 AS profit_pred FROM revenues""",
+       "demand_pred revenue_pred avg_fare_pred driver_costs processing_fees ops_costs profit_pred")
+def m4_given(spark, sf):
+    rows = _part(_labelled(spark, sf), "test")
+    first = _fixed_model(spark, STUMPS[:2], boosted.MAIN_FEATURES, "demand_pred", 24.0)
+    second = _fixed_model(spark, STUMPS[2:], [*boosted.MAIN_FEATURES, "demand_pred"], "revenue_pred", 900.0)
+    scored = predictions_table(boosted.score_stacked((first, second), rows), P)
+    costs = ["avg_fare_pred", "driver_costs", "processing_fees", "ops_costs", "profit_pred"]
+    return scored.select("cluster_id", "time_bin", "demand_pred", "revenue_pred", *costs)
 
 
 # Whatever the model predicts, costs are fixed shares of it.
@@ -286,9 +364,10 @@ _NAMES = ", ".join(f"('{name}')" for name in boosted.MAIN_FEATURES)
 @query("m5_feature_importance", f"SELECT feature, true AS in_range, 1.0 AS total FROM (VALUES {_NAMES}) AS result(feature)", "total")
 def m5(spark, sf):
     (demand, _), _ = _models(spark, sf)
-    total = F.sum("importance").over(Window.partitionBy())
+    total = F.sum("splits").over(Window.partitionBy())
+    share = F.col("splits") / total
     return boosted.feature_importance(spark, demand, None).select(
-        "feature", F.col("importance").between(0, 1).alias("in_range"), total.alias("total")
+        "feature", share.between(0, 1).alias("in_range"), F.sum(share).over(Window.partitionBy()).alias("total")
     )
 
 

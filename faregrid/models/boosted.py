@@ -1,16 +1,31 @@
-"""Boosted demand and revenue regressors."""
+"""Regularised boosted demand and revenue regressors.
+
+Second-order boosting over binned features. Feature rows are binned once and written as
+blocks; a pass over the blocks gives the gradient histogram of one tree level, summed by
+node, feature and bin, and the driver picks the splits from that table, whose size the
+settings fix. Leaf values carry L1 and L2 penalties, children need a minimum weight, and each split learns
+where missing values go. Gradients are summed as whole numbers, so trees don't depend on
+the order of rows or tasks. Margins are written anew every few trees: a pass replays only the trees
+since, and a lost executor costs its part of one pass.
+
+A missing feature (null or NaN) is a bin of its own. Rows without a label are not trained on. Equal
+labels give a model without trees that predicts them; no rows to train on, one that predicts zero.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faregrid.storage import staged
+
 # Feature columns in training order.
 MAIN_FEATURES = (
     "ft_1", "ft_2", "ft_3", "ft_4", "ft_5",
@@ -23,28 +38,305 @@ LIBRARY_FEATURES = (
     "day_of_week", "hour_of_day", "is_weekend", "is_rush_hour", "is_holiday", "month",
     "exp_avg", "rolling_avg_7", "rolling_avg_30",
 )
+# Bins of a feature beside the one of missing values; a bin is one byte.
+MAX_BINS = 255
+BLOCK_ROWS = 1 << 16
+# Up to so many tasks send their sums to the driver, a table of fixed size each; more are added up by a shuffle first.
+FEW_TASKS = 16
+# Trees after which margins are written.
+REWRITE = 16
 
 
 @dataclass(frozen=True)
 class BoostParams:
-    """Settings of one regressor; the defaults are the published ones."""
+    """Settings of one regressor; the defaults are the published ones of demand.
+
+    With a validation slice, training ends once ``patience`` trees in a row have not brought its
+    error to a new low, and the trees up to the lowest are kept.
+    """
 
     trees: int = 1000
     depth: int = 3
     learning_rate: float = 0.1
     subsample: float = 0.8
     column_share: float = 0.8
-    min_rows: int = 3
+    min_child_weight: float = 3.0
+    gamma: float = 0.0
+    l1: float = 200.0
+    l2: float = 200.0
+    patience: int = 10
+    bins: int = MAX_BINS
     seed: int = 42
 
 
 DEMAND = BoostParams(depth=3)
-REVENUE = BoostParams(depth=4)
+REVENUE = BoostParams(depth=4, l1=100.0, l2=100.0)
+# Fixed value: the published feature rows, of which 70 % are trained on.
+PUBLISHED_ROWS = 400_926 * 7 // 10
+
+
+def for_rows(p: BoostParams, rows: int) -> BoostParams:
+    """``p`` with the penalties of a table of ``rows`` training rows.
+
+    A leaf's gradient and weight grow with its rows and the penalties don't, so on a small table
+    the published ones would forbid nearly all steps. Here they keep their size per row.
+    """
+    share = min(1.0, rows / PUBLISHED_ROWS)
+    return replace(p, l1=p.l1 * share, l2=p.l2 * share)
+
+
+@dataclass
+class Tree:
+    """A complete binary tree in heap order: node i has children 2i+1 (left) and 2i+2. Feature -1 marks a leaf."""
+
+    feature: np.ndarray
+    bin: np.ndarray
+    threshold: np.ndarray
+    missing_left: np.ndarray
+    value: np.ndarray
+    gain: np.ndarray
+
+    @classmethod
+    def empty(cls, depth: int) -> Tree:
+        n = 2 ** (depth + 1) - 1
+        return cls(np.full(n, -1), np.zeros(n, int), np.zeros(n), np.zeros(n, bool), np.zeros(n), np.zeros(n))
+
+    @property
+    def depth(self) -> int:
+        return (len(self.feature) + 1).bit_length() - 2
+
+    def _walk(self, n: int, goes_left) -> np.ndarray:
+        """Node each of ``n`` rows ends in; ``goes_left`` gets rows and the nodes they are at."""
+        node = np.zeros(n, np.int64)
+        for _ in range(self.depth):
+            inner = np.flatnonzero(self.feature[node] >= 0)
+            if not len(inner):
+                break
+            at = node[inner]
+            node[inner] = 2 * at + np.where(goes_left(inner, at), 1, 2)
+        return node
+
+    def of_bins(self, bins: np.ndarray) -> np.ndarray:
+        """Node of each row of a matrix of bins."""
+
+        def left(rows, at):
+            b = bins[rows, self.feature[at]]
+            return np.where(b == 0, self.missing_left[at], b <= self.bin[at])
+
+        return self._walk(len(bins), left)
+
+    def of_values(self, values: np.ndarray) -> np.ndarray:
+        """Node of each row of a matrix of feature values."""
+
+        def left(rows, at):
+            x = values[rows, self.feature[at]]
+            return np.where(np.isnan(x), self.missing_left[at], x <= self.threshold[at])
+
+        return self._walk(len(values), left)
+
+
+@dataclass
+class Booster:
+    """A fitted model: feature columns in order, the start value and the trees."""
+
+    features: tuple[str, ...]
+    prediction: str
+    base: float
+    trees: list[Tree] = field(default_factory=list)
+
+    def predict(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(len(values), self.base)
+        for tree in self.trees:
+            out += tree.value[tree.of_values(values)]
+        return out
+
+
+def _numeric(df: DataFrame, features: Sequence[str]) -> list[Column]:
+    return [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+
+
+def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """The first ``n`` columns as doubles, null as NaN."""
+    columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(n)]
+    return np.column_stack(columns) if n else np.empty((len(batch), 0))
+
+
+def bin_edges(df: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> list[np.ndarray]:
+    """Per feature up to ``bins`` - 1 edges: values at even ranks, or all distinct ones if there are few."""
+    probabilities = [k / bins for k in range(1, bins)]
+    sketched = df.select(_numeric(df, features)).approxQuantile([f"f{i}" for i in range(len(features))], probabilities, 0.25 / bins)
+    return [np.unique([x for x in found if not np.isnan(x)]) for found in sketched]
+
+
+def binned(values: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
+    """Bin 0 for missing values, else one more than the edges below the value."""
+    out = np.zeros(values.shape, np.uint8)
+    for i, edge in enumerate(edges):
+        out[:, i] = np.where(np.isnan(values[:, i]), 0, 1 + np.searchsorted(edge, values[:, i], "left"))
+    return out
+
+
+_BLOCK = "first long, bins binary, label binary, held binary, margin binary"
+_NAMES = ["first", "bins", "label", "held", "margin"]
+
+
+def _block(columns: Sequence) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.binary()] * 4]
+    values = [c.tobytes() if isinstance(c, np.ndarray) else c for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], _NAMES)
+
+
+def _blocks(edges: Sequence[np.ndarray], base: float):
+    """Blocks of binned rows from features, label, validation mark and row number."""
+    n = len(edges)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                rows = batch.slice(at, BLOCK_ROWS)
+                label = rows.column(n).to_numpy(zero_copy_only=False).astype(np.float64)
+                held = rows.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
+                first = rows.column(n + 2)[0].as_py()
+                yield _block([first, binned(_matrix(rows, n), edges), label, held, np.full(len(label), base)])
 
-def fill_average(df: DataFrame) -> DataFrame:
-    """Missing averages take the latest lag; the trees need a value."""
-    return df.withColumn("exp_avg", F.coalesce(F.col("exp_avg"), F.col("ft_1").cast("double")))
+    return run
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, n_features: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    first, bins, label, held, margin = (batch.column(i)[row].as_py() for i in range(5))
+    arrays = np.frombuffer(bins, np.uint8).reshape(-1, n_features), np.frombuffer(label), np.frombuffer(held, bool), np.frombuffer(margin)
+    return first, *arrays
+
+
+def _replayed(margin: np.ndarray, bins: np.ndarray, trees: Sequence[Tree]) -> np.ndarray:
+    for tree in trees:
+        margin = margin + tree.value[tree.of_bins(bins)]
+    return margin
+
+
+def drawn(first: int, n: int, seed: int, tree: int, share: float) -> np.ndarray:
+    """Which of ``n`` rows from number ``first`` on a tree is grown on; the same for a row whatever its task."""
+    x = np.arange(first, first + n, dtype=np.uint64) + np.uint64((seed * 1_000_003 + tree) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(np.float64) < share * 2.0**53
+
+
+def _histogram(n_features: int, columns: Sequence[int], bins: int, since: Sequence[Tree], grown: Tree, level: int, number: int, p: BoostParams, scale: float):
+    """(cell, gradient, weight) of one level of the tree that grows, added up per task; the cell -1 holds the
+    validation error. Cells count nodes of the level, then features, then bins."""
+    nodes, width = 2**level, bins + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gradient, weight = (np.zeros(nodes * len(columns) * width) for _ in range(2))
+        error, n_held = 0.0, 0
+        for batch in batches:
+            for row in range(len(batch)):
+                first, matrix, label, held, margin = _unpacked(batch, row, n_features)
+                margin = _replayed(margin, matrix, since)
+                if level == 0:
+                    error += float(((margin[held] - label[held]) ** 2).sum())
+                    n_held += int(held.sum())
+                use = np.flatnonzero(~held & drawn(first, len(label), p.seed, number, p.subsample))
+                at = grown.of_bins(matrix[use]) - (nodes - 1)
+                inside = at >= 0
+                use, at = use[inside], at[inside]
+                # Whole numbers: sums are exact in any order.
+                g = np.rint((margin[use] - label[use]) * scale)
+                for i, column in enumerate(columns):
+                    cell = (at * len(columns) + i) * width + matrix[use, column]
+                    gradient += np.bincount(cell, g, len(gradient))
+                    weight += np.bincount(cell, minlength=len(weight))
+        found = np.flatnonzero(weight)
+        cells, sums, weights = np.append(found, -1), np.append(gradient[found], error), np.append(weight[found], n_held)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums), pa.array(weights)], ["cell", "gradient", "weight"])
+
+    return run
+
+
+def _shrunk(gradient: np.ndarray, l1: float) -> np.ndarray:
+    return np.sign(gradient) * np.maximum(np.abs(gradient) - l1, 0.0)
+
+
+def leaf_value(gradient, weight, p: BoostParams):
+    """Step that lowers the penalised loss most, times the learning rate."""
+    return -p.learning_rate * _shrunk(gradient, p.l1) / np.maximum(weight + p.l2, 1e-300)
+
+
+def _score(gradient, weight, p: BoostParams):
+    return _shrunk(gradient, p.l1) ** 2 / np.maximum(weight + p.l2, 1e-300)
+
+
+def best_split(gradient: np.ndarray, weight: np.ndarray, p: BoostParams) -> tuple[float, int, int, bool, tuple, tuple] | None:
+    """(gain, feature, bin, whether missing values go left, left sums, right sums) for a node's histogram
+    (features x bins, bin 0 missing), or None. The first of equal gains by feature, bin and side."""
+    total_g, total_w = gradient.sum(axis=1, keepdims=True), weight.sum(axis=1, keepdims=True)
+    below = [x[:, 1:].cumsum(axis=1)[:, :-1] for x in (gradient, weight)]
+    gains, lefts = [], []
+    for missing in (True, False):
+        g, w = (b + missing * x[:, :1] for b, x in zip(below, (gradient, weight)))
+        gain = 0.5 * (_score(g, w, p) + _score(total_g - g, total_w - w, p) - _score(total_g, total_w, p)) - p.gamma
+        gain[(w < p.min_child_weight) | (total_w - w < p.min_child_weight)] = -np.inf
+        gains.append(gain)
+        lefts.append((g, w))
+    stacked = np.stack(gains, axis=2)
+    if not stacked.size or stacked.max() <= 1e-12:
+        return None
+    feature, cut, side = np.unravel_index(int(stacked.argmax()), stacked.shape)
+    left = tuple(float(x[feature, cut]) for x in lefts[side])
+    right = float(total_g[feature, 0]) - left[0], float(total_w[feature, 0]) - left[1]
+    return float(stacked[feature, cut, side]), int(feature), int(cut) + 1, side == 0, left, right
+
+
+def _grow(blocks: DataFrame, edges: Sequence[np.ndarray], since: list[Tree], number: int, p: BoostParams, scale: float, few: bool) -> tuple[Tree, float | None]:
+    """The next tree, and the validation error before it."""
+    rng = np.random.default_rng([p.seed, number])
+    kept = max(1, int(p.column_share * len(edges)))
+    columns = sorted(rng.permutation(len(edges))[:kept].tolist())
+    width = max(len(e) for e in edges) + 2
+    tree, error = Tree.empty(p.depth), None
+    for level in range(p.depth):
+        run = _histogram(len(edges), columns, width - 1, since, tree, level, number, p, scale)
+        found = blocks.mapInArrow(run, "cell long, gradient double, weight double")
+        if not few:
+            found = found.groupBy("cell").agg(F.sum("gradient").alias("gradient"), F.sum("weight").alias("weight"))
+        cell, g, w = (c.to_numpy() for c in found.toArrow().columns)
+        if level == 0 and (n_held := w[cell == -1].sum()):
+            error = float(g[cell == -1].sum() / n_held)
+        # The last place takes the error's cell.
+        cells = 2**level * len(columns) * width
+        sums = [np.bincount(np.where(cell < 0, cells, cell), x, cells + 1)[:-1] for x in (g / scale, w)]
+        gradient, weight = (x.reshape(2**level, len(columns), width) for x in sums)
+        if level == 0:
+            tree.value[0] = leaf_value(gradient[0, 0].sum(), weight[0, 0].sum(), p)
+        grew = False
+        for node in range(2**level):
+            at = 2**level - 1 + node
+            if level and tree.feature[(at - 1) // 2] < 0:
+                continue
+            split = best_split(gradient[node], weight[node], p)
+            if split is None:
+                continue
+            gain, i, cut, missing_left, left, right = split
+            tree.feature[at], tree.bin[at], tree.missing_left[at], tree.gain[at] = columns[i], cut, missing_left, gain
+            # A cut after the last edge parts missing values from all others.
+            edge = edges[columns[i]]
+            tree.threshold[at] = edge[cut - 1] if cut <= len(edge) else np.inf
+            tree.value[2 * at + 1], tree.value[2 * at + 2] = leaf_value(*left, p), leaf_value(*right, p)
+            grew = True
+        if not grew:
+            break
+    return tree, error
+
+
+def _with_margins(since: Sequence[Tree], n_features: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                first, bins, label, held, margin = _unpacked(batch, row, n_features)
+                yield _block([first, bins, label, held, _replayed(margin, bins, since)])
+
+    return run
 
 
 def fit_regressor(
@@ -54,44 +346,80 @@ def fit_regressor(
     prediction: str,
     p: BoostParams = DEMAND,
     validation_column: str | None = None,
-) -> PipelineModel:
+) -> Booster:
     """Fit boosted trees on the feature columns, in the given order.
 
-    With ``validation_column`` (true on validation rows) training stops early
-    once the validation error no longer falls.
+    Rows where ``validation_column`` is true are not trained on; they end the training and choose
+    how many trees stay.
     """
-    regressor = GBTRegressor(
-        featuresCol="_features",
-        labelCol=label,
-        predictionCol=prediction,
-        maxDepth=p.depth,
-        maxIter=p.trees,
-        stepSize=p.learning_rate,
-        subsamplingRate=p.subsample,
-        featureSubsetStrategy=str(p.column_share),
-        minInstancesPerNode=p.min_rows,
-        seed=p.seed,
-        checkpointInterval=10,
-    )
-    if validation_column:
-        regressor = regressor.setValidationIndicatorCol(validation_column)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    return Pipeline(stages=[assembler, regressor]).fit(train)
+    if not 0 < p.bins <= MAX_BINS:
+        raise ValueError("a bin is one byte")
+    held = F.coalesce(F.col(validation_column).cast("boolean"), F.lit(False)) if validation_column else F.lit(False)
+    known = F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))
+    rows = train.where(known).select(*_numeric(train, features), F.col(label).cast("double").alias("label"), held.alias("held"), F.monotonically_increasing_id().alias("row"))
+    rows = staged(rows, "boost-rows")
+    mine = rows.where(~F.col("held"))
+    n, base, low, high = mine.agg(F.count(F.lit(1)), F.avg("label"), F.min("label"), F.max("label")).first()
+    model = Booster(tuple(features), prediction, float(base or 0.0))
+    if not n or low == high:
+        return model
+    edges = bin_edges(mine, [f"f{i}" for i in range(len(features))], p.bins)
+    # Sums of all gradients stay whole numbers below 2**52.
+    scale = 2.0 ** np.floor(52 - np.log2(n * 4 * (high - low)))
+    tasks = -(-rows.count() // BLOCK_ROWS)
+    blocks = staged(rows.coalesce(tasks).mapInArrow(_blocks(edges, model.base), _BLOCK), "boost-blocks")
+    best, best_at, since = np.inf, 0, []
+    for number in range(p.trees):
+        tree, error = _grow(blocks, edges, since, number, p, scale, tasks <= FEW_TASKS)
+        if error is not None:
+            if error < best:
+                best, best_at = error, len(model.trees)
+            elif len(model.trees) - best_at >= p.patience:
+                break
+        if tree.feature[0] < 0 and tree.value[0] == 0:  # the penalties leave nothing to learn
+            break
+        model.trees.append(tree)
+        since.append(tree)
+        if len(since) == REWRITE:
+            blocks = staged(blocks.coalesce(tasks).mapInArrow(_with_margins(since, len(features)), _BLOCK), "boost-blocks")
+            since = []
+    if validation_column and best < np.inf:
+        error = _error_after(blocks, since, len(features))
+        model.trees = model.trees if error is not None and error < best else model.trees[:best_at]
+    return model
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def _error_after(blocks: DataFrame, since: Sequence[Tree], n_features: int) -> float | None:
+    """Validation error with all trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                _, bins, label, held, margin = _unpacked(batch, row, n_features)
+                off = (_replayed(margin, bins, since)[held] - label[held]) ** 2
+                yield pa.RecordBatch.from_arrays([pa.array([off.sum()]), pa.array([len(off)])], ["error", "n"])
+
+    return blocks.mapInArrow(run, "error double, n long").agg((F.sum("error") / F.sum("n"))).first()[0]
+
+
+def score(model: Booster, df: DataFrame) -> DataFrame:
     """Add the model's prediction; the model selects its own columns."""
-    return model.transform(df).drop("_features")
 
+    @F.pandas_udf("double")
+    def predicted(values: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.predict(values.to_numpy(np.float64, na_value=np.nan)))
+
+    return df.withColumn(model.prediction, predicted(F.struct(*_numeric(df, model.features))))
 
-def tree_count(model: PipelineModel) -> int:
+
+def tree_count(model: Booster) -> int:
     """Trees the training kept."""
-    return int(model.stages[-1].getNumTrees)
+    return len(model.trees)
 
 
 def fit_stacked(
     train: DataFrame, demand: BoostParams = DEMAND, revenue: BoostParams = REVENUE, validation: Column | None = None
-) -> tuple[PipelineModel, PipelineModel]:
+) -> tuple[Booster, Booster]:
     """Demand model, then a revenue model that also sees the predicted demand.
 
     Rows that fulfil ``validation`` are not trained on; they end the training early.
@@ -107,26 +435,67 @@ def fit_stacked(
     return first, second
 
 
-def score_stacked(models: tuple[PipelineModel, PipelineModel], df: DataFrame) -> DataFrame:
+def score_stacked(models: tuple[Booster, Booster], df: DataFrame) -> DataFrame:
     first, second = models
     return score(second, score(first, df))
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, k: int | None = 10) -> DataFrame:
-    """Features by importance; one row per model column."""
-    names = model.stages[0].getInputCols()
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(value)) for name, value in zip(names, values)]
-    table = spark.createDataFrame(rows, "feature string, importance double")
-    ranked = table.orderBy(F.desc("importance"), "feature")
+NODES = "tree int, node int, feature string, threshold double, missing_left boolean, value double, gain double"
+
+
+def node_table(spark: SparkSession, model: Booster) -> DataFrame:
+    """One row per node of the trees; leaves have no feature. As many rows as trees and their nodes."""
+    rows = []
+    for number, tree in enumerate(model.trees):
+        reached = [0]
+        for node in reached:
+            inner = tree.feature[node] >= 0
+            if inner:
+                reached += [2 * node + 1, 2 * node + 2]
+            name = model.features[tree.feature[node]] if inner else None
+            numbers = (float(tree.threshold[node]), bool(tree.missing_left[node]), float(tree.value[node]), float(tree.gain[node]))
+            rows.append((number, node, name, *numbers))
+    return spark.createDataFrame(rows, NODES)
+
+
+def model_of(nodes: DataFrame, features: Sequence[str], prediction: str, base: float) -> Booster:
+    """The model of a node table."""
+    trees: list[Tree] = []
+    rows = nodes.orderBy("tree", "node").collect()  # as many as the trees have nodes
+    deepest = max((int(r.node) + 1).bit_length() - 1 for r in rows) if rows else 0
+    place = {name: i for i, name in enumerate(features)}
+    for r in rows:
+        while len(trees) <= r.tree:
+            trees.append(Tree.empty(deepest))
+        tree = trees[r.tree]
+        tree.feature[r.node] = -1 if r.feature is None else place[r.feature]
+        tree.threshold[r.node], tree.missing_left[r.node], tree.value[r.node], tree.gain[r.node] = r.threshold, r.missing_left, r.value, r.gain
+    return Booster(tuple(features), prediction, base, trees)
+
+
+def split_counts(spark: SparkSession, model: Booster) -> DataFrame:
+    """Per feature of the model: splits made on it and their total gain."""
+    splits = node_table(spark, model).where("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"))
+    names = spark.createDataFrame([(f,) for f in model.features], "feature string")
+    zero = {"splits": F.coalesce("splits", F.lit(0)).cast("long"), "gain": F.coalesce("gain", F.lit(0.0))}
+    return names.join(splits, "feature", "left").withColumns(zero)
+
+
+def feature_importance(spark: SparkSession, model: Booster, k: int | None = 10) -> DataFrame:
+    """Features by the number of splits made on them, the larger gain first on a tie."""
+    ranked = split_counts(spark, model).orderBy(F.desc("splits"), F.desc("gain"), "feature")
     return ranked.limit(k) if k is not None else ranked
 
 
-def save_model(spark: SparkSession, model: PipelineModel, path: str) -> None:
-    """Model, and next to it its feature names and importances."""
-    model.write().overwrite().save(f"{path}/model")
+def save_model(spark: SparkSession, model: Booster, path: str) -> None:
+    """Node table, what else the model needs, and its feature ranking."""
+    node_table(spark, model).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    about = json.dumps({"features": model.features, "prediction": model.prediction, "base": model.base})
+    spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
     feature_importance(spark, model, None).coalesce(1).write.mode("overwrite").json(f"{path}/features")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.schema("feature string, importance double").json(f"{path}/features")
+def load_model(spark: SparkSession, path: str) -> tuple[Booster, DataFrame]:
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    model = model_of(spark.read.schema(NODES).parquet(f"{path}/nodes"), about["features"], about["prediction"], about["base"])
+    return model, spark.read.schema("feature string, splits long, gain double").json(f"{path}/features")

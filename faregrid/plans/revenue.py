@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.models.boosted import fill_average, score_stacked
+from faregrid.models.boosted import Booster, score_stacked
 from faregrid.operators.anomalies import anomaly_feed, cycle_report, proposed_actions
 from faregrid.operators.clean import clean_library, clean_main
 from faregrid.operators.features import library_features, main_features
@@ -42,9 +41,9 @@ def naive_predictions(series: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return predictions_table(naive_forecast(features), p)
 
 
-def model_predictions(features: DataFrame, models: tuple[PipelineModel, PipelineModel], p: Params = DEFAULTS) -> DataFrame:
+def model_predictions(features: DataFrame, models: tuple[Booster, Booster], p: Params = DEFAULTS) -> DataFrame:
     """Stacked demand and revenue predictions with costs and profit, from feature rows."""
-    return predictions_table(score_stacked(models, fill_average(features)), p)
+    return predictions_table(score_stacked(models, features), p)
 
 
 def library_cells_from_trips(

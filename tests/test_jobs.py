@@ -137,9 +137,9 @@ def test_boosted_model_beats_the_naive_forecast(spark):
     (demand, _), rows = _models(spark, MEDIUM)
     test = _part(rows, "test")
     scored = boosted.score(demand, test)
-    model = metrics.metrics(scored, "demand", "demand_pred", ["wmape"]).first().wmape
-    naive = metrics.metrics(test, "demand", "exp_avg", ["wmape"]).first().wmape
-    assert model <= naive
+    model = metrics.metrics(scored, "demand", "demand_pred", ["rmse", "wmape"]).first()
+    naive = metrics.metrics(test, "demand", "exp_avg", ["rmse", "wmape"]).first()
+    assert model.rmse < naive.rmse and model.wmape < naive.wmape and boosted.tree_count(demand) > 30
 
 
 def test_scoring_does_not_depend_on_column_order(spark):

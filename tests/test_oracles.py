@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(ENTRIES)
+    assert set(ENTRIES) - set(SQL) == {"m_model_errors"}
 
 
 def test_entry(spark):
