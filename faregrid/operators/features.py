@@ -37,9 +37,39 @@ def lag_columns(target: str, n_lags: int, window) -> dict[str, Column]:
     return {f"ft_{k}": F.lag(target, k).over(window) for k in range(1, n_lags + 1)}
 
 
-def rolling_columns(target: str, windows: Sequence[int], window) -> dict[str, Column]:
-    """Means of the previous rows, the current one excluded."""
-    return {f"rolling_avg_{w}": F.avg(target).over(window.rowsBetween(-w, -1)) for w in windows}
+def with_running(df: DataFrame, target: str, window) -> DataFrame:
+    """Sum and number of the known values before each row of a block, which :func:`rolling_columns` reads.
+
+    Values that aren't finite are counted apart, so that they don't outlive their windows.
+    """
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    x = F.col(target)
+    odd = x.isNotNull() & ~(F.abs(x.cast("double")) < float("inf"))
+    parts = {
+        "_sum_before": F.sum(F.when(~odd, x)),
+        "_n_before": F.count(x),
+        "_odd_before": F.count_if(odd),
+    }
+    return df.withColumns({name: F.coalesce(part.over(before), F.lit(0)) for name, part in parts.items()})
+
+
+def rolling_columns(windows: Sequence[int], window) -> dict[str, Column]:
+    """Means of the previous rows, the current one excluded.
+
+    Differences of the running sums of :func:`with_running`: the cost of a row doesn't grow with the
+    window. Sums of whole numbers are exact; with fractions a mean of w rows is off by at most
+    2 ** -53 times the rows of a block and halo times the sum of the absolute values in them, over w.
+    The mean of a window that holds NaN or an infinite value is NaN.
+    """
+
+    def since(name: str, w: int) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, w).over(window), F.lit(0))
+
+    def mean(w: int) -> Column:
+        plain = F.try_divide(since("_sum_before", w).cast("double"), since("_n_before", w).cast("double"))
+        return F.when(since("_odd_before", w) > 0, F.lit(float("nan"))).otherwise(plain)
+
+    return {f"rolling_avg_{w}": mean(w) for w in windows}
 
 
 def ema_columns(target: str, alpha: float, skip: int, window, block: Column, size: int, halo: int) -> dict[str, Column]:
@@ -91,17 +121,22 @@ def add_features(
 
     others = {
         **lag_columns(target, p.n_lags, window),
-        **rolling_columns(target, p.rolling_windows, window),
+        **rolling_columns(p.rolling_windows, window),
         **{f"prev_{name}": F.lag(name, 1).over(window) for name in previous},
     }
+    running = ("_sum_before", "_n_before", "_odd_before")
     placed = with_positions(series, [zone], bins)
+
+    def blocks(df: DataFrame, size: int, halo: int) -> DataFrame:
+        return with_running(in_blocks(df, size, halo), target, window)
+
     # One pass where the look-back of the windows fits the averages' blocks, else one each.
     halo = max(memory, look_back)
     size = min(max(BLOCK_ROWS, halo), room + memory - halo)
     if size >= halo:
-        return out_of_blocks(in_blocks(placed, size, halo).withColumns(others | averages(size, halo)))
+        return out_of_blocks(blocks(placed, size, halo).withColumns(others | averages(size, halo))).drop(*running)
     averaged = out_of_blocks(in_blocks(placed, room, min(memory, room)).withColumns(averages(room, min(memory, room))))
-    return out_of_blocks(in_blocks(averaged, max(BLOCK_ROWS, look_back), look_back).withColumns(others))
+    return out_of_blocks(blocks(averaged, max(BLOCK_ROWS, look_back), look_back).withColumns(others)).drop(*running)
 
 
 def main_features(series: DataFrame, p: Params = DEFAULTS, previous: Sequence[str] = ()) -> DataFrame:

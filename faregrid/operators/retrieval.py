@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from faregrid.functions.text import action_lines, chunk_spans, clean_chunk, strip
 from faregrid.params import DEFAULTS, Params
 from faregrid.plans.columns import with_computed
+from faregrid.plans.positions import running_offsets
 from faregrid.storage import staged
 
 # Query vectors of a block, and the bytes of all blocks that may go to every task.
@@ -54,6 +55,17 @@ def clean_chunks(chunks: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     )
 
 
+def numbered_chunks(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add ``number``: the place of a chunk among all, from 0, by document and chunk number.
+
+    Chunks are counted per document; documents are ordered by ranges of their key, a long.
+    """
+    sizes = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = running_offsets(sizes, key, "_size").select(key, F.col("before"))
+    inside = F.row_number().over(Window.partitionBy(key).orderBy("chunk_no"))
+    return chunks.withColumn("_inside", inside).join(offsets, key).withColumn("number", F.col("before") + F.col("_inside") - 1).drop("before", "_inside")
+
+
 def repair_vectors(df: DataFrame, dim: int | Column, vector: str = "embedding") -> DataFrame:
     """Zero vector where the embedding is missing, short or not a number."""
     v = F.col(vector)
@@ -134,8 +146,8 @@ def _best(k: int):
 
 
 def assemble_context(ranked: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """One text per query: its sources in rank order. At most k rows per query."""
-    block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]\n"), F.col(text))
+    """One text per query: its sources in rank order, empty ones too. At most k rows per query."""
+    block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]\n"), F.coalesce(F.col(text), F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
     joined = F.array_join(F.transform(ordered, lambda b: b["block"]), "\n\n")
     return ranked.groupBy("query_id").agg(

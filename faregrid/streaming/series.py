@@ -14,6 +14,7 @@ from faregrid.operators.clean import clean_main
 from faregrid.operators.zones import assign_zone
 from faregrid.params import DEFAULTS, Params
 from faregrid.plans.revenue import monitoring_tables
+from faregrid.storage import staged
 
 CELL = ("cluster_id", "bin_start")
 
@@ -45,6 +46,104 @@ def windowed_series(trips: DataFrame, p: Params = DEFAULTS, late: str = "10 minu
     return cells.withColumns(flags | edges).drop("w", "_first")
 
 
+# Sums that make up a cell; each is a column of the parts a batch adds to it.
+_MEANS = {"avg_fare": "total_amount", "avg_distance": "trip_distance", "avg_duration": "trip_duration_minutes"}
+CLOSED = "_closed"
+
+
+def _stamped(trips: DataFrame, p: Params) -> DataFrame:
+    """Clean trips with a zone, and the first second of their epoch-aligned bin."""
+    seconds = F.floor(elapsed_micros(naive(datetime(1970, 1, 1)), F.col("pickup_datetime")) / F.lit(1_000_000))
+    bins = (F.floor(seconds / F.lit(p.bin_seconds)) * F.lit(p.bin_seconds)).cast("long")
+    return assign_zone(clean_main(trips, p)).where(F.col("cluster_id").isNotNull()).withColumn("bin_start", bins)
+
+
+def _parts(stamped: DataFrame) -> DataFrame:
+    """What trips add to their cells."""
+    sums = {f"sum_{c}": F.sum(c) for c in _MEANS.values()} | {f"n_{c}": F.count(c) for c in _MEANS.values()}
+    return stamped.groupBy(*CELL).agg(
+        F.count("VendorID").alias("demand"), F.min("pickup_datetime").alias("first"), *(c.alias(n) for n, c in sums.items())
+    )
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """Parts of a cell as one row."""
+    sums = ["demand", *(f"{kind}_{c}" for c in _MEANS.values() for kind in ("sum", "n"))]
+    return parts.groupBy(*CELL).agg(F.min("first").alias("first"), *(F.sum(c).alias(c) for c in sums))
+
+
+def start_additive(trips: DataFrame, path: str, checkpoint: str, p: Params = DEFAULTS, late_seconds: int = 600) -> StreamingQuery:
+    """Take what is available and stop, adding each batch's trips to their cells, however late they come.
+
+    A cell is made of counts, sums and a minimum, so a trip that comes after its bin's end only adds to
+    it: :func:`added_cells` equals the batch series whatever the order of arrival, and no
+    state grows with open bins. Trips that come more than ``late_seconds`` after a bin's end, by the latest
+    pickup of earlier batches, are also listed (:func:`late_trips`). A batch writes folders of its own, so
+    one that is repeated overwrites what it wrote before.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stamped = staged(_stamped(batch, p), "arrived-trips")
+        latest = F.max(F.col("bin_start")).alias("latest")
+        before = spark.read.schema("latest long, batch long").parquet(f"{path}/marks") if batch_id else None
+        mark = before.where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0] if before is not None else None
+        if mark is not None:
+            closed = F.col("bin_start") + F.lit(p.bin_seconds + late_seconds) <= F.lit(mark)
+            late = stamped.where(closed).withColumn(CLOSED, F.lit(mark))
+            late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        _parts(stamped).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
+        stamped.agg(latest).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+
+    return trips.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Add up the parts so far under the last batch's number, so that readers take them instead; the number, or -1.
+
+    Parts stay until a later clean-up, so readers that began before still find them.
+    """
+    last = _newest(spark, f"{path}/parts", "batch")
+    done = _newest(spark, f"{path}/compacted", "upto")
+    if last > done:
+        _added(_current_parts(spark, path)).write.mode("overwrite").parquet(f"{path}/compacted/upto={last}")
+    return last
+
+
+def _newest(spark: SparkSession, folder: str, key: str) -> int:
+    """The largest number among the folders ``key=number``, -1 without any."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return -1
+    names = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith(f"{key}=")]
+    whole = [x.getName() for x in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return max((int(x.split("=")[1]) for x in whole), default=-1)
+
+
+def _current_parts(spark: SparkSession, path: str) -> DataFrame:
+    parts = spark.read.parquet(f"{path}/parts")
+    done = _newest(spark, f"{path}/compacted", "upto")
+    if done < 0:
+        return parts.drop("batch")
+    return spark.read.parquet(f"{path}/compacted/upto={done}").unionByName(parts.where(F.col("batch") > done).drop("batch"))
+
+
+def added_cells(spark: SparkSession, path: str, p: Params = DEFAULTS) -> DataFrame:
+    """The series of all trips that have arrived, with the columns of :func:`windowed_series`."""
+    cells = _added(_current_parts(spark, path))
+    parts = calendar_columns(F.col("first"), p.rush_hours)
+    means = {name: F.try_divide(F.col(f"sum_{c}"), F.col(f"n_{c}").cast("double")) for name, c in _MEANS.items()}
+    flags = {name: parts[name] for name in ("hour", "day_of_week", "is_weekend", "is_rush_hour")}
+    named = cells.withColumns(means | flags | {"revenue_total": F.col("sum_total_amount"), "bin_end": F.col("bin_start") + F.lit(p.bin_seconds)})
+    return named.select(*CELL, "demand", "revenue_total", *_MEANS, "bin_end", *flags)
+
+
+def late_trips(spark: SparkSession, path: str) -> DataFrame | None:
+    """Trips that came after their bin had closed, each with its ``batch``; None if no batch could have any."""
+    return spark.read.parquet(f"{path}/late") if _newest(spark, f"{path}/late", "batch") >= 0 else None
+
+
 def start_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Take what is available and stop, writing the cells each batch has changed.
 

@@ -1,14 +1,17 @@
 """Windows against pandas, over block borders and a hot zone."""
 
+import time
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from faregrid.operators import features, splits
 from faregrid.params import DEFAULTS
 from faregrid.plans import positions
+from faregrid.storage import staged
 
 RNG = np.random.default_rng(3)
 
@@ -140,3 +143,35 @@ def test_long_windows_and_any_alpha(series, frame, alpha, windows):
 def test_alpha_outside_its_range(series, alpha):
     with pytest.raises(ValueError):
         features.add_features(series, p=replace(DEFAULTS, ema_alpha=alpha))
+
+
+def test_long_windows_of_gaps_fractions_and_odd_values(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = np.round(rng.normal(1000, 300, n), 3)
+    x[rng.random(n) < 0.1] = np.nan
+    data = [(1, i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [(2, i, float("nan") if i == 40 else float(i)) for i in range(200)]
+    df = spark.createDataFrame(data, "z int, b long, y double")
+    p = replace(DEFAULTS, n_lags=1, rolling_windows=(7, 30, 1500), ema_alpha=0.3)
+    got = features.add_features(df, "z", "b", "y", p).orderBy("z", "b").toPandas()
+    one, two = got[got.z == 1].reset_index(), got[got.z == 2].reset_index()
+    for w in p.rolling_windows:
+        want = pd.Series(x).shift(1).rolling(w, min_periods=1).mean()
+        assert np.allclose(one[f"rolling_avg_{w}"], want, rtol=1e-9, equal_nan=True)
+    assert np.isnan(two["rolling_avg_7"][41:48]).all() and two["rolling_avg_7"][48] == np.mean(range(41, 48))
+    assert np.isnan(two["rolling_avg_30"][70]) and two["rolling_avg_30"][71] == np.mean(range(41, 71))
+
+
+def test_cost_does_not_grow_with_the_window(spark):
+    df = spark.range(200_000).select((F.col("id") % 4).cast("int").alias("z"), F.floor(F.col("id") / 4).alias("b"), (F.col("id") % 97).alias("y"))
+    df = staged(df, "long-series")
+
+    def seconds(windows):
+        start = time.perf_counter()
+        features.add_features(df, "z", "b", "y", replace(DEFAULTS, rolling_windows=windows)).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds((7, 30))
+    short, long = min(seconds((7, 30)) for _ in range(2)), min(seconds((7, 4320)) for _ in range(2))
+    assert long < 3 * short + 2
+    print(short, long)

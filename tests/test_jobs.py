@@ -125,6 +125,38 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert streaming.late_rows(query) > 0
 
 
+def added(spark, path, **options):
+    schema = spark.read.parquet(f"{path}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streaming.start_additive(stream, f"{path}/out", f"{path}/state", t.PARAMS, **options).awaitTermination()
+    return streaming.added_cells(spark, f"{path}/out", t.PARAMS)
+
+
+def test_late_trips_are_added_and_listed(spark, tmp_path):
+    rows = made_trips([datetime(2024, 1, 1) + timedelta(minutes=31 * i) for i in range(200)])
+    trip_files(spark, tmp_path, [rows[150:], rows[100:150], rows[:50], rows[50:100]])
+    out = added(spark, tmp_path)
+    batch = streaming.windowed_series(spark.read.parquet(f"{tmp_path}/in").drop("part"), t.PARAMS)
+    assert sorted(out.columns) == sorted(batch.columns) and cells(out) == cells(batch)
+    late = streaming.late_trips(spark, f"{tmp_path}/out")
+    clean = sum(r[5] == 1.0 for r in rows)
+    assert 0 < late.count() < clean and {r.batch for r in late.select("batch").distinct().collect()} == {1, 2, 3}
+    assert late.where(F.col("bin_start") + t.PARAMS.bin_seconds + 600 > F.col("_closed")).count() == 0
+    # Compaction changes nothing, also with batches that come after it.
+    assert streaming.compact(spark, f"{tmp_path}/out") == 3 and cells(streaming.added_cells(spark, f"{tmp_path}/out", t.PARAMS)) == cells(batch)
+    assert cells(added(spark, tmp_path)) == cells(batch)
+    trip_files(spark, tmp_path, [made_trips([datetime(2023, 12, 31)] * 9)], first=4)
+    more = added(spark, tmp_path)
+    batch = streaming.windowed_series(spark.read.parquet(f"{tmp_path}/in").drop("part"), t.PARAMS)
+    assert cells(more) == cells(batch)
+    assert streaming.compact(spark, f"{tmp_path}/out") == 4 and cells(streaming.added_cells(spark, f"{tmp_path}/out", t.PARAMS)) == cells(batch)
+
+
+def test_nothing_is_late_in_one_batch(spark, tmp_path):
+    trip_files(spark, tmp_path, [made_trips([datetime(2024, 1, 1) + timedelta(days=i) for i in (9, 0, 5)])])
+    assert added(spark, tmp_path).count() == 2 and streaming.late_trips(spark, f"{tmp_path}/out") is None
+
+
 def test_monitoring_tables_agree(spark):
     feed, actions, report = revenue.monitoring_tables(t.predictions(spark, MEDIUM), t.PARAMS)
     row = report.first()

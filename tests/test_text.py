@@ -150,3 +150,20 @@ def test_chunk_parameters(spark):
 
 def test_every_question_template_is_distinct():
     assert len(set(QUESTIONS)) == len(QUESTIONS)
+
+
+def test_chunks_are_numbered_in_order(spark):
+    from faregrid.operators import retrieval
+
+    rows = [(d, c, f"t{d}-{c}") for d in (9000, 3, 5, 12) for c in (4, 0, 2)][::-1]
+    df = spark.createDataFrame(rows, "doc_id long, chunk_no int, chunk_text string")
+    got = {r.chunk_text: r.number for r in retrieval.numbered_chunks(df).collect()}
+    assert got == {text: i for i, (_, _, text) in enumerate(sorted(rows))}
+
+
+def test_context_keeps_ranks_without_a_text(spark):
+    from faregrid.operators import retrieval
+
+    ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "c")], "query_id long, rank int, chunk_text string")
+    text = retrieval.assemble_context(ranked).first().context
+    assert [line for line in text.split("\n") if line.startswith("[Source")] == ["[Source 1]", "[Source 2]", "[Source 3]"]
