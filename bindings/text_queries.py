@@ -20,6 +20,7 @@ from faregrid.operators.forecast import predictions_table
 from faregrid.plans import revenue
 from faregrid.plans.thresholds import attach
 from faregrid.storage import fresh_path, staged
+from faregrid.streaming import features as growing
 from faregrid.streaming import series as streaming
 
 P = t.PARAMS
@@ -181,6 +182,22 @@ def x1(spark, sf):
     return streaming.added_cells(spark, f"{path}/out", P)
 
 
+@query("x2_incremental_features", f"""WITH {b.FEATURES} -- result
+    SELECT cluster_id, time_bin, demand, pos, ft_1, ft_5, prev_avg_fare, exp_avg FROM features""", "prev_avg_fare exp_avg")
+def x2_features(spark, sf):
+    """The series arrives as three files, the middle third last, so that some zones change their past."""
+    rows = t.series(spark, sf)
+    path = fresh_path(spark, "growing-series")
+    edges = rows.approxQuantile("time_bin", [0.33, 0.66], 0.01) or [0.0] * 2
+    third = sum((F.col("time_bin") > e).cast("int") for e in edges)
+    for number in (0, 2, 1):
+        rows.where(third == number).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    growing.start_features(arriving, f"{path}/out", f"{path}/state", p=P, previous=["avg_fare"]).awaitTermination()
+    found = growing.current_features(spark, f"{path}/out").dropna(subset=["ft_5"])
+    return found.select("cluster_id", "time_bin", "demand", "pos", "ft_1", "ft_5", "prev_avg_fare", "exp_avg")
+
+
 @query("x2_monitoring_per_trigger", REPORT_SQL, "total_impact")
 def x2(spark, sf):
     schema = t.read(spark, sf, "events").schema

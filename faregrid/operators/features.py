@@ -112,6 +112,21 @@ def add_features(
     ``previous`` names further columns whose value on the preceding row is
     added as ``prev_<name>``. One pass: positions, blocks, windows.
     """
+    return placed_features(with_positions(series, [zone], bins), zone, target, p, previous)
+
+
+def look_back_rows(p: Params = DEFAULTS) -> int:
+    """Rows of a zone before a row that can change its features beyond rounding."""
+    return max(ema_memory(p.ema_alpha, p.ema_negligible), p.n_lags, max(p.rolling_windows, default=1), 1)
+
+
+def placed_features(
+    placed: DataFrame, zone: str = "cluster_id", target: str = "demand", p: Params = DEFAULTS, previous: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`add_features` of rows that have their ``pos`` in the zone.
+
+    A zone's first rows may be missing: rows with :func:`look_back_rows` rows before them get what all rows give.
+    """
     memory, room = ema_memory(p.ema_alpha, p.ema_negligible), ema_block(p.ema_alpha, p.ema_negligible)
     look_back = max(p.n_lags, max(p.rolling_windows, default=1), 1)
     window = block_window([zone])
@@ -125,7 +140,6 @@ def add_features(
         **{f"prev_{name}": F.lag(name, 1).over(window) for name in previous},
     }
     running = ("_sum_before", "_n_before", "_odd_before")
-    placed = with_positions(series, [zone], bins)
 
     def blocks(df: DataFrame, size: int, halo: int) -> DataFrame:
         return with_running(in_blocks(df, size, halo), target, window)

@@ -43,3 +43,15 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def newest(spark: SparkSession, folder: str, key: str, below: int | None = None) -> int:
+    """The largest number (under ``below``) among the finished folders ``key=number``, -1 without any."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return -1
+    found = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith(f"{key}=")]
+    numbers = [int(x.getName().split("=")[1]) for x in found if files.exists(path(x, "_SUCCESS"))]
+    return max((n for n in numbers if below is None or n < below), default=-1)

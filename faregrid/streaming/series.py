@@ -14,7 +14,7 @@ from faregrid.operators.clean import clean_main
 from faregrid.operators.zones import assign_zone
 from faregrid.params import DEFAULTS, Params
 from faregrid.plans.revenue import monitoring_tables
-from faregrid.storage import staged
+from faregrid.storage import newest, staged
 
 CELL = ("cluster_id", "bin_start")
 
@@ -103,27 +103,16 @@ def compact(spark: SparkSession, path: str) -> int:
 
     Parts stay until a later clean-up, so readers that began before still find them.
     """
-    last = _newest(spark, f"{path}/parts", "batch")
-    done = _newest(spark, f"{path}/compacted", "upto")
+    last = newest(spark, f"{path}/parts", "batch")
+    done = newest(spark, f"{path}/compacted", "upto")
     if last > done:
         _added(_current_parts(spark, path)).write.mode("overwrite").parquet(f"{path}/compacted/upto={last}")
     return last
 
 
-def _newest(spark: SparkSession, folder: str, key: str) -> int:
-    """The largest number among the folders ``key=number``, -1 without any."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(where):
-        return -1
-    names = [s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith(f"{key}=")]
-    whole = [x.getName() for x in names if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return max((int(x.split("=")[1]) for x in whole), default=-1)
-
-
 def _current_parts(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.parquet(f"{path}/parts")
-    done = _newest(spark, f"{path}/compacted", "upto")
+    done = newest(spark, f"{path}/compacted", "upto")
     if done < 0:
         return parts.drop("batch")
     return spark.read.parquet(f"{path}/compacted/upto={done}").unionByName(parts.where(F.col("batch") > done).drop("batch"))
@@ -141,7 +130,7 @@ def added_cells(spark: SparkSession, path: str, p: Params = DEFAULTS) -> DataFra
 
 def late_trips(spark: SparkSession, path: str) -> DataFrame | None:
     """Trips that came after their bin had closed, each with its ``batch``; None if no batch could have any."""
-    return spark.read.parquet(f"{path}/late") if _newest(spark, f"{path}/late", "batch") >= 0 else None
+    return spark.read.parquet(f"{path}/late") if newest(spark, f"{path}/late", "batch") >= 0 else None
 
 
 def start_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

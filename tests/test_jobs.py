@@ -1,7 +1,9 @@
 """Storage, sinks, streams and models."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from bindings.text_queries import DEMAND, _models, _part
 from faregrid import storage
 from faregrid.models import boosted
 from faregrid.operators import metrics, splits
+from faregrid.operators.features import add_features, look_back_rows
 from faregrid.plans import revenue
 from faregrid.sources import predictions as files
 from faregrid.sources import sinks, trips
+from faregrid.streaming import features as growing
 from faregrid.streaming import series as streaming
 from tests.conftest import MEDIUM, SMALL
 
@@ -197,3 +201,35 @@ def test_split_leaves_the_future_for_testing(spark):
     edges = {r.split: (r.lo, r.hi) for r in rows.groupBy("split").agg(F.min("time_bin").alias("lo"), F.max("time_bin").alias("hi")).collect()}
     assert edges["train"][1] <= edges["validation"][0] and edges["validation"][1] <= edges["test"][0]
     assert DEMAND.trees == 1000
+
+
+def growing_rows(zones=(1, 2, 3), n=400, first=0):
+    return [(z, b, (z * 7 + b * b) % 50 + 1, float(b % 13) + z) for z in zones for b in range(first, first + n) if (b * z) % 5]
+
+
+def test_features_of_a_growing_series(spark, tmp_path):
+    kind = "cluster_id int, time_bin int, demand long, avg_fare double"
+    p = replace(t.PARAMS, rolling_windows=(7, 30))
+    rows = growing_rows()
+    batches = [[r for r in rows if low <= r[1] < low + 100] for low in (0, 100, 200)] + [[r for r in rows if r[1] >= 300] + [(4, 5, 9, 1.0)]]
+    sizes = []
+    for number, batch in enumerate(batches):
+        got = growing.advance(spark.createDataFrame(batch, kind), number, str(tmp_path), p=p, previous=["avg_fare"])
+        assert got.count() == len(batch)
+        sizes.append(spark.read.parquet(f"{tmp_path}/state/batch={number}").groupBy("cluster_id").count().agg(F.max("count")).first()[0])
+    assert sizes[1:] == [look_back_rows(p)] * 3
+
+    def same(everything):
+        want = add_features(spark.createDataFrame(everything, kind), p=p, previous=["avg_fare"]).drop("n_rows").toPandas()
+        found = growing.current_features(spark, str(tmp_path)).toPandas()[want.columns]
+        key = ["cluster_id", "time_bin"]
+        pd.testing.assert_frame_equal(found.sort_values(key, ignore_index=True), want.sort_values(key, ignore_index=True), check_dtype=False, rtol=1e-9)
+
+    same(sum(batches, []))
+    # Zone 2 changes a cell and gets one between; the others aren't written again. The batch comes twice.
+    late = [(2, 151, 99, 2.0), (2, 150, 77, 3.0), (1, 900, 5, 1.0)]
+    for _ in range(2):
+        got = growing.advance(spark.createDataFrame(late, kind), 4, str(tmp_path), p=p, previous=["avg_fare"])
+        assert {r.cluster_id: r["count"] for r in got.groupBy("cluster_id").count().collect()}[1] == 1
+    changed = [r for r in sum(batches, []) if r[:2] not in ((2, 151), (2, 150))] + late
+    same(changed)
