@@ -18,8 +18,10 @@ from faregrid.storage import staged
 # Query vectors of a block, and the bytes of all blocks that may go to every task.
 BLOCK_QUERIES = 256
 BROADCAST_BYTES = 32 << 20
-# Parts of the base that each block of queries meets where blocks are joined by shuffle.
-BASE_PARTS = 64
+# Bytes of vectors that either side of a tile holds.
+TILE_BYTES = 32 << 20
+# Dot products held at once.
+PRODUCT = 1 << 22
 BASE_ROWS = 4096
 # Rounding of a matrix product; pairs this close are measured again, each the same way.
 MARGIN = 1e-9
@@ -84,36 +86,52 @@ def top_similar(
 ) -> DataFrame:
     """The k base vectors with the largest dot product for each query.
 
-    Both sides are packed to blocks, and each block of queries meets each block of the base once, in
-    one pass. Query blocks of up to BROADCAST_BYTES go to the tasks; more are joined by shuffle, each
-    with BASE_PARTS parts of the base. A pair of blocks gives k rows per query. Missing and
-    malformed vectors count as zero vectors.
+    Queries of up to BROADCAST_BYTES go to the tasks in blocks, and the base stays where it is. More
+    queries meet the base in tiles (:func:`tile_grid`), whose sides fit a task whatever the tables' sizes.
+    A tile gives k rows per query. Missing and malformed vectors count as zero vectors.
     """
     queries = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     base = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     queries = staged(queries, "queries")
-    dims = queries.agg(F.greatest(F.max(F.size("vector")), F.lit(1)).alias("dims")).scalar()
-    queries = repair_vectors(queries, dims, "vector")
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    pack = [F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("query_vectors")]
-    packed = staged(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(*pack), "query-blocks")
-    repaired = repair_vectors(base, dims, "vector").mapInArrow(_packed, "ids array<long>, vectors array<double>")
-    met = repaired.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    size = packed.agg(F.sum(F.size("query_vectors").cast("long") * 8)).scalar()
-    small = not packed.agg(F.lit(1).alias("x")).where(size <= BROADCAST_BYTES).isEmpty()
-    if small:
+    dims, n = queries.agg(F.greatest(F.max(F.size("vector")), F.lit(1)), F.count(F.lit(1))).first()
+    dims = dims or 1
+    queries, base = repair_vectors(queries, F.lit(dims), "vector"), repair_vectors(base, F.lit(dims), "vector")
+    if n * dims * 8 <= BROADCAST_BYTES:
+        blocks = max(1, -(-n // BLOCK_QUERIES))
+        pack = [F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vector")).alias("query_vectors")]
+        packed = staged(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(*pack), "query-blocks")
+        met = base.mapInArrow(_packed, "ids array<long>, vectors array<double>")
+        met = met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         pairs = met.join(F.broadcast(packed), "block")
+        found = pairs.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(_best(k), FOUND)
     else:
-        part = F.pmod(F.xxhash64("ids"), F.lit(BASE_PARTS)).alias("part")
-        spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASE_PARTS - 1).cast("long"))))
-        pairs = met.withColumn("part", part).join(spread, ["block", "part"])
-    found = pairs.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(
-        _best(k), "query_id long, base_id long, similarity double"
-    )
+        across, down = tiled(queries, base, *tile_grid(n * dims * 8, base.count() * dims * 8))
+        found = across.groupBy("row", "column").cogroup(down.groupBy("row", "column")).applyInArrow(_tile(k, dims), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+FOUND = "query_id long, base_id long, similarity double"
+
+
+def tile_grid(query_bytes: int, base_bytes: int, tile: int | None = None) -> tuple[int, int]:
+    """Rows and columns of tiles. Each query lies in one row and is copied to all columns, each base vector the
+    other way round: ``query_bytes * columns + base_bytes * rows`` are shuffled, where a copy of the base
+    per block of queries would cost ``base_bytes`` for every block."""
+    size = tile or TILE_BYTES
+    return max(1, -(-query_bytes // size)), max(1, -(-base_bytes // size))
+
+
+def tiled(queries: DataFrame, base: DataFrame, rows: int, columns: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, vector) with the ``row`` and ``column`` of each tile they belong to."""
+
+    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("id", "vector"), F.lit(own_n)).cast("int").alias(own)
+        return df.select("id", "vector", place, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
+
+    return spread(queries, "row", rows, "column", columns), spread(base, "column", columns, "row", rows)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the base, a row each."""
     for batch in batches:
@@ -123,24 +141,46 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["ids", "vectors"])
 
 
+def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of a block of the base for each of a block of queries."""
+    scores = asked @ vectors.T
+    at = max(len(ids) - k, 0)
+    least = np.partition(scores, at, axis=1)[:, at] - MARGIN
+    out = []
+    for query, own, line, bound in zip(query_ids, asked, scores, least):
+        near = np.flatnonzero(line >= bound)
+        exact = (vectors[near] * own).sum(axis=1)
+        best = np.lexsort((ids[near], -exact))[:k]
+        out.append((np.full(len(best), query), ids[near][best], exact[best]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "base_id", "similarity"])
+
+
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, flat, query_ids, query_flat = (batch.column(i).slice(row, 1).flatten().to_numpy(zero_copy_only=False) for i in range(4))
-                if not len(ids) or not len(query_ids):
-                    continue
-                vectors, asked = flat.reshape(len(ids), -1), query_flat.reshape(len(query_ids), -1)
-                scores = asked @ vectors.T
-                at = max(len(ids) - k, 0)
-                least = np.partition(scores, at, axis=1)[:, at] - MARGIN
-                out = []
-                for query, own, line, bound in zip(query_ids, asked, scores, least):
-                    near = np.flatnonzero(line >= bound)
-                    exact = (vectors[near] * own).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append((np.full(len(best), query), ids[near][best], exact[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "base_id", "similarity"])
+                if len(ids) and len(query_ids):
+                    yield _nearest(ids, flat.reshape(len(ids), -1), query_ids, query_flat.reshape(len(query_ids), -1), k)
+
+    return run
+
+
+def _tile(k: int, dims: int):
+    """The k best of a tile's part of the base for each of its queries, some queries at a time."""
+    none = pa.schema([("query_id", pa.int64()), ("base_id", pa.int64()), ("similarity", pa.float64())]).empty_table()
+
+    def side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return table.column("id").to_numpy(), flat.reshape(-1, dims)
+
+    def run(across: pa.Table, down: pa.Table) -> pa.Table:
+        if not len(across) or not len(down):
+            return none
+        (query_ids, asked), (ids, vectors) = side(across), side(down)
+        step = max(1, PRODUCT // len(ids))
+        parts = [_nearest(ids, vectors, query_ids[i : i + step], asked[i : i + step], k) for i in range(0, len(asked), step)]
+        return pa.Table.from_batches(parts)
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -65,7 +66,8 @@ def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, flo
     """Add ``pickup_cluster``, the id of the nearest centre (lower id on a tie).
 
     The centres are a small parameter, written into the expression: no join. Some tens of them are
-    compared in generated code; more are folded as a constant array, at a cost that grows evenly.
+    compared in generated code. More are looked up in a grid (:func:`centre_grid`), where a point meets only
+    the few centres that can be nearest in its cell; points outside the grid are compared with all.
     """
     if not centres:
         raise ValueError("expected at least one centre")
@@ -78,20 +80,57 @@ def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, flo
         scored = [F.struct(squared(a, b).alias("d"), F.lit(int(i)).alias("id")) for i, a, b in centres]
         nearest = F.array_min(F.array(*scored))["id"]
     else:
-        table = F.from_json(
-            F.lit(json.dumps([{"id": int(i), "a": float(a), "b": float(b)} for i, a, b in sorted(centres)])),
-            "array<struct<id:int,a:double,b:double>>",
-        )
+        table = sorted((int(i), float(a), float(b)) for i, a, b in centres)
         none = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("id"))
 
         def closer(best, c):
             d = squared(c["a"], c["b"])
             return F.when(d < best["d"], F.struct(d.alias("d"), c["id"].alias("id"))).otherwise(best)
 
-        nearest = F.aggregate(table, none, closer)["id"]
+        def constant(value, kind: str):
+            return F.from_json(F.lit(json.dumps(value)), kind)
+
+        def listed(numbers: list[int]) -> list[dict]:
+            return [{"id": table[n][0], "a": table[n][1], "b": table[n][2]} for n in numbers]
+
+        every = constant(listed(range(len(table))), f"array<{_CENTRE}>")
+        (south, west), (north, east), side, cells = centre_grid([c[1:] for c in table])
+        row = F.floor((lat - south) / ((north - south) / side)).try_cast("int")
+        column = F.floor((lon - west) / ((east - west) / side)).try_cast("int")
+        inside = row.between(0, side - 1) & column.between(0, side - 1)
+        near = F.get(constant([listed(c) for c in cells], f"array<array<{_CENTRE}>>"), row * side + column)
+        nearest = F.when(F.coalesce(inside, F.lit(False)), F.aggregate(near, none, closer)["id"]).otherwise(F.aggregate(every, none, closer)["id"])
     return df.withColumn("pickup_cluster", F.when(lat.isNotNull() & lon.isNotNull(), nearest))
 
 
+_CENTRE = "struct<id:int,a:double,b:double>"
+
+
+def centre_grid(points: Sequence[tuple[float, float]]) -> tuple[tuple[float, float], tuple[float, float], int, list[list[int]]]:
+    """(lower corner, upper corner, cells a side, numbers of the points that can be nearest per cell, row by row).
+
+    The grid reaches half the points' extent beyond them and has some four cells per point. A point stays on a
+    cell's list unless another is nearer to all of the cell: its least distance to the cell exceeds
+    the other's greatest. Rounding is allowed for, so no point that ties is left out.
+    """
+    at = np.array(points, np.float64)
+    low, high = at.min(axis=0), at.max(axis=0)
+    reach = np.maximum((high - low) / 2, 1e-6 * np.maximum(1.0, np.abs(at).max()))
+    low, high = low - reach, high + reach
+    side = int(np.ceil(2 * np.sqrt(len(at))))
+    step = (high - low) / side
+    cells = []
+    for row in range(side):
+        for column in range(side):
+            corner = low + step * (row, column)
+            slack = 1e-6 * step
+            a, b = corner - slack, corner + step + slack
+            least = (np.maximum(np.maximum(a - at, at - b), 0.0) ** 2).sum(axis=1)
+            most = (np.maximum(np.abs(at - a), np.abs(at - b)) ** 2).sum(axis=1).min()
+            cells.append(np.flatnonzero(least <= most * (1 + 1e-9)).tolist())
+    return tuple(low.tolist()), tuple(high.tolist()), side, cells
+
+
 def centre_table(df: DataFrame, centres: Sequence[tuple[int, float, float]]) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(int(i), float(a), float(b)) for i, a, b in centres],

@@ -8,6 +8,7 @@ from bindings.tables import QUESTIONS
 from faregrid.functions import text as tx
 from faregrid.operators import retrieval, tagging
 from faregrid.params import Params
+from faregrid.storage import staged
 
 
 def expected_spans(lines, size, overlap):
@@ -153,8 +154,6 @@ def test_every_question_template_is_distinct():
 
 
 def test_chunks_are_numbered_in_order(spark):
-    from faregrid.operators import retrieval
-
     rows = [(d, c, f"t{d}-{c}") for d in (9000, 3, 5, 12) for c in (4, 0, 2)][::-1]
     df = spark.createDataFrame(rows, "doc_id long, chunk_no int, chunk_text string")
     got = {r.chunk_text: r.number for r in retrieval.numbered_chunks(df).collect()}
@@ -162,8 +161,27 @@ def test_chunks_are_numbered_in_order(spark):
 
 
 def test_context_keeps_ranks_without_a_text(spark):
-    from faregrid.operators import retrieval
-
     ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "c")], "query_id long, rank int, chunk_text string")
     text = retrieval.assemble_context(ranked).first().context
     assert [line for line in text.split("\n") if line.startswith("[Source")] == ["[Source 1]", "[Source 2]", "[Source 3]"]
+
+
+def test_tiles_copy_each_side_by_the_other_sides_tiles(spark):
+    assert retrieval.tile_grid(1, 1) == (1, 1)
+    rows, columns = retrieval.tile_grid(10 * retrieval.TILE_BYTES, 40 * retrieval.TILE_BYTES)
+    assert (rows, columns) == (10, 40)  # 400 tiles; 10 * 40 + 40 * 10 tile sides are shuffled
+    vectors = spark.range(3000).select("id", F.array(F.rand(1), F.rand(2)).alias("vector"))
+    across, down = retrieval.tiled(vectors.where("id < 500"), vectors, 3, 4)
+    assert (across.count(), down.count()) == (500 * 4, 3000 * 3)
+    met = across.alias("a").join(down.alias("b"), ["row", "column"]).groupBy("a.id", "b.id").count()
+    assert met.count() == 500 * 3000 and met.agg(F.max("count")).first()[0] == 1
+
+
+def test_tiles_give_what_blocks_give(spark, monkeypatch):
+    base = spark.range(700).select(F.col("id").alias("vec_id"), F.array(*(F.round(F.rand(i), 1) for i in range(4))).alias("embedding"))
+    base = staged(base, "tile-base")
+    asked = base.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    want = sorted(map(tuple, retrieval.top_similar(base, asked, 5).collect()))
+    for name, value in (("BROADCAST_BYTES", 0), ("TILE_BYTES", 2000), ("PRODUCT", 500)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, retrieval.top_similar(base, asked, 5).collect())) == want
