@@ -8,7 +8,7 @@ from faregrid.operators import clean, drilldown, metrics, recommend
 from faregrid.plans import revenue
 from tests.conftest import SMALL
 
-EAGER = ("m1", "m2", "m3", "m4", "m5", "m7", "s8", "x1", "x2", "z2")
+EAGER = ("m1", "m2", "m3", "m4", "m5", "m7", "m_", "s8", "x1", "x2", "z2")
 
 
 def plan_of(df) -> str:
