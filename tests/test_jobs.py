@@ -57,6 +57,31 @@ def test_partitioned_sink_prunes(spark, tmp_path):
         files.write_predictions(t.predictions(spark, SMALL), path, fmt="orc")
 
 
+def test_lines_that_do_not_fit_are_listed(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_text("cluster_id,demand,note\n1,2.5,x\n2,many,y\n3,4.0,z\n")
+    (tmp_path / "csv" / "b.csv").write_text("cluster_id,demand,note\n4,,\nfive,6.0,u\n6,1.0\n")
+    good, rejects = files.read_predictions_with_rejects(spark, str(tmp_path / "csv"), "cluster_id int, demand double, note string")
+    assert sorted(map(tuple, good.collect())) == [(1, 2.5, "x"), (3, 4.0, "z"), (4, None, None)]
+    assert sorted((r.file.rsplit("/")[-1], r.line) for r in rejects.collect()) == [("a.csv", "2,many,y"), ("b.csv", "6,1.0"), ("b.csv", "five,6.0,u")]
+    (tmp_path / "csv" / "a.csv").unlink()
+    assert good.count() == 3 and rejects.count() == 3
+
+
+def test_repeated_runs_leave_one_copy(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = spark.range(100).select("id", (F.col("id") % 5).cast("int").alias("hour"))
+    files.replace_partitions(rows, path, ["hour"])
+    kept = {f.name for f in (tmp_path / "parts" / "hour=0").iterdir() if f.suffix == ".parquet"}
+    for _ in range(2):
+        found = files.replace_partitions(rows.where("hour in (1, 2) and id < 50").union(spark.sql("select 7L, 9")), path, ["hour"])
+    assert {r.hour: r.n_rows for r in found.collect()} == {0: 20, 1: 10, 2: 10, 3: 20, 4: 20, 9: 1}
+    assert spark.read.parquet(path).count() == 81
+    assert {f.name for f in (tmp_path / "parts" / "hour=0").iterdir() if f.suffix == ".parquet"} == kept
+    with pytest.raises(ValueError):
+        files.replace_partitions(rows, path, [])
+
+
 def test_roles_with_different_columns(spark, tmp_path):
     spark.createDataFrame([(1, 2.0)], "a int, trip_distance double").write.parquet(str(tmp_path / "x"))
     spark.createDataFrame([(3,)], "a int").write.parquet(str(tmp_path / "y"))
