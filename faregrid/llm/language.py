@@ -32,19 +32,55 @@ GROUPS = (2, 4)  # bytes of a letter group, besides whole words
 EVIDENCE = 40.0  # features a text counts for at most: neighbouring features aren't independent
 SMOOTH = 0.5
 LEAN = 5.0  # pages that a parent's prior counts for
-_HIDDEN = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.DOTALL | re.IGNORECASE)
-_DECLARED = (
-    re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})(?![a-zA-Z])", re.IGNORECASE),
-    re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})(?![a-zA-Z])", re.IGNORECASE),
-)
+_UNSHOWN = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in ("script", "style")}
+_VALUE = r"\s*+=\s*+(?:[\"']\s*+)?([a-zA-Z]{2,3})(?![a-zA-Z])"
+_HTML, _LANG = re.compile(r"<html\b", re.IGNORECASE), re.compile(rf"\slang{_VALUE}", re.IGNORECASE)
+_META, _NAME = re.compile(r"<meta\b", re.IGNORECASE), re.compile("content-language", re.IGNORECASE)
+_CONTENT = re.compile(rf"content{_VALUE}", re.IGNORECASE)
+
+
+def _end(at: int, page: str) -> int:
+    return at if at >= 0 else len(page)
 
 
 def visible(page: str) -> str:
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """Text outside tags, comments, scripts and styles, in one pass forward."""
+    parts, shown, at, closes = [], 0, 0, True
+    while (at := page.find("<", at)) >= 0:
+        if hidden := _UNSHOWN.match(page, at):
+            close = _CLOSE[hidden[1].lower()].search(page, hidden.end())
+            to = close.end() if close else len(page)
+        elif page.startswith("<!--", at):
+            to = _end(page.find("-->", at + 4), page)
+            to = min(to + 3, len(page))
+        else:
+            to = page.find(">", at) + 1 if closes else 0
+            if not to:  # no tag ends from here on
+                closes, at = False, at + 1
+                continue
+        parts += [page[shown:at], " "]
+        shown = at = to
+    return html.unescape("".join([*parts, page[shown:]]))
+
+
+def _tags(opening: re.Pattern, page: str) -> Iterator[tuple[int, int]]:
+    """Where the inside of each such tag begins and ends. What begins inside another is part of that."""
+    at = 0
+    while found := opening.search(page, at):
+        at = _end(page.find(">", found.end()), page)
+        yield found.end(), at
 
 
 def declared(page: str) -> str | None:
-    return next((m[1].lower() for p in _DECLARED if (m := p.search(page))), None)
+    """Language of the first page tag that states one, else of the first meta tag for it."""
+    for at, to in _tags(_HTML, page):
+        if found := _LANG.search(page, at, to):
+            return found[1].lower()
+    for at, to in _tags(_META, page):
+        if (name := _NAME.search(page, at, to)) and (found := [m[1] for m in _CONTENT.finditer(page, name.end(), to)]):
+            return found[-1].lower()
+    return None
 
 
 def buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
