@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from faregrid.llm import components, exact_dedup, minhash, substrings
@@ -175,15 +177,54 @@ class TestSubstrings:
     def test_empty(self, spark):
         assert substrings.without_repeats(empty(spark), digests=True).count() == 0
 
-    def test_nodes_follow_words(self):
-        import numpy as np
-
+    @pytest.mark.parametrize(("shared", "group"), [(1000, 20_000), (2, 20)])
+    def test_rows_that_share_an_id_or_have_none(self, spark, monkeypatch, shared, group):
+        monkeypatch.setattr(substrings, "SHARED", shared)
+        monkeypatch.setattr(substrings, "GROUP", group)
+        rng = brute.seeded(21)
+        said = lambda n: brute.prose(rng, n, 10**6)
+        passage, whole, own = said(40), said(60), said(60)
+        rows = [
+            (1, f"{said(30)} {passage} {said(30)}"), (None, f"{said(30)} {passage} {said(30)}"), (None, said(100)),
+            (2, f"{said(30)} {passage} {said(30)}"), (2, said(100)), (3, whole), (None, whole),
+            (None, f"{whole[: len(whole) // 2]} {said(50)}"), (None, f"{own} {said(5)}"), (None, f"{own} {said(6)}"),
+            (4, f"{passage}  {said(9)}"), (5, "a b"), (5, None), (None, None), (None, "few words"), (6, f"{whole} {whole}"),
+        ]
+        rows += [rows[1], rows[3], rows[8], rows[8], (7, rows[3][1]), (8, f"{own}\n{own}"), (8, f"{own}\n{own}")]
+        docs = brute.documents(spark, rows)
+        twins = [r[0] for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()]
+        keyed = [((i is None, i or 0, twin), t) for (i, t), twin in zip(rows, twins, strict=True)]
+        want = brute.without_repeats(keyed)
+        got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.without_repeats(docs, digests=True).collect()]
+        order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+        assert sorted(got, key=order) == sorted(((i, *want[key]) for (i, _), (key, _) in zip(rows, keyed, strict=True)), key=order)
+        assert want[keyed[2][0]][1] == want[keyed[4][0]][1] == 0 and want[keyed[1][0]][1] == 40
+
+    def test_unshared_ids_are_keys_alone(self, spark, monkeypatch):
+        """One row without id, all others with their own: no hash of a text is in any written table."""
+        seen = []
+        kept = substrings.written
+        monkeypatch.setattr(substrings, "written", lambda df, label: seen.append(kept(df, label)) or seen[-1])
+        docs = brute.documents(spark, [*self.rows()[-6:], (None, LONG)])
+        assert substrings.without_repeats(docs, digests=True).count() == 7
+        runs = [df for df in seen if "first" in df.columns]
+        assert runs and all(df.where("twin <> 0").isEmpty() for df in runs)
+
+    def test_subtree_follows_words(self):
         said = [b" ".join(b"%d" % (i % 7) for i in range(30)), b" ".join(b"%d" % ((i + 3) % 7) for i in range(25))]
-        n = np.array([11, 6])
+        said.append(b" ".join([*said[0].split()[:17], b"x", b"y", b"z", b"0"]))
+        n = np.array([11, 6, 2])
         words = [t.split() for t in said]
         windows = [tuple(w[j : j + 20]) for w, c in zip(words, n, strict=True) for j in range(c)]
-        nodes = substrings.deep_nodes(said, n).tolist()
-        assert [windows.index(w) for w in windows] == [nodes.index(x) for x in nodes]
+        order, shared = substrings.subtree(said, n)
+        assert sorted(order.tolist()) == list(range(len(windows))) and shared[0] == 0
+        for before, at, length in zip(order, order[1:], shared[1:], strict=False):
+            a, b = windows[before], windows[at]
+            assert length == next((k for k in range(20) if a[k] != b[k]), 20)
+        # Equal windows are neighbours.
+        nodes = np.empty(len(order), int)
+        nodes[order] = np.cumsum(shared < 20)
+        assert [windows.index(w) for w in windows] == [nodes.tolist().index(x) for x in nodes]
 
 
 def test_unsettled_pairs_are_compared_in_blocks():
