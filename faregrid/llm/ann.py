@@ -12,8 +12,12 @@ Centres and the number of lists to probe come from a sample of at most SAMPLE ve
 vector is indexed. The number of probes is the smallest whose recall on the sample reaches
 SAMPLE_RECALL; a sample is sparser than the table, so the table's recall is no lower.
 
+Vectors of floats are kept as floats, others as doubles; lists, rotation and tests use single
+precision in either case, the measure that ranks uses doubles.
+
 Defined results: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part, nor do rows without id. Rows that repeat an id count once, by
+non-finite components take no part, nor do those with components beyond single precision's range,
+nor rows without id. Rows that repeat an id count once, by
 the smallest vector. Equal scores are ranked by id. Other columns take no part. Empty tables give
 empty results; with fewer candidates than k all are returned.
 """
@@ -117,8 +121,11 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     ``asked`` is a condition on the column ``vec_id``.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    given = rows.dtypes[1][1]
+    element, exact = ("float", np.float32) if given == "array<float>" else ("double", np.float64)
+    rows = rows.withColumn("vector", F.col("vector").cast(f"array<{element}>"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")) & F.forall("vector", lambda x: F.abs(x) < float(np.finfo(np.float32).max)))
     rows = folded(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
     sizes = rows.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
     usual = sizes.orderBy(F.desc("n"), "dims").first()
@@ -150,19 +157,19 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
 
     def block(group: pa.Table) -> pa.Table:
         """A block of a list: ids, original vectors, and rotated ones by column blocks."""
-        x = _matrix(group.column("vector").combine_chunks())
-        turned = x @ shared.value.rotation
+        x = _matrix(group.column("vector").combine_chunks(), exact)
+        turned = x.astype(np.float32, copy=False) @ shared.value.rotation
         cut = b"".join(np.ascontiguousarray(turned[:, i : i + COLUMNS]).tobytes() for i in range(0, turned.shape[1], COLUMNS))
         ids = group.column("vec_id").to_numpy().tobytes()
         return pa.table({"list": group.column("list")[:1], "ids": [ids], "originals": [x.tobytes()], "rotated": [cut]})
 
-    in_lists = written(rows.mapInArrow(listed, "list int, vec_id long, vector array<float>"), "lists")
+    in_lists = written(rows.mapInArrow(listed, f"list int, vec_id long, vector array<{element}>"), "lists")
     sizes = in_lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("blocks"))
     # At most MOST_LISTS rows.
     dealt = in_lists.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     blocks = dealt.select("list", "block", "vec_id", "vector").groupBy("list", "block")
     blocks = written(blocks.applyInArrow(block, "list int, ids binary, originals binary, rotated binary"), "blocks")
-    probe_kinds = "list int, probe int, vec_id long, vector array<float>"
+    probe_kinds = f"list int, probe int, vec_id long, vector array<{element}>"
     probes = written(rows.where(asked).mapInArrow(probing(shared.value.probes), probe_kinds), "probes")
 
     def found(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
@@ -172,14 +179,14 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
             vectors = batch.column("vectors").to_pylist()
             for at in range(len(batch)):
                 own = np.frombuffer(ids[at], np.int64)
-                x = np.frombuffer(originals[at], np.float32).reshape(-1, dims)
+                x = np.frombuffer(originals[at], exact).reshape(-1, dims)
                 flat, columns, start = np.frombuffer(rotated[at], np.float32), [], 0
                 for i in range(0, dims, COLUMNS):
                     wide = min(COLUMNS, dims - i)
                     columns.append(flat[start : start + len(own) * wide].reshape(-1, wide))
                     start += len(own) * wide
-                asked_vectors = np.array(vectors[at], np.float32).reshape(-1, dims)
-                turned = asked_vectors @ index.rotation
+                asked_vectors = np.array(vectors[at], exact).reshape(-1, dims)
+                turned = asked_vectors.astype(np.float32, copy=False) @ index.rotation
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for query, bound, q, t in zip(queries[at], bounds[at], asked_vectors, turned, strict=True):
                     # The query itself may be in the block: one more than k.
