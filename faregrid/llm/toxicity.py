@@ -5,12 +5,12 @@ letter groups, and the document's score is their noisy-or: 1 - product of (1 - s
 Only documents are labelled; the gradient of the noisy-or hands the blame to sentences, so
 the trained model also says which ones offend.
 
-The model is fitted on at most SAMPLE labelled rows, picked by hash of the id; scoring reads
-every whole text. A sentence ends at . ! ? or a line break, and after MOST_WORDS words.
+The model is fitted on at most SAMPLE labelled ids, picked by hash, with one text each and SAMPLE_BYTES
+of text in all, none of it above LONGEST bytes; scoring reads every whole text. A sentence ends at . ! ? or a line break, and after MOST_WORDS words.
 
 Defined results: null, empty and blank texts have one empty sentence and its base score. Labels
 that are null, or of ids without text, are left out; a label repeated for an id counts as toxic if
-one says so. Without both classes among the labels every score is the share of toxic labels (0
+one says so, and of rows that repeat an id the text of smallest hash is learned from. Without both classes among the labels every score is the share of toxic labels (0
 without labels). Rows that repeat an id are scored each on its own. Other columns take no part.
 """
 
@@ -21,13 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faregrid.llm.common import with_ids, written
 from faregrid.llm.words import Words, buffers, pieces, words_of
 
 SAMPLE = 12_000
+SAMPLE_BYTES = 64 << 20
+LONGEST = 1 << 20
 HOLD_OUT = 5
 LEAST_TOXIC = 0.5
 BITS = 20
@@ -153,8 +155,11 @@ def _sentence_scores(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray
     return first, row, _logistic(z)
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows that aren't held out; the ``sample`` of smallest hash at most."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Written (by, then, toxic, text) of labelled ids that aren't held out, a row per id.
+
+    The ``sample`` of smallest hash at most, and of these as many as ``sample_bytes`` hold.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -163,8 +168,24 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         # The sample's size varies by its root; a tenth less keeps it under the bound.
         known = known.where(rank < F.lit(int((1 << 30) * 0.9 * sample / total)))
     known = written(known, "labels")
-    texts = with_ids(docs.select("doc_id", "text").where("text is not null"), "doc_id", written(known.select("doc_id"), "ids"), keep=True)
-    rows = texts.join(known, "doc_id").select(F.xxhash64("doc_id").alias("by"), F.xxhash64("text").alias("then"), "toxic", "text").toArrow()
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST)
+    texts = with_ids(short, "doc_id", written(known.select("doc_id"), "ids"), keep=True)
+    # One text an id, combined before the shuffle.
+    text = F.min(F.struct(F.xxhash64("text").alias("then"), "text")).alias("t")
+    rows = texts.groupBy("doc_id").agg(text).join(known, "doc_id")
+    rows = written(rows.select(F.xxhash64("doc_id").alias("by"), "t.then", "toxic", "t.text"), "training")
+    size = F.octet_length("text").cast("long").alias("size")
+    if (rows.agg(F.sum(size)).first()[0] or 0) > sample_bytes:
+        # At most ``sample`` slim rows in the window.
+        running = F.sum("size").over(Window.orderBy("by").rowsBetween(Window.unboundedPreceding, 0))
+        fits = rows.select("by", size).withColumn("total", running).where(F.col("total") <= sample_bytes)
+        rows = rows.join(F.broadcast(fits.select("by")), "by")
+    return rows
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on labelled rows that aren't held out (:func:`training_rows`)."""
+    rows = training_rows(docs, labels, sample).select("by", "then", "toxic", "text").toArrow()
     # A fixed order, so that sums and with them the model do not depend on the tasks' order.
     order = rows.select(["by", "then"]).to_pandas().sort_values(["by", "then"]).index.to_numpy()
     labels = (rows.column("toxic").to_numpy()[order] > 0).astype(np.int64)
@@ -173,25 +194,43 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(ordered, labels)
 
 
-def _scores(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Row range and score of each row, piece by piece."""
+def _scores(texts: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, Words, tuple]]:
+    """Row range, score of each row, words and their sentences, piece by piece."""
     blank = _logistic(model.base)
     for row, to, words in _scan(texts):
-        _, of, p = _sentence_scores(words, model)
-        yield row, to, np.where(words.counts() > 0, _noisy_or(p, of, to - row), blank)
+        found = _sentence_scores(words, model)
+        score = np.where(words.counts() > 0, _noisy_or(found[2], found[1], to - row), blank)
+        yield row, to, score, words, found
+
+
+def _offences(words: Words, raw: np.ndarray, found: tuple, score: np.ndarray) -> tuple[np.ndarray, list[str | None]]:
+    """Sentences that offend by themselves, and the worst sentence of each row found toxic, the first of equals."""
+    first, of, p = found
+    count = np.bincount(of, p >= LEAST_TOXIC, len(score)).astype(np.int64)
+    last = np.append(first[1:], len(words.start)) - 1
+    order = np.lexsort((-np.arange(len(p)), p, of))
+    ends = np.flatnonzero(np.append(of[order][1:] != of[order][:-1], True)) if len(of) else np.empty(0, np.int64)
+    texts: list[str | None] = [None] * len(score)
+    for i in order[ends]:
+        if score[of[i]] >= LEAST_TOXIC:
+            texts[of[i]] = raw[words.start[first[i]] : words.end[last[i]]].tobytes().decode()
+    return count, texts
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row of ``docs`` (doc_id, text)."""
+    """doc_id, score, n_offending and worst_sentence of each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, to, score in _scores(batch.column(1), shared.value):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array(score)], ["doc_id", "score"])
+            data, at = buffers(batch.column(1))
+            for row, to, score, words, found in _scores(batch.column(1), shared.value):
+                count, texts = _offences(words, data[at[row] : at[to]], found, score)
+                columns = [batch.column(0).slice(row, to - row), pa.array(score), pa.array(count), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_offending", "worst_sentence"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_offending long, worst_sentence string")
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -217,7 +256,11 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, and what makes it toxic.
+
+    ``n_offending`` counts sentences that reach LEAST_TOXIC by themselves; ``worst_sentence`` is the
+    one of highest score in rows predicted toxic, null in the others and where a text has no words.
+    """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = scored(slim, trained(slim, labels))
     return out.select(
@@ -225,6 +268,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= LEAST_TOXIC).cast("int").alias("predicted"),
+        "n_offending",
+        "worst_sentence",
     )
 
 
@@ -239,7 +284,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, to, score in _scores(batch.column(place), shared.value):
+            for row, to, score, *_ in _scores(batch.column(place), shared.value):
                 yield batch.slice(row, to - row).filter(pa.array(score < LEAST_TOXIC))
 
     return docs.mapInArrow(run, docs.schema)
