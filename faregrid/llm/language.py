@@ -101,29 +101,38 @@ def _scan(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield row, to, words_of(data[at[row] : at[to]], at[row : to + 1] - at[row], lower=True, letters=True)
 
 
+def sampled_texts(known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text, copies) of at most ``sample`` distinct pairs of ``known`` (lang, text), picked by hash."""
+    by = F.xxhash64("lang", "text")
+    total = known.select(by).distinct().count()
+    if total > sample:
+        # The sample's size varies by its root; a tenth less keeps it under the bound.
+        known = known.where(F.pmod(by, F.lit(1 << 30)) < F.lit(int((1 << 30) * 0.9 * sample / total)))
+    return known.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def text_model(documents: DataFrame, sample: int = SAMPLE, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Languages and log probability of each bucket under each, from at most ``sample`` documents."""
+    """Languages and log probability of each bucket under each, from at most ``sample`` distinct texts.
+
+    A text counts as often as it occurs.
+    """
     known = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    total = known.count()
-    if total > sample:
-        part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-        known = known.where(part < F.lit(int((1 << 30) * 0.9 * sample / total)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            langs, copies = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(2).to_numpy()
             for row, to, words in _scan(batch.column(1)):
                 ids, of = buckets(words)
-                own = langs[row:to][of]
+                own, times = langs[row:to][of], copies[row:to][of]
                 for lang in set(langs[row:to]):
                     counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                    counts[lang] += np.bincount(ids[own == lang], minlength=1 << BITS)
+                    counts[lang] += np.bincount(ids[own == lang], times[own == lang], 1 << BITS).astype(np.int64)
         for lang, n in counts.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    rows = known.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = sampled_texts(known, sample).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = rows.toPandas()  # 2**BITS rows a language at most
     langs = sorted(table["lang"].unique())
     counts = np.full((len(langs), 1 << BITS), SMOOTH)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faregrid.llm import ann, language, licenses, toxicity
@@ -61,6 +62,34 @@ class TestToxicity:
         clean = toxicity.toxicity(docs, known).where("predicted = 0").count()
         assert left.count() == clean
 
+    def test_sample_is_bounded_in_rows_and_bytes(self, spark):
+        """An id in thousands of rows, with other texts or the same one, is one training row."""
+        rows, labels = self.rows()
+        hot = next(i for i in range(600) if not brute_held_out(i))
+        rows += [(hot, f"other {i % 7}") for i in range(3000)] + [(5000, "long " * 300_000)]
+        labels += [(i, 1, 0) for i in range(5000, 5002)]
+        docs = brute.documents(spark, rows).select("doc_id", "text")
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        whole = toxicity.training_rows(docs, known)
+        learned = [i for i, *_ in labels if not brute_held_out(i) and i < 5000]
+        assert whole.count() == whole.select("by").distinct().count() == len(learned)
+        few = toxicity.training_rows(docs, known, sample=100)
+        assert 0 < few.count() <= 100
+        size = F.sum(F.octet_length("text")).alias("n")
+        all_bytes = whole.agg(size).first()["n"]
+        part = toxicity.training_rows(docs, known, sample_bytes=all_bytes // 3)
+        assert 0.3 * all_bytes < part.agg(size).first()["n"] <= all_bytes // 3
+
+    def test_worst_sentence(self, spark):
+        rows, labels = self.rows()
+        extra = [(1000, "Plain w1. You vile one! A vile day. Nice w2."), (1001, None), (1002, "plain w1"), (None, "\u00e9t\u00e9 vile w3\nw4")]
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        got = {r["doc_id"]: r for r in toxicity.toxicity(brute.documents(spark, rows + extra), known).collect()}
+        assert got[1000]["n_offending"] == 2 and got[1000]["worst_sentence"] in ("You vile one", "A vile day")
+        assert (got[None]["n_offending"], got[None]["worst_sentence"]) == (1, "\u00e9t\u00e9 vile w3")
+        assert all((got[i]["n_offending"], got[i]["worst_sentence"]) == (0, None) for i in (1001, 1002))
+        assert all((r["worst_sentence"] is not None) == (r["predicted"] == 1) for r in got.values())
+
     def test_labels_of_held_out_rows_are_not_learned(self, spark):
         rows, labels = self.rows()
         docs = brute.documents(spark, rows).select("doc_id", "text")
@@ -116,6 +145,22 @@ class TestNearest:
             got.setdefault(r["query_id"], []).append((round(r["score"], 12), r["vec_id"]))
         assert got == {q: [(round(s, 12), i) for s, i in w] for q, w in self.brute(good).items()}
 
+    def test_doubles_are_measured_as_doubles(self, spark):
+        """Vectors that single precision can't tell apart are ranked by their distances."""
+        rng = np.random.default_rng(8)
+        base = rng.standard_normal(24)
+        good = {i: (base + 1e-9 * rng.standard_normal(24)).tolist() for i in range(120)}
+        good |= {i: rng.standard_normal(24).tolist() for i in range(120, 160)}
+        odd = [(500, [float("nan")] * 24), (600, [0.0] * 24), (700, [float("-inf")] * 24), (801, [1e300] * 24)]
+        vectors = spark.createDataFrame([*good.items(), *odd], "vec_id long, embedding array<double>")
+        got: dict = {}
+        for r in ann.nearest(vectors, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        want = self.brute(good)
+        assert [[i for _, i in got[q]] for q in (0, 100)] == [[i for _, i in want[q]] for q in (0, 100)]
+        assert all(abs(s - e) < 1e-15 and s > 0 for q in got for (s, _), (e, _) in zip(got[q], want[q], strict=True))
+        assert set(got) == {0, 100}
+
     def test_queries_with_few_vectors_in_their_lists(self, spark, monkeypatch):
         monkeypatch.setattr(ann.Index, "_calibrated", lambda self, sample, k: 1)
         rng = np.random.default_rng(3)
@@ -255,6 +300,21 @@ class TestLanguage:
         assert (got["lang"] == got["url"].str.extract(r"://[^/]+/([a-z]+)/")[0]).mean() > 0.97
         assert len(got) == pages.count() and got["posterior"].between(0, 1.0000001).all()
 
+    def test_sample_counts_copies_without_reading_them(self, spark):
+        """A text in thousands of rows is one of the sample's texts, weighed by its copies."""
+        rows = [(brute.prose(brute.seeded(i), 30), "en" if i % 2 else "de") for i in range(300)]
+        rows += [("the same text again", "en")] * 3000 + [("the same text again", "de"), ("", "de"), (None, "en"), ("x", None)]
+        docs = spark.createDataFrame(rows, "text string, lang string")
+        langs, logs = language.text_model(docs)
+        counts = np.full((2, 1 << language.BITS), float(language.SMOOTH))
+        for text, lang in rows[:-2]:
+            ids, _ = language.buckets(next(language._scan(pa.array([text])))[2])
+            np.add.at(counts[langs.index(lang)], ids, 1)
+        assert langs == ["de", "en"] and np.allclose(logs, np.log(counts / counts.sum(axis=1, keepdims=True)))
+        known = docs.where("lang is not null and text is not null")
+        assert language.sampled_texts(known).agg(F.sum("copies")).first()[0] == len(rows) - 2
+        assert 0 < language.sampled_texts(known, 100).count() <= 100
+
     def test_evidence_takes_over_where_text_says_nothing(self, spark):
         docs = read(spark, "documents")
         by_lang = {r["lang"]: r["text"] for r in docs.where("n_chars > 600").orderBy("doc_id").collect()}
