@@ -7,7 +7,8 @@ line from one random offset, and a document comes out once for each integer its
 Lining up by size keeps the words taken within about one document of the target.
 
 Defined results: null text has size 0, null source is a source of its own and comes last, null ids
-rank last. Rows that repeat an id take part each on its own. A source without words gets target 0
+rank last. Rows that repeat an id take part each on its own, alike ones in the order of their texts'
+hashes where the mix itself is asked for. A source without words gets target 0
 and no copies. Empty tables give empty results.
 """
 
@@ -15,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import folded, n_words, unused, written
+from faregrid.llm.common import BROADCAST_IDS, folded, n_words, unused, written
 from faregrid.llm.ranks import with_ranks
 
 WEIGHTS = (1, 2, 3)
@@ -55,21 +56,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     return folded(sources.select("source", "source_size", "weight", target.alias("target")), "targets")
 
 
-def mixture(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[int] = WEIGHTS,
-    most: int = MOST,
-    seed: str = SEED,
-) -> DataFrame:
-    """doc_id, source, size, source_size, weight, target, copies, taken for each row of ``docs``."""
-    sized = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes"
-    )
+def _drawn(sized: DataFrame, weights: Sequence[int], most: int, seed: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Add source_size, weight, target and copies to written rows (doc_id, source, size, ...)."""
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    order = [F.col("size"), F.col("doc_id").asc_nulls_last()]
+    order = [F.col("size"), F.col("doc_id").asc_nulls_last(), *map(F.col, ties)]
     lined = with_ranks(sized, ["source"], order)
     # One row per source on the right; a hot source can be split.
     joined = lined.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
@@ -78,34 +68,52 @@ def mixture(
     start = offset.cast("double") / F.lit(float(16**_OFFSET_DIGITS))
     crossed = F.floor(start + rate * F.col("rank")) - F.floor(start + rate * (F.col("rank") - 1))
     return joined.select(
-        "doc_id",
-        F.col("d.source").alias("source"),
-        "size",
+        *[F.col(f"d.{c}").alias(c) for c in sized.columns],
         "source_size",
         "weight",
         "target",
         F.least(crossed, F.lit(most)).cast("long").alias("copies"),
-    ).withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it has copies, columns as they were."""
-    drawn = mixture(docs, id_col, text_col, source_col, **how)
-    drawn = drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    size, turn, copy = (unused(docs, x) for x in ("size", "turn", "copy"))
-    keys = [id_col, source_col, size]
-    # Rows alike in id, source and size share their copies evenly; the join needs the same shuffle.
-    lined = docs.withColumn(size, n_words(docs[text_col]))
-    lined = lined.withColumn(turn, F.row_number().over(Window.partitionBy(*keys).orderBy(text_col)))
-    right = {c: unused(docs, f"drawn_{c}") for c in ("doc_id", "source", "size", "copies", "rows")}
-    drawn = drawn.where("copies > 0").select(*[F.col(c).alias(name) for c, name in right.items()])
-    same = (
-        lined[id_col].eqNullSafe(drawn[right["doc_id"]])
-        & lined[source_col].eqNullSafe(drawn[right["source"]])
-        & (lined[size] == drawn[right["size"]])
     )
-    copies, rows = F.col(right["copies"]), F.col(right["rows"])
-    own = F.floor(copies / rows) + (F.col(turn) <= F.pmod(copies, rows)).cast("long")
-    many = F.array_repeat(F.lit(0), own.cast("int"))
+
+
+def mixture(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    most: int = MOST,
+    seed: str = SEED,
+) -> DataFrame:
+    """doc_id, source, size, source_size, weight, target, copies, taken for each row of ``docs``."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    drawn = _drawn(written(sized, "sizes"), weights, most, seed)
+    return drawn.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+    most: int = MOST,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it has copies, columns as they were.
+
+    Rows are written with a number of their own. The draw works on slim rows; numbers and
+    copies then go to the rows, by broadcast up to BROADCAST_IDS and by a shuffle on the number beyond it.
+    """
+    number, size, tie = (unused(docs, x) for x in ("number", "size", "tie"))
+    own = {number: F.monotonically_increasing_id(), size: n_words(docs[text_col]), tie: F.xxhash64(docs[text_col])}
+    numbered = written(docs.withColumns(own), "numbered")
+    names = {"doc_id": id_col, "source": source_col, "size": size, "tie": tie, "number": number}
+    slim = numbered.select(*[numbered[c].alias(name) for name, c in names.items()])
+    drawn = _drawn(slim, weights, most, seed, ["tie", "number"]).where("copies > 0")
+    copies = unused(docs, "copies")
+    drawn = folded(drawn.select(F.col("number").alias(number), F.col("copies").cast("int").alias(copies)), "drawn")
+    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn.hint("merge")
+    copy = unused(docs, "copy")
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return lined.join(drawn, same).select(*kept, F.explode(many).alias(copy)).drop(copy)
+    return numbered.join(drawn, number).select(*kept, F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy)).drop(copy)

@@ -64,6 +64,23 @@ class TestMixing:
             want[(r["doc_id"], r["source"])] += r["copies"]
         assert Counter((r["doc_id"], r["source"]) for r in out.collect()) == +want
 
+    @pytest.mark.parametrize("broadcast", [1 << 20, 0])
+    def test_many_rows_alike(self, spark, monkeypatch, broadcast):
+        """Rows without id, of one source and size, are drawn each on its own, in any order of arrival."""
+        monkeypatch.setattr(mixing, "BROADCAST_IDS", broadcast)
+        rows = [(None, f"w{i} x", "s0") for i in range(700)] + [(7, "same text", "s1")] * 300 + [(i, "a b c", "s2") for i in range(100)]
+        docs = brute.documents(spark, rows)
+        size, target = self.targets(rows)
+        out = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mixed(docs).collect())
+        for s in size:
+            assert abs(sum(n * len(brute.words(t)) for (_, t, x), n in out.items() if x == s) - target[s]) <= 3
+        given, drawn = Counter(rows), {"s0": [], "s1": [], "s2": []}
+        for row, n in given.items():
+            drawn[row[2]].append(out[row] / n)
+        rate = {s: target[s] / size[s] for s in size}
+        assert all(int(rate[s]) <= x <= int(rate[s]) + 1 for s, xs in drawn.items() for x in xs)
+        assert out == Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mixed(docs.repartition(5)).collect())
+
     def test_empty(self, spark):
         docs = brute.documents(spark, self.ROWS).where("doc_id < 0")
         assert mixing.mixture(docs).count() == 0 and mixing.mixed(docs).count() == 0
