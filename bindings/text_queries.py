@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bindings import base_sql as b
 from bindings import tables as t
-from bindings.answer_queries import REPORT_SQL
+from bindings.answer_queries import ALERTS_SQL, REPORT_SQL
 from bindings.registry import query
 from bindings.series_queries import LABEL, LIBRARY_ROWS
 from faregrid.functions.text import ACTION_WORDS, DEFAULT_LINES
@@ -20,6 +20,7 @@ from faregrid.operators.forecast import predictions_table
 from faregrid.plans import revenue
 from faregrid.plans.thresholds import attach
 from faregrid.storage import fresh_path, staged
+from faregrid.streaming import alerts
 from faregrid.streaming import features as growing
 from faregrid.streaming import series as streaming
 
@@ -214,6 +215,28 @@ def x2(spark, sf):
     return spark.read.parquet(f"{path}/out/batch=*/kind=report")
 
 
+@query("n13_alerts_on_arrivals", ALERTS_SQL)
+def n13_arrivals(spark, sf):
+    """Cells arrive in three files, the first time with wrong revenue; later predictions are known from the second batch on."""
+    rows = t.predictions(spark, sf)
+    path = fresh_path(spark, "alerts")
+    actual = rows.select("cluster_id", "time_bin", "revenue_total")
+    edge = (actual.approxQuantile("time_bin", [0.5], 0.01) or [0.0])[0]
+    wrong = actual.withColumn("revenue_total", F.col("revenue_total") * 3).where(F.col("cluster_id") % 2 == 0)
+    for part in (wrong, actual.where(F.col("time_bin") > edge), actual.where(F.col("time_bin") <= edge)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    intervals = metrics.add_uncertainty_flag(metrics.prediction_intervals(rows, "revenue_pred", ["cluster_id"], 0.9))
+    known = staged(attach(rows, intervals.select("cluster_id", "relative_width"), ["cluster_id"]), "known")
+
+    def current(batch_id):
+        return known if batch_id else known.where(F.col("time_bin") <= edge)
+
+    arriving = spark.readStream.schema(actual.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    alerts.start_alerts(arriving, current, f"{path}/out", f"{path}/state", P).awaitTermination()
+    found = alerts.current_alerts(spark, f"{path}/out")
+    return found.select("cluster_id", "time_bin", F.array_join("reasons", ",").alias("reasons"))
+
+
 # Published settings, with the penalties' size per row; the validation slice ends the training.
 DEMAND, REVENUE = boosted.DEMAND, boosted.REVENUE
 _SPLIT = f"""{b.FEATURES}, placed AS (

@@ -246,8 +246,8 @@ def deviation(df: DataFrame, actual: str, expected: str) -> DataFrame:
     return df.withColumn("deviation_pct", pct_change(F.col(actual), F.col(expected)))
 
 
-def threshold_alerts(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Rows off forecast, with a negative margin or with a wide interval.
+def alert_reasons(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Add ``reasons``: off forecast, with a negative margin, with a wide interval; empty where all is well.
 
     The interval test applies where ``relative_width`` is a column.
     """
@@ -255,5 +255,9 @@ def threshold_alerts(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     tests = [(off > p.revenue_variance, "revenue_variance"), (F.col("margin_pred") < 0, "negative_margin")]
     if "relative_width" in df.columns:
         tests.append((F.col("relative_width") > p.interval_width, "wide_interval"))
-    reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in tests]))
-    return df.withColumn("reasons", reasons).where(F.size("reasons") > 0)
+    return df.withColumn("reasons", F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in tests])))
+
+
+def threshold_alerts(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Rows with any reason for an alert (:func:`alert_reasons`)."""
+    return alert_reasons(df, p).where(F.size("reasons") > 0)

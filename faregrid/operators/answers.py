@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faregrid.functions.economics import per_unit
@@ -212,17 +212,8 @@ RANKINGS = {
 SLOT = ("asked_hour", "asked_weekday", "asked_day_part")
 
 
-def slice_totals(df: DataFrame) -> DataFrame:
-    """Demand, revenue and rows per zone of every slice a question can name.
-
-    Rows are aggregated per (zone, hour, weekday) first. Each of these cells is in six slices: its
-    hour, its part of the day or any time, each on its weekday or on any day.
-    """
-    cells = df.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id", "hour", "day_of_week").agg(
-        F.coalesce(F.sum("demand_pred"), F.lit(0.0)).alias("demand"),
-        F.coalesce(F.sum("revenue_pred"), F.lit(0.0)).alias("revenue"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
+def slices_of_row() -> Column:
+    """The six slices that hold a row: its hour, its part of the day or any time, each on its weekday or on any day."""
     part = F.lit(None).cast("string")
     for name, hours in DAY_PART_HOURS.items():
         part = F.when(F.col("hour").isin(list(hours)), F.lit(name)).otherwise(part)
@@ -232,7 +223,25 @@ def slice_totals(df: DataFrame) -> DataFrame:
         for hour, of_day in ((F.col("hour"), nothing), (nobody, part), (nobody, nothing))
         for day in (F.col("day_of_week"), nobody)
     ]
-    spread = cells.select("cluster_id", "demand", "revenue", "n_rows", F.inline(F.array(*slots)))
+    return F.array(*slots)
+
+
+def slot_key(*more: str) -> Column:
+    """Key of text of a slice, whose null slots mean any: with it, slices meet by an equi-join."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("any")) for c in (*SLOT, *more)])
+
+
+def slice_totals(df: DataFrame) -> DataFrame:
+    """Demand, revenue and rows per zone of every slice a question can name.
+
+    Rows are aggregated per (zone, hour, weekday) first; each of these cells is in six slices.
+    """
+    cells = df.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id", "hour", "day_of_week").agg(
+        F.coalesce(F.sum("demand_pred"), F.lit(0.0)).alias("demand"),
+        F.coalesce(F.sum("revenue_pred"), F.lit(0.0)).alias("revenue"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+    spread = cells.select("cluster_id", "demand", "revenue", "n_rows", F.inline(slices_of_row()))
     return spread.groupBy(*SLOT, "cluster_id").agg(F.sum("demand").alias("demand"), F.sum("revenue").alias("revenue"), F.sum("n_rows").alias("n_rows"))
 
 
@@ -253,8 +262,7 @@ def answered_questions(tagged: DataFrame, df: DataFrame, k: int = 5) -> DataFram
     for more in ranked[1:]:
         answers = answers.unionByName(more)
     asked = tagged.where(F.col("intent").isin(list(RANKINGS)))
-    # Null slots mean any; a key of text lets them meet by an equi-join.
-    slot = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("any")) for c in (*SLOT, "intent")])
+    slot = slot_key("intent")
     rows = asked.withColumn("_slot", slot).join(answers.withColumn("_slot", slot).drop(*SLOT, "intent"), "_slot", "left")
     whole = coverage(df).select(F.col("n_rows").alias("_all"), F.col("zones").alias("_zones"))
     found = F.col("rank").isNotNull()
