@@ -8,8 +8,9 @@ probably beyond the k-th best so far is abandoned. A first scan of the nearest l
 bound for the others. What remains is measured exactly on the original vectors. Queries that then
 have fewer than k rows measure whole lists, twice as many each time, until they have k.
 
-Centres and the number of lists to probe come from a sample of at most SAMPLE vectors; every
-vector is indexed. The number of probes is the smallest whose recall on the sample reaches
+There are as many lists as the root of the rows, up to MOST_LISTS. Centres and the number of lists to
+probe come from a sample of at most SAMPLE vectors, or PER_LIST a list where that is more (so at most
+PER_LIST * MOST_LISTS); beyond FLAT_LISTS lists, centres are trained in two levels. Every vector is indexed. The number of probes is the smallest whose recall on the sample reaches
 SAMPLE_RECALL; a sample is sparser than the table, so the table's recall is no lower.
 
 Vectors of floats are kept as floats, others as doubles; lists, rotation and tests use single
@@ -34,7 +35,10 @@ from pyspark.sql import functions as F
 from faregrid.llm.common import folded, written
 
 SAMPLE = 8192
-MOST_LISTS = 1024
+PER_LIST = 16
+MOST_LISTS = 8192
+FLAT_LISTS = 1024
+DISTANCES = 1 << 22  # between vectors and centres, held at once
 SAMPLE_RECALL = 0.97
 BLOCK_ROWS = 2048
 QUERY_ROWS = 128
@@ -49,6 +53,14 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def wanted_lists(rows: int) -> int:
+    return max(1, min(MOST_LISTS, int(rows**0.5)))
+
+
+def sample_size(rows: int) -> int:
+    return max(SAMPLE, PER_LIST * wanted_lists(rows))
+
+
 class Index:
     """Centres, rotation and the number of probes."""
 
@@ -58,20 +70,36 @@ class Index:
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0].astype(np.float32)
         # Equal vectors count once, or equal centres would split them at random.
         pool = np.unique(sample, axis=0)
-        lists = max(1, min(MOST_LISTS, int(rows**0.5), len(pool) // 16))
+        lists = max(1, min(wanted_lists(rows), len(pool) // PER_LIST))
+        centres = self._trained(pool, lists, rng) if lists <= FLAT_LISTS else self._two_levels(pool, lists, rng)
+        self.centres = centres
+        self.probes = self._calibrated(sample, k)
+
+    @classmethod
+    def _trained(cls, pool: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
         centres = pool[rng.permutation(len(pool))[:lists]]
         for _ in range(10):
-            own = self._nearest(pool, centres, 1)[:, 0]
+            own = cls._nearest(pool, centres, 1)[:, 0]
             sums, count = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
             np.add.at(sums, own, pool)
             centres = sums[count > 0] / count[count > 0, None]
-        self.centres = centres
-        self.probes = self._calibrated(sample, k)
+        return centres
+
+    @classmethod
+    def _two_levels(cls, pool: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+        """The root of the lists as coarse centres; each one's vectors get their share of the lists."""
+        own = cls._nearest(pool, cls._trained(pool, int(lists**0.5), rng), 1)[:, 0]
+        cells = [pool[own == c] for c in np.unique(own)]
+        return np.concatenate([cls._trained(cell, max(1, round(lists * len(cell) / len(pool))), rng) for cell in cells])
 
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-        far = (centres**2).sum(axis=1) - 2 * x @ centres.T
-        return np.argsort(far, axis=1, kind="stable")[:, :n] if n > 1 else far.argmin(axis=1)[:, None]
+        square, out = (centres**2).sum(axis=1), np.empty((len(x), min(n, len(centres))), np.int64)
+        rows = max(1, DISTANCES // len(centres))
+        for at in range(0, len(x), rows):
+            far = square - 2 * x[at : at + rows] @ centres.T
+            out[at : at + rows] = np.argsort(far, axis=1, kind="stable")[:, :n] if n > 1 else far.argmin(axis=1)[:, None]
+        return out
 
     def lists(self, x: np.ndarray, n: int = 1) -> np.ndarray:
         return self._nearest(x, self.centres, n)
@@ -133,7 +161,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     if usual is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("vector") == usual["dims"])
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 0.9 * SAMPLE / usual["n"])))
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 0.9 * sample_size(usual["n"]) / usual["n"])))
     sample = rows.where(share).orderBy("vec_id").select("vector").toArrow().column(0).combine_chunks()
     if not len(sample):
         sample = rows.orderBy("vec_id").limit(1).select("vector").toArrow().column(0).combine_chunks()

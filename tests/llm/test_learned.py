@@ -120,7 +120,9 @@ class TestNearest:
                 out[q] = far[:k]
         return out
 
-    def test_recall(self, spark):
+    @pytest.mark.parametrize("flat", [ann.FLAT_LISTS, 8])
+    def test_recall(self, spark, monkeypatch, flat):
+        monkeypatch.setattr(ann, "FLAT_LISTS", flat)  # 8: centres trained in two levels
         vectors = read(spark, "embeddings", LARGER)
         rows = {r["vec_id"]: np.array(r["embedding"], np.float32) for r in vectors.collect()}
         got: dict = {}
@@ -133,6 +135,28 @@ class TestNearest:
             exact = {i: float(np.sqrt(((rows[q].astype(float) - rows[i].astype(float)) ** 2).sum())) for _, i in found}
             assert all(abs(exact[i] - s) < 1e-12 for s, i in found)
 
+    def test_lists_grow_with_the_root_of_the_rows(self):
+        assert [ann.wanted_lists(n) for n in (1, 10_000, 4_000_000, 10**12)] == [1, 100, 2000, ann.MOST_LISTS]
+        assert [ann.sample_size(n) for n in (1, 10_000, 4_000_000, 10**12)] == [8192, 8192, 32_000, ann.PER_LIST * ann.MOST_LISTS]
+        rng = np.random.default_rng(6)
+        middles = rng.standard_normal((3000, 16)).astype(np.float32)
+        vectors = (middles[rng.integers(0, 3000, 32_000)] + 0.2 * rng.standard_normal((32_000, 16))).astype(np.float32)
+        index = ann.Index(vectors, 4_000_000, 10)
+        assert 0.85 * 2000 <= len(index.centres) <= 1.05 * 2000
+        sizes = np.bincount(index.lists(vectors)[:, 0], minlength=len(index.centres))
+        assert sizes.max() <= 10 * sizes.mean()
+        # What a query scans is a small share of the rows.
+        assert index.probes / len(index.centres) <= 0.1
+
+    def test_nearest_centres_by_pieces(self, monkeypatch):
+        rng = np.random.default_rng(7)
+        x, centres = rng.standard_normal((100, 5)).astype(np.float32), rng.standard_normal((9, 5)).astype(np.float32)
+        whole = [ann.Index._nearest(x, centres, n) for n in (1, 4, 20)]
+        monkeypatch.setattr(ann, "DISTANCES", 30)
+        for n, want in zip((1, 4, 20), whole, strict=True):
+            assert np.array_equal(ann.Index._nearest(x, centres, n), want) and want.shape == (100, min(n, 9))
+        assert ann.Index._nearest(x[:0], centres, 4).shape == (0, 4)
+
     def test_odd_vectors_ties_and_repeats(self, spark):
         rng = np.random.default_rng(1)
         good = {i: rng.standard_normal(20).astype(np.float32).tolist() for i in (0, 1, 2, 3)}
