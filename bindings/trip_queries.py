@@ -280,8 +280,15 @@ def z1_busiest(spark, sf):
     SELECT 40 AS centres, 0 AS misplaced, count(*) AS trips, sum(pickup_latitude) AS latitudes,
       sum(pickup_longitude) AS longitudes FROM library_clean""", "latitudes longitudes")
 def z2(spark, sf):
+    return _fit_summary(*_fitted(spark, sf, zones.fit_centres))
+
+
+def _fitted(spark, sf, fit):
     cleaned = staged(clean.clean_library(t.trips(spark, sf), P).select("pickup_latitude", "pickup_longitude"), "points")
-    centres = zones.fit_centres(cleaned, P)
+    return cleaned, fit(cleaned, P)
+
+
+def _fit_summary(cleaned, centres):
     lat, lon = F.col("pickup_latitude"), F.col("pickup_longitude")
     assigned = zones.attach_centres(zones.assign_nearest_centre(cleaned, centres), centres)
     own = (lat - F.col("cluster_lat")) ** 2 + (lon - F.col("cluster_lon")) ** 2
@@ -298,6 +305,17 @@ def z2(spark, sf):
     )
 
 
+@query("z2_centres_in_batches", f"""WITH {b.LIBRARY_CLEAN} -- result
+    SELECT 40 AS centres, 0 AS misplaced, count(*) AS trips, sum(pickup_latitude) AS latitudes,
+      sum(pickup_longitude) AS longitudes, true AS near_full_fit FROM library_clean""", "latitudes longitudes")
+def z2_batches(spark, sf):
+    """As above from mini-batches, whose squared distances exceed the full fit's by 2 % at most."""
+    cleaned, centres = _fitted(spark, sf, zones.fit_centres_in_batches)
+    full = zones.squared_distances(cleaned, zones.fit_centres(cleaned, P)).first()["inertia"]
+    own = zones.squared_distances(cleaned, centres).first()["inertia"]
+    return _fit_summary(cleaned, centres).withColumn("near_full_fit", F.lit(own <= 1.02 * full))
+
+
 @query("z3_nearest_centre", f"WITH {b.NEAREST} -- result\nSELECT trip_id, pickup_cluster FROM nearest")
 def z3(spark, sf):
     cleaned = clean.clean_library(t.trips(spark, sf), P)

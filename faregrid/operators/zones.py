@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faregrid.params import DEFAULTS, Params
+from faregrid.storage import staged
 
 # Coordinates of zones without an entry of their own.
 DEFAULT_LATITUDE = 40.7
@@ -62,6 +63,91 @@ def fit_centres(df: DataFrame, p: Params = DEFAULTS) -> list[tuple[int, float, f
     return [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.stages[-1].clusterCenters())]
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+
+
+def _spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Seeds drawn far apart: each with odds of its squared distance to those before; fewer if points run out."""
+    seeds = [x[rng.integers(len(x))]]
+    far = ((x - seeds[0]) ** 2).sum(axis=1)
+    while len(seeds) < k and far.max() > 0:
+        seeds.append(x[rng.choice(len(x), p=far / far.sum())])
+        far = np.minimum(far, ((x - seeds[-1]) ** 2).sum(axis=1))
+    return np.array(seeds)
+
+
+def _stepped(x: np.ndarray, centres: np.ndarray, batch: int) -> np.ndarray:
+    """Centres after one pass over ``x`` in batches; each is the mean of all points it has been given so far."""
+    given = np.zeros(len(centres))
+    for at in range(0, len(x), batch):
+        part = x[at : at + batch]
+        own = _nearest(part, centres)
+        count, sums = np.bincount(own, minlength=len(centres)), np.zeros_like(centres)
+        np.add.at(sums, own, part)
+        given += count
+        moved = count > 0
+        centres = centres.copy()
+        centres[moved] += (sums[moved] - count[moved, None] * centres[moved]) / given[moved, None]
+    return centres
+
+
+def _settled(x: np.ndarray, centres: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Centres as the means of their points, until none moves, and the squared distances that are left."""
+    for _ in range(rounds):
+        own = _nearest(x, centres)
+        count, sums = np.bincount(own, minlength=len(centres)), np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        before, centres = centres, np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+        if np.allclose(before, centres, rtol=0, atol=1e-9):
+            break
+    return centres, float(((x - centres[_nearest(x, centres)]) ** 2).sum())
+
+
+def fit_centres_in_batches(
+    df: DataFrame, p: Params = DEFAULTS, batch: int = 1024, steps: int = 64, starts: int = 10, passes: int = 2
+) -> list[tuple[int, float, float]]:
+    """Mini-batch K-means centres of the pickup points, as (id, latitude, longitude).
+
+    Steps run on a sample of about ``batch * steps`` points, 1 MB whatever the table's size, from several starts.
+    There they settle, and the start with the least squared distances goes on. Every point then takes part in
+    ``passes`` rounds of means by grouped aggregation, which bring k rows to the driver each: so the table is read
+    twice more than ``passes``, to count and to draw. Fewer distinct points than centres give that
+    many centres, no points none. Points without a coordinate are left out.
+    """
+    lat, lon = "pickup_latitude", "pickup_longitude"
+    usable = [F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in (lat, lon)]
+    points = staged(df.select(F.col(lat).cast("double"), F.col(lon).cast("double")).where(usable[0] & usable[1]), "points")
+    rows = points.count()
+    if not rows:
+        return []
+    drawn = points.where(F.rand(p.seed) < min(1.0, batch * steps / rows)).toArrow()
+    if not len(drawn):
+        drawn = points.limit(1).toArrow()
+    rng = np.random.default_rng(p.seed)
+    x = rng.permutation(np.stack([drawn.column(c).to_numpy() for c in (lat, lon)], axis=1))
+    middle = x.mean(axis=0)
+    x -= middle  # distances lose no digits
+    found = []
+    for _ in range(starts):
+        seeds = _spread_seeds(rng.permutation(x)[: 8 * batch], p.n_clusters, rng)
+        found.append(_settled(x, _stepped(x, seeds, batch)))
+    best = min(found, key=lambda f: f[1])[0] + middle
+    named = [(i, float(a), float(b)) for i, (a, b) in enumerate(best)]
+    for _ in range(passes):
+        means = assign_nearest_centre(points, named).groupBy("pickup_cluster").agg(F.avg(lat), F.avg(lon))
+        moved = {r[0]: (r[1], r[2]) for r in means.collect()}
+        named = [(i, *moved.get(i, (a, b))) for i, a, b in named]
+    return named
+
+
+def squared_distances(df: DataFrame, centres: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """One row: ``inertia``, the sum of squared distances of all points to their nearest centre."""
+    near = attach_centres(assign_nearest_centre(df, centres), centres)
+    off = (F.col("pickup_latitude") - F.col("cluster_lat")) ** 2 + (F.col("pickup_longitude") - F.col("cluster_lon")) ** 2
+    return near.agg(F.coalesce(F.sum(off), F.lit(0.0)).alias("inertia"))
+
+
 def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, float]]) -> DataFrame:
     """Add ``pickup_cluster``, the id of the nearest centre (lower id on a tie).
 

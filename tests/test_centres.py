@@ -62,3 +62,37 @@ def test_cost_hardly_grows_with_the_centres(spark):
     few, many = min(seconds(40) for _ in range(2)), min(seconds(1000) for _ in range(2))
     print(few, many)
     assert many < 3 * few + 2
+
+
+class TestBatches:
+    POINTS = "pickup_latitude double, pickup_longitude double"
+
+    def test_near_the_full_fit(self, spark):
+        import numpy as np
+        from dataclasses import replace
+
+        from faregrid.params import DEFAULTS
+
+        rng = np.random.default_rng(5)
+        middles = rng.uniform(-1, 1, (25, 2))
+        at = middles[rng.integers(0, 25, 40_000)] + 0.02 * rng.standard_normal((40_000, 2))
+        points = spark.createDataFrame([tuple(map(float, x)) for x in at], self.POINTS).repartition(6)
+        p = replace(DEFAULTS, n_clusters=25)
+        steps = zones.fit_centres_in_batches(points, p, batch=256, steps=20)  # an eighth of the points
+        assert [i for i, _, _ in steps] == list(range(25))
+        inertia = [zones.squared_distances(points, c).first()["inertia"] for c in (steps, zones.fit_centres(points, p))]
+        assert inertia[0] <= 1.02 * inertia[1]
+
+    def test_odd_points(self, spark):
+        frame = lambda rows: spark.createDataFrame(rows, self.POINTS)
+        assert zones.fit_centres_in_batches(frame([])) == []
+        assert zones.fit_centres_in_batches(frame([(None, 1.0), (float("nan"), 1.0)])) == []
+        few = frame([(1.0, 2.0)] * 5 + [(3.0, 4.0), (None, 3.0)])
+        assert sorted(c[1:] for c in zones.fit_centres_in_batches(few)) == [(1.0, 2.0), (3.0, 4.0)]
+
+    def test_steps_are_running_means(self):
+        import numpy as np
+
+        x = np.array([[0.0, 0.0], [2.0, 0.0], [10.0, 0.0], [4.0, 0.0], [12.0, 0.0]])
+        centres = zones._stepped(x, np.array([[1.0, 0.0], [11.0, 0.0], [99.0, 9.0]]), 2)
+        assert np.allclose(centres, [[2.0, 0.0], [11.0, 0.0], [99.0, 9.0]])
