@@ -292,7 +292,7 @@ def _fit_summary(cleaned, centres):
     lat, lon = F.col("pickup_latitude"), F.col("pickup_longitude")
     assigned = zones.attach_centres(zones.assign_nearest_centre(cleaned, centres), centres)
     own = (lat - F.col("cluster_lat")) ** 2 + (lon - F.col("cluster_lon")) ** 2
-    least = F.least(*[(lat - a) * (lat - a) + (lon - c) * (lon - c) for _, a, c in centres])
+    least = zones.least_squared(centres)
     means = assigned.withColumn("off", (own > least + 1e-12).cast("int")).groupBy("pickup_cluster").agg(
         F.count(F.lit(1)).alias("n"), F.sum("off").alias("off"), F.avg(lat).alias("lat"), F.avg(lon).alias("lon")
     )

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faregrid.params import DEFAULTS, Params
@@ -29,8 +29,10 @@ ZONE_AREAS = (
     (178, 236, 40.700, 30, 0.006, -73.800, 22, 0.005),
     (237, 263, 40.580, 12, 0.007, -74.140, 8, 0.006),
 )
-# Centres compared in generated code; it grows with them.
-UNROLLED_CENTRES = 40
+# Centres compared in generated code; it grows with them, and a method of more than 8,000 bytes is never compiled.
+UNROLLED_CENTRES = 12
+# Up to so many centres, a point at no finite distance from any goes to the lowest id; with more, to none.
+FAR_TO_LOWEST = 40
 
 
 def assign_zone(df: DataFrame, column: str = "PULocationID") -> DataFrame:
@@ -151,7 +153,7 @@ def squared_distances(df: DataFrame, centres: Sequence[tuple[int, float, float]]
 def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, float]]) -> DataFrame:
     """Add ``pickup_cluster``, the id of the nearest centre (lower id on a tie).
 
-    The centres are a small parameter, written into the expression: no join. Some tens of them are
+    The centres are a small parameter, written into the expression: no join. Some ten of them are
     compared in generated code. More are looked up in a grid (:func:`centre_grid`), where a point meets only
     the few centres that can be nearest in its cell; points outside the grid are compared with all.
     """
@@ -167,24 +169,22 @@ def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, flo
         nearest = F.array_min(F.array(*scored))["id"]
     else:
         table = sorted((int(i), float(a), float(b)) for i, a, b in centres)
-        none = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("int").alias("id"))
+        far = table[0][0] if len(table) <= FAR_TO_LOWEST else None
+        none = F.struct(F.lit(float("inf")).alias("d"), F.lit(far).cast("int").alias("id"))
 
         def closer(best, c):
             d = squared(c["a"], c["b"])
             return F.when(d < best["d"], F.struct(d.alias("d"), c["id"].alias("id"))).otherwise(best)
 
-        def constant(value, kind: str):
-            return F.from_json(F.lit(json.dumps(value)), kind)
-
         def listed(numbers: list[int]) -> list[dict]:
             return [{"id": table[n][0], "a": table[n][1], "b": table[n][2]} for n in numbers]
 
-        every = constant(listed(range(len(table))), f"array<{_CENTRE}>")
+        every = _constant(listed(range(len(table))), f"array<{_CENTRE}>")
         (south, west), (north, east), side, cells = centre_grid([c[1:] for c in table])
         row = F.floor((lat - south) / ((north - south) / side)).try_cast("int")
         column = F.floor((lon - west) / ((east - west) / side)).try_cast("int")
         inside = row.between(0, side - 1) & column.between(0, side - 1)
-        near = F.get(constant([listed(c) for c in cells], f"array<array<{_CENTRE}>>"), row * side + column)
+        near = F.get(_constant([listed(c) for c in cells], f"array<array<{_CENTRE}>>"), row * side + column)
         nearest = F.when(F.coalesce(inside, F.lit(False)), F.aggregate(near, none, closer)["id"]).otherwise(F.aggregate(every, none, closer)["id"])
     return df.withColumn("pickup_cluster", F.when(lat.isNotNull() & lon.isNotNull(), nearest))
 
@@ -192,6 +192,17 @@ def assign_nearest_centre(df: DataFrame, centres: Sequence[tuple[int, float, flo
 _CENTRE = "struct<id:int,a:double,b:double>"
 
 
+def _constant(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def least_squared(centres: Sequence[tuple[int, float, float]]) -> Column:
+    """Squared distance of a row's pickup point to the nearest of all centres, in a loop whose code doesn't grow with them."""
+    lat, lon = F.col("pickup_latitude"), F.col("pickup_longitude")
+    every = _constant([{"id": int(i), "a": float(a), "b": float(b)} for i, a, b in centres], f"array<{_CENTRE}>")
+    return F.array_min(F.transform(every, lambda c: (lat - c["a"]) * (lat - c["a"]) + (lon - c["b"]) * (lon - c["b"])))
+
+
 def centre_grid(points: Sequence[tuple[float, float]]) -> tuple[tuple[float, float], tuple[float, float], int, list[list[int]]]:
     """(lower corner, upper corner, cells a side, numbers of the points that can be nearest per cell, row by row).
 

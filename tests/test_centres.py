@@ -96,3 +96,26 @@ class TestBatches:
         x = np.array([[0.0, 0.0], [2.0, 0.0], [10.0, 0.0], [4.0, 0.0], [12.0, 0.0]])
         centres = zones._stepped(x, np.array([[1.0, 0.0], [11.0, 0.0], [99.0, 9.0]]), 2)
         assert np.allclose(centres, [[2.0, 0.0], [11.0, 0.0], [99.0, 9.0]])
+
+
+def test_code_of_forty_centres_is_compiled(spark):
+    """HotSpot leaves methods of more than 8,000 bytes to the interpreter."""
+    import re
+
+    centres = [(i, 40.5 + i % 7 * 0.05, -74.2 + i // 7 * 0.07) for i in range(40)]
+    points = spark.range(10).select((F.lit(40.56) + F.rand(1)).alias("pickup_latitude"), (F.lit(-74.0) + F.rand(2)).alias("pickup_longitude"))
+    df = zones.assign_nearest_centre(points, centres).withColumn("least", zones.least_squared(centres))
+    said = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_forty_centres_place_odd_points_as_generated_code_does(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    centres = [(50 - i, 40.5 + i % 7 * 0.05, -74.2 + i // 7 * 0.07) for i in range(40)]
+    rows = [(nan, 1.0), (inf, -74.0), (None, 1.0), (1e300, 2.0), (40.7, None), (0.0, 0.0), (40.7, -inf), (40.525, -74.165), (40.55, -74.2)]
+    df = spark.createDataFrame(rows, "pickup_latitude double, pickup_longitude double").coalesce(1)
+    got = [r.pickup_cluster for r in zones.assign_nearest_centre(df, centres).collect()]
+    monkeypatch.setattr(zones, "UNROLLED_CENTRES", 40)
+    assert got == [r.pickup_cluster for r in zones.assign_nearest_centre(df, centres).collect()]
+    assert got[0] == 11 and got[2] is None
