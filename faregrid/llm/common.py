@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,22 @@ def folded(df: DataFrame, label: str) -> DataFrame:
     return written(df.coalesce(FOLD * df.sparkSession.sparkContext.defaultParallelism), label)
 
 
+# Rows that go to Python at once where each has a text: Spark's 10,000 are tens of MB beside the heap and as many in the worker.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile hands no more than TEXT_ROWS rows to Python at once."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(TEXT_ROWS if int(before) <= 0 else min(TEXT_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     return staged(df, f"llm-{label}")

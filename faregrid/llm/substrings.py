@@ -26,18 +26,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import BROADCAST_IDS, folded, written
+from faregrid.llm.common import BROADCAST_IDS, folded, text_batches, written
 from faregrid.llm.words import Words, scan
 
 WINDOW = 20
 PREFIX = 4
-GROUP = 20_000  # anchored stretches a task holds at once, about 4 MB
-SHARED = GROUP  # a prefix that alone exceeds a group is lengthened to the whole window
+GROUP = 5_000  # anchored stretches of a group of prefixes, about 1 MB
+SHARED = 20_000  # a prefix of more than a task holds at once, some 4 MB, is lengthened to the whole window
 LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 28) - 1)
 _KEY = ["doc", "twin"]  # id and, where rows share an id, the hash of the text
@@ -113,15 +113,26 @@ def _leaves(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def subtree(said: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(said: list[bytes] | pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Number of each word of stretches whose words are joined by one space; equal words have equal numbers.
+
+    A few bytes a word, where a Python object takes ten times that.
+    """
+    chunks = said.chunks if isinstance(said, pa.ChunkedArray) else [pa.array(said, pa.binary())]
+    words = pa.chunked_array([pc.split_pattern(c, pattern=b" ").flatten() for c in chunks], pa.binary())
+    parts = words.dictionary_encode().unify_dictionaries().chunks
+    return np.concatenate([np.empty(0, np.int32), *(c.indices.to_numpy(zero_copy_only=False) for c in parts)])
+
+
+def subtree(said: list[bytes] | pa.Array | pa.ChunkedArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes that start windows, sorted, and how many words (to WINDOW) each shares with the one before.
 
     Windows are numbered in order of stretches. Ranks of suffixes by their first words double in
     depth; two suffixes share what the depths at which their ranks agree, tried from the largest, add up to.
     """
-    words = np.array(b" ".join(said).split(), dtype=object)
-    ranks = {1: pd.factorize(words)[0].astype(np.int64)}
-    ranked = lambda x, y: np.unique(x[: len(y)] * (y.max() + 1) + y, return_inverse=True)[1]
+    ranks = {1: _numbered(said)}
+    # Four bytes a word are enough: a group has far fewer than 2**31.
+    ranked = lambda x, y: np.unique(x[: len(y)].astype(np.int64) * (int(y.max()) + 1) + y, return_inverse=True)[1].astype(np.int32)
     depth = 1
     while 2 * depth <= WINDOW:
         ranks[2 * depth] = ranked(ranks[depth], ranks[depth][depth:])
@@ -146,7 +157,7 @@ def subtree(said: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _subtrees(group: pa.Table) -> pa.Table:
     """Ranges (doc, twin, start, n) of windows that aren't the earliest below their deep node."""
     n, doc, twin, first = (group.column(c).to_numpy() for c in ("n", *_KEY, "first"))
-    order, shared = subtree(group.column("words").to_pylist(), n)
+    order, shared = subtree(group.column("words"), n)
     of, place = _leaves(n)
     start = first[of] + place
     node = np.empty(len(order), np.int64)
@@ -240,6 +251,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``kept`` is the words that stay, joined by one space, or their SHA-256 with ``digests``.
     """
+    with text_batches(docs.sparkSession):
+        return _without_repeats(docs, id_col, text_col, digests)
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
     own, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(own.alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
     profiles = written(texts.mapInArrow(_profiles, "doc long, twin long, n_words long, digest string"), "profiles")

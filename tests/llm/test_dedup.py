@@ -226,6 +226,36 @@ class TestSubstrings:
         nodes[order] = np.cumsum(shared < 20)
         assert [windows.index(w) for w in windows] == [nodes.tolist().index(x) for x in nodes]
 
+    def test_subtree_numbers_words_in_few_bytes(self):
+        """No Python object per word; chunks of a column number equal words alike."""
+        import tracemalloc
+
+        import pyarrow as pa
+
+        said = [b" ".join(b"word%06d" % (i * k % 9973) for i in range(36)) for k in range(1, 4001)]
+        n = np.full(len(said), 17)
+        column = pa.chunked_array([said[:1500], said[1500:]], pa.binary())
+        order, shared = substrings.subtree(column, n)
+        tracemalloc.start()
+        plain = substrings.subtree(said, n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 * 36 * len(said)
+        assert np.array_equal(order, plain[0]) and np.array_equal(shared, plain[1])
+
+    def test_groups_hold_fewer_stretches_than_a_prefix_may(self):
+        """Large prefixes that meet in a group don't add up to several times what a task holds."""
+        assert substrings.GROUP * 4 <= substrings.SHARED
+
+    def test_few_texts_go_to_python_at_once(self, spark, monkeypatch):
+        sizes = []
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        kept, before = substrings.written, spark.conf.get(key)
+        monkeypatch.setattr(substrings, "written", lambda df, label: sizes.append(int(spark.conf.get(key))) or kept(df, label))
+        docs = brute.documents(spark, self.rows()[-6:])
+        assert substrings.without_repeats(docs, digests=True).count() == 6
+        assert sizes and max(sizes) <= 1000 and spark.conf.get(key) == before
+
 
 def test_unsettled_pairs_are_compared_in_blocks():
     import numpy as np
