@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import folded, written
+from faregrid.llm.common import folded, text_batches, written
 from faregrid.llm.packing import Encoder, tokenizer_path
 
 RANGE = 1 << 18  # bytes of a range
@@ -528,7 +528,8 @@ def aligned(
     paths = (byte_path or tokenizer_path(), model_path or piece_path())
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     wide = F.coalesce(F.octet_length("text") > size, F.lit(False))
-    blocks = written(slim.where(~wide).mapInArrow(_documents(paths), _BLOCK_TYPE), "align-blocks")
+    with text_batches(docs.sparkSession):
+        blocks = written(slim.where(~wide).mapInArrow(_documents(paths), _BLOCK_TYPE), "align-blocks")
     found = long_documents(slim.where(wide), paths, size)
     if found:
         pieces, digests = found

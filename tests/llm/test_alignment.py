@@ -160,3 +160,12 @@ def test_composition_is_associative(a_sizes, b_sizes, seed):
     assert said_of(closed) == said_of(whole) and closed.groups == whole.groups
     assert sorted(np.concatenate([[], *closed.pairs])) == sorted(np.concatenate([[], *whole.pairs]))
     assert not any(len(x) for x in (*parts[0].prefix, *parts[0].suffix))
+
+
+def test_few_texts_go_to_python_at_once(spark, monkeypatch):
+    sizes = {}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept, before = al.written, spark.conf.get(key)
+    monkeypatch.setattr(al, "written", lambda df, label: sizes.update({label: int(spark.conf.get(key))}) or kept(df, label))
+    assert al.aligned(brute.documents(spark, [(1, "a text"), (2, None)])).count() == 2
+    assert sizes["align-blocks"] <= 1000 and spark.conf.get(key) == before
