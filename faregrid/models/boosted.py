@@ -2,11 +2,15 @@
 
 Second-order boosting over binned features. Feature rows are binned once and written as
 blocks; a pass over the blocks gives the gradient histogram of one tree level, summed by
-node, feature and bin, and the driver picks the splits from that table, whose size the
+node, feature and bin, and the splits are picked from that table, whose size the
 settings fix. Leaf values carry L1 and L2 penalties, children need a minimum weight, and each split learns
 where missing values go. Gradients are summed as whole numbers, so trees don't depend on
-the order of rows or tasks. Margins are written anew every few trees: a pass replays only the trees
-since, and a lost executor costs its part of one pass.
+the order of rows or tasks.
+
+A training may take thousands of such passes. On tables of few rows the start of a job takes longer than a
+pass, so there a task holds the blocks and grows many trees a job. Larger tables take a job a level over all tasks, and
+the driver picks the splits. Both give the same trees. Margins are written anew every few trees: a pass replays only
+the trees since, and a lost executor costs its part of one pass, or one job of trees.
 
 A missing feature (null or NaN) is a bin of its own. Rows without a label are not trained on. Equal
 labels give a model without trees that predicts them; no rows to train on, one that predicts zero.
@@ -15,7 +19,7 @@ labels give a model without trees that predicts them; no rows to train on, one t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -45,6 +49,10 @@ BLOCK_ROWS = 1 << 16
 FEW_TASKS = 16
 # Trees after which margins are written.
 REWRITE = 16
+# Up to so many rows (30 bytes each) are held by a task that grows so many trees a job; there, a pass takes it less time
+# than the start of a job.
+HELD_ROWS = 1 << 20
+TREES_A_JOB = 64
 
 
 @dataclass(frozen=True)
@@ -222,34 +230,45 @@ def drawn(first: int, n: int, seed: int, tree: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) < share * 2.0**53
 
 
-def _histogram(n_features: int, columns: Sequence[int], bins: int, since: Sequence[Tree], grown: Tree, level: int, number: int, p: BoostParams, scale: float):
-    """(cell, gradient, weight) of one level of the tree that grows, added up per task; the cell -1 holds the
-    validation error. Cells count nodes of the level, then features, then bins."""
-    nodes, width = 2**level, bins + 1
+_Part = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gradient, weight = (np.zeros(nodes * len(columns) * width) for _ in range(2))
-        error, n_held = 0.0, 0
+
+def _level_sums(parts: Iterable[_Part], columns: Sequence[int], width: int, grown: Tree, level: int, number: int, p: BoostParams, scale: float) -> np.ndarray:
+    """Rows of cells, gradients and weights of one level of the tree that grows, over blocks with their margins; the cell -1
+    holds the validation error. Cells count nodes of the level, then features, then bins."""
+    nodes = 2**level
+    gradient, weight = (np.zeros((nodes, len(columns), width)) for _ in range(2))
+    error, n_held = 0.0, 0
+    for first, matrix, label, held, margin in parts:
+        if level == 0:
+            error += float(((margin[held] - label[held]) ** 2).sum())
+            n_held += int(held.sum())
+        use = np.flatnonzero(~held & drawn(first, len(label), p.seed, number, p.subsample))
+        at = grown.of_bins(matrix[use]) - (nodes - 1)
+        inside = at >= 0
+        use, at = use[inside], at[inside]
+        # Whole numbers: sums are exact in any order.
+        g = np.rint((margin[use] - label[use]) * scale)
+        for i, column in enumerate(columns):
+            cell = at * width + matrix[use, column]
+            gradient[:, i] += np.bincount(cell, g, nodes * width).reshape(nodes, width)
+            weight[:, i] += np.bincount(cell, minlength=nodes * width).reshape(nodes, width)
+    found = np.flatnonzero(weight)
+    return np.stack([np.append(found, -1.0), np.append(gradient.flat[found], error), np.append(weight.flat[found], n_held)])
+
+
+def _histogram(n_features: int, columns: Sequence[int], width: int, since: Sequence[Tree], grown: Tree, level: int, number: int, p: BoostParams, scale: float):
+    """(cell, gradient, weight) of one level of the tree that grows, added up per task."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
         for batch in batches:
             for row in range(len(batch)):
                 first, matrix, label, held, margin = _unpacked(batch, row, n_features)
-                margin = _replayed(margin, matrix, since)
-                if level == 0:
-                    error += float(((margin[held] - label[held]) ** 2).sum())
-                    n_held += int(held.sum())
-                use = np.flatnonzero(~held & drawn(first, len(label), p.seed, number, p.subsample))
-                at = grown.of_bins(matrix[use]) - (nodes - 1)
-                inside = at >= 0
-                use, at = use[inside], at[inside]
-                # Whole numbers: sums are exact in any order.
-                g = np.rint((margin[use] - label[use]) * scale)
-                for i, column in enumerate(columns):
-                    cell = (at * len(columns) + i) * width + matrix[use, column]
-                    gradient += np.bincount(cell, g, len(gradient))
-                    weight += np.bincount(cell, minlength=len(weight))
-        found = np.flatnonzero(weight)
-        cells, sums, weights = np.append(found, -1), np.append(gradient[found], error), np.append(weight[found], n_held)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums), pa.array(weights)], ["cell", "gradient", "weight"])
+                yield first, matrix, label, held, _replayed(margin, matrix, since)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, gradient, weight = _level_sums(parts(batches), columns, width, grown, level, number, p, scale)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(gradient), pa.array(weight)], ["cell", "gradient", "weight"])
 
     return run
 
@@ -288,24 +307,22 @@ def best_split(gradient: np.ndarray, weight: np.ndarray, p: BoostParams) -> tupl
     return float(stacked[feature, cut, side]), int(feature), int(cut) + 1, side == 0, left, right
 
 
-def _grow(blocks: DataFrame, edges: Sequence[np.ndarray], since: list[Tree], number: int, p: BoostParams, scale: float, few: bool) -> tuple[Tree, float | None]:
-    """The next tree, and the validation error before it."""
+def _grow(edges: Sequence[np.ndarray], number: int, p: BoostParams, scale: float, sums_of: Callable) -> tuple[Tree, float | None]:
+    """The next tree, and the validation error before it; ``sums_of`` gives a level's cells, gradients and weights
+    from its columns, bins, the tree so far and the level."""
     rng = np.random.default_rng([p.seed, number])
     kept = max(1, int(p.column_share * len(edges)))
     columns = sorted(rng.permutation(len(edges))[:kept].tolist())
     width = max(len(e) for e in edges) + 2
     tree, error = Tree.empty(p.depth), None
     for level in range(p.depth):
-        run = _histogram(len(edges), columns, width - 1, since, tree, level, number, p, scale)
-        found = blocks.mapInArrow(run, "cell long, gradient double, weight double")
-        if not few:
-            found = found.groupBy("cell").agg(F.sum("gradient").alias("gradient"), F.sum("weight").alias("weight"))
-        cell, g, w = (c.to_numpy() for c in found.toArrow().columns)
+        cell, g, w = sums_of(columns, width, tree, level)
         if level == 0 and (n_held := w[cell == -1].sum()):
             error = float(g[cell == -1].sum() / n_held)
         # The last place takes the error's cell.
         cells = 2**level * len(columns) * width
-        sums = [np.bincount(np.where(cell < 0, cells, cell), x, cells + 1)[:-1] for x in (g / scale, w)]
+        place = np.where(cell < 0, cells, cell).astype(np.int64)
+        sums = [np.bincount(place, x, cells + 1)[:-1] for x in (g / scale, w)]
         gradient, weight = (x.reshape(2**level, len(columns), width) for x in sums)
         if level == 0:
             tree.value[0] = leaf_value(gradient[0, 0].sum(), weight[0, 0].sum(), p)
@@ -329,6 +346,152 @@ def _grow(blocks: DataFrame, edges: Sequence[np.ndarray], since: list[Tree], num
     return tree, error
 
 
+def _by_jobs(blocks: DataFrame, n_features: int, since: Sequence[Tree], number: int, p: BoostParams, scale: float, few: bool) -> Callable:
+    """A level's sums by a job of its own."""
+
+    def sums_of(columns: Sequence[int], width: int, tree: Tree, level: int) -> list[np.ndarray]:
+        run = _histogram(n_features, columns, width, since, tree, level, number, p, scale)
+        found = blocks.mapInArrow(run, "cell long, gradient double, weight double")
+        if not few:
+            found = found.groupBy("cell").agg(F.sum("gradient").alias("gradient"), F.sum("weight").alias("weight"))
+        return [c.to_numpy() for c in found.toArrow().columns]
+
+    return sums_of
+
+
+@dataclass
+class _Progress:
+    """How far a training is: trees kept so far, the lowest validation error and the trees it was reached with."""
+
+    n: int = 0
+    best: float = np.inf
+    best_at: int = 0
+    ended: bool = False
+
+    def keeps(self, tree: Tree, error: float | None, p: BoostParams) -> bool:
+        """Whether the training goes on with ``tree``; ``error`` is the one before it."""
+        if error is not None:
+            if error < self.best:
+                self.best, self.best_at = error, self.n
+            elif self.n - self.best_at >= p.patience:
+                self.ended = True
+                return False
+        if tree.feature[0] < 0 and tree.value[0] == 0:  # the penalties leave nothing to learn
+            self.ended = True
+            return False
+        self.n += 1
+        self.ended = self.n >= p.trees
+        return True
+
+
+_NODE = np.dtype([("feature", "i8"), ("bin", "i8"), ("threshold", "f8"), ("missing_left", "?"), ("value", "f8"), ("gain", "f8")])
+
+
+def _tree_bytes(tree: Tree) -> bytes:
+    nodes = np.empty(len(tree.feature), _NODE)
+    for name in _NODE.names:
+        nodes[name] = getattr(tree, name)
+    return nodes.tobytes()
+
+
+def _tree_of(found: bytes) -> Tree:
+    nodes = np.frombuffer(found, _NODE)
+    return Tree(*(nodes[name].copy() for name in _NODE.names))
+
+
+class _HeldRows:
+    """Blocks a task holds while it grows trees. A level counts only the smaller child of each node; the other one is what is
+    left of the node. Sums are whole numbers, so both are exact."""
+
+    def __init__(self, parts: Sequence[_Part], n_features: int):
+        self.firsts = [first for first, *_ in parts]
+        self.ends = np.cumsum([0, *(len(label) for _, _, label, _, _ in parts)]).tolist()
+        # One feature after the other.
+        self.bins = np.concatenate([np.empty((0, n_features), np.uint8), *(matrix for _, matrix, *_ in parts)]).T.copy()
+        self.label, self.held, self.margin = (np.concatenate([np.empty(0, kind), *(part[i] for part in parts)]) for i, kind in ((2, float), (3, bool), (4, float)))
+
+    def _stretches(self) -> Iterator[tuple[int, slice]]:
+        return ((first, slice(*ends)) for first, ends in zip(self.firsts, zip(self.ends, self.ends[1:])))
+
+    def sums_of(self, number: int, p: BoostParams, scale: float) -> Callable:
+        def sums_of(columns: Sequence[int], width: int, tree: Tree, level: int) -> np.ndarray:
+            nodes, error, n_held = 2**level, 0.0, 0
+            if level == 0:
+                for _, at in self._stretches():
+                    error += float(((self.margin[at][self.held[at]] - self.label[at][self.held[at]]) ** 2).sum())
+                n_held = int(self.held.sum())
+                draws = [drawn(first, at.stop - at.start, p.seed, number, p.subsample) for first, at in self._stretches()]
+                self.rows = np.flatnonzero(~self.held & np.concatenate([np.empty(0, bool), *draws]))
+                self.g = np.rint((self.margin[self.rows] - self.label[self.rows]) * scale)
+                self.node = np.zeros(len(self.rows), np.int64)
+                counted, smaller = slice(None), None
+            else:
+                inner = tree.feature[self.node] >= 0
+                self.rows, self.g, node = self.rows[inner], self.g[inner], self.node[inner]
+                b = self.bins[tree.feature[node], self.rows]
+                self.node = 2 * node + np.where(np.where(b == 0, tree.missing_left[node], b <= tree.bin[node]), 1, 2)
+                sizes = np.bincount(self.node - (nodes - 1), minlength=nodes).reshape(-1, 2)
+                smaller = (sizes[:, :1] <= sizes[:, 1:]) == [[True, False]]
+                counted = np.flatnonzero(smaller.ravel()[self.node - (nodes - 1)])
+            node, rows, g = (self.node - (nodes - 1))[counted] * width, self.rows[counted], self.g[counted]
+            gradient, weight = (np.zeros((nodes, len(columns), width)) for _ in range(2))
+            for i, column in enumerate(columns):
+                cell = node + self.bins[column][rows]
+                gradient[:, i] = np.bincount(cell, g, nodes * width).reshape(nodes, width)
+                weight[:, i] = np.bincount(cell, minlength=nodes * width).reshape(nodes, width)
+            if level:
+                split = np.repeat(tree.feature[nodes // 2 - 1 : nodes - 1] >= 0, 2)
+                for now, before in zip((gradient, weight), self.before):
+                    left_over = np.repeat(before, 2, axis=0) - now.reshape(-1, 2, *now.shape[1:])[:, ::-1].reshape(now.shape)
+                    other = split & ~smaller.ravel()
+                    now[other] = left_over[other]
+            self.before = gradient, weight
+            found = np.flatnonzero(weight)
+            return np.stack([np.append(found, -1.0), np.append(gradient.flat[found], error), np.append(weight.flat[found], n_held)])
+
+        return sums_of
+
+    def add(self, tree: Tree) -> None:
+        self.margin = _replayed(self.margin, self.bins.T, [tree])
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        for first, at in self._stretches():
+            yield _block([first, self.bins[:, at].T, self.label[at], self.held[at], self.margin[at]])
+
+
+def _many_trees(edges: Sequence[np.ndarray], progress: _Progress, p: BoostParams, scale: float):
+    """Blocks with their margins after the next trees, then a row a tree with the error before it; the last tree is one
+    that is not kept if the training ends by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _HeldRows([_unpacked(batch, row, len(edges)) for batch in batches for row in range(len(batch))], len(edges))
+        now, grown = replace(progress), []
+        while not now.ended and len(grown) < TREES_A_JOB:
+            tree, error = _grow(edges, now.n, p, scale, rows.sums_of(now.n, p, scale))
+            grown.append((now.n, tree, error))
+            if now.keeps(tree, error, p):
+                rows.add(tree)
+        for block in rows.blocks():
+            yield _with_tree(block)
+        for number, tree, error in grown:
+            yield _with_tree(_block([None] * 5), number, _tree_bytes(tree), error)
+
+    return run
+
+
+def _with_tree(block: pa.RecordBatch, number: int | None = None, tree: bytes | None = None, error: float | None = None) -> pa.RecordBatch:
+    columns = [pa.array([number], pa.int64()), pa.array([tree], pa.binary()), pa.array([error], pa.float64())]
+    return pa.RecordBatch.from_arrays([*block.columns, *columns], [*_NAMES, "number", "tree", "error"])
+
+
+def _grown_at_once(blocks: DataFrame, edges: Sequence[np.ndarray], progress: _Progress, p: BoostParams, scale: float) -> tuple[DataFrame, list[tuple[Tree, float | None]]]:
+    """Blocks with margins after the next trees, and those trees with the errors before them, by one task."""
+    schema = f"{_BLOCK}, number long, tree binary, error double"
+    written = staged(blocks.coalesce(1).mapInArrow(_many_trees(edges, progress, p, scale), schema), "boost-blocks")
+    found = written.where("tree is not null").select("number", "tree", "error").collect()  # TREES_A_JOB at most
+    return written.where("tree is null").select(_NAMES), [(_tree_of(r.tree), r.error) for r in sorted(found, key=lambda r: r.number)]
+
+
 def _with_margins(since: Sequence[Tree], n_features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,26 +529,26 @@ def fit_regressor(
     edges = bin_edges(mine, [f"f{i}" for i in range(len(features))], p.bins)
     # Sums of all gradients stay whole numbers below 2**52.
     scale = 2.0 ** np.floor(52 - np.log2(n * 4 * (high - low)))
-    tasks = -(-rows.count() // BLOCK_ROWS)
+    n_rows = rows.count()
+    tasks, at_once = -(-n_rows // BLOCK_ROWS), n_rows <= HELD_ROWS
     blocks = staged(rows.coalesce(tasks).mapInArrow(_blocks(edges, model.base), _BLOCK), "boost-blocks")
-    best, best_at, since = np.inf, 0, []
-    for number in range(p.trees):
-        tree, error = _grow(blocks, edges, since, number, p, scale, tasks <= FEW_TASKS)
-        if error is not None:
-            if error < best:
-                best, best_at = error, len(model.trees)
-            elif len(model.trees) - best_at >= p.patience:
-                break
-        if tree.feature[0] < 0 and tree.value[0] == 0:  # the penalties leave nothing to learn
-            break
-        model.trees.append(tree)
-        since.append(tree)
+    progress, since = _Progress(ended=p.trees < 1), []
+    while not progress.ended:
+        if at_once:
+            blocks, grown = _grown_at_once(blocks, edges, progress, p, scale)
+        else:
+            sums_of = _by_jobs(blocks, len(edges), since, progress.n, p, scale, tasks <= FEW_TASKS)
+            grown = [_grow(edges, progress.n, p, scale, sums_of)]
+        kept = [tree for tree, error in grown if progress.keeps(tree, error, p)]
+        model.trees += kept
+        if not at_once:
+            since += kept
         if len(since) == REWRITE:
             blocks = staged(blocks.coalesce(tasks).mapInArrow(_with_margins(since, len(features)), _BLOCK), "boost-blocks")
             since = []
-    if validation_column and best < np.inf:
+    if validation_column and progress.best < np.inf:
         error = _error_after(blocks, since, len(features))
-        model.trees = model.trees if error is not None and error < best else model.trees[:best_at]
+        model.trees = model.trees if error is not None and error < progress.best else model.trees[: progress.best_at]
     return model
 
 

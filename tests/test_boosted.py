@@ -142,3 +142,27 @@ def test_penalties_per_row():
     half = boosted.for_rows(boosted.DEMAND, boosted.PUBLISHED_ROWS // 2)
     assert (round(half.l1), round(half.l2)) == (100, 100) and half.depth == boosted.DEMAND.depth
     assert boosted.for_rows(boosted.REVENUE, 10**9) == boosted.REVENUE
+
+
+def test_many_trees_take_few_jobs(spark):
+    df = frame(spark, made())
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    model = boosted.fit_regressor(df, ["a", "b", "c"], "y", "pred", replace(PLAIN, trees=40, gamma=0.0, l1=0.0))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.trees) == 40 and 0 < len(jobs) < 40
+
+
+@pytest.mark.parametrize("validation", [None, "held"])
+def test_trees_of_one_task_equal_those_of_a_job_a_level(spark, monkeypatch, validation):
+    df = frame(spark, made(900)).coalesce(1).sortWithinPartitions("y")
+    p = BoostParams(trees=11, depth=4, learning_rate=0.5, l1=0.0, l2=0.0, min_child_weight=1, patience=3, bins=20)
+    monkeypatch.setattr(boosted, "TREES_A_JOB", 4)
+    held = boosted.fit_regressor(df, ["a", "b", "c"], "y", "pred", p, validation)
+    for name, value in (("HELD_ROWS", 0), ("REWRITE", 2), ("FEW_TASKS", 0)):
+        monkeypatch.setattr(boosted, name, value)
+    by_jobs = boosted.fit_regressor(df, ["a", "b", "c"], "y", "pred", p, validation)
+    assert held.trees and held.base == by_jobs.base
+    for one, other in zip(held.trees, by_jobs.trees, strict=True):
+        for name in ("feature", "bin", "threshold", "missing_left", "value", "gain"):
+            assert (getattr(one, name) == getattr(other, name)).all()
