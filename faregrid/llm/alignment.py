@@ -11,7 +11,8 @@ may be cut at different places, as each side has its own safe ones.
 
 Texts of up to RANGE bytes are one range. There both sides are cut at words, and each distinct word of
 a block of documents is aligned once. A block lists its distinct id pairs, sends their counts, and gets the corpus-wide counts of its own pairs back: a product of a sparse matrix by
-a vector without a broadcast of pairs or a row per link.
+a vector without a broadcast of pairs or a row per link. What else a block has is one compressed value,
+which Spark moves as it is; only Python unpacks it, one block at a time, when the counts of its pairs arrive.
 
 Each position where a token of either side ends closes one link (the two tokens that cover the bytes
 before it), so a document has as many links as its sides have tokens, less the shared ends.
@@ -36,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faregrid.llm.common import folded, text_batches, written
+from faregrid.llm.common import folded, row_groups, text_batches, written
 from faregrid.llm.packing import Encoder, tokenizer_path
 
 RANGE = 1 << 18  # bytes of a range
 BLOCK = 2 << 20  # bytes of text whose documents share a list of pairs
 BLOCK_DOCS = 4096
+GROUP = 8  # blocks of a row group
 FAN = 16  # fragments composed at once
 TOGETHER = 1 << 15  # characters of distinct words that are encoded at once
 _SHIFT = 32
@@ -308,22 +310,32 @@ def _block_row(number, docs, keys, sums, digests, at, words, lengths, flat, used
     """One block: units with their words, words with their pairs, and the pairs with their counts."""
     pairs, place = np.unique(flat, return_inverse=True)
     counts = np.bincount(place, weights=used, minlength=len(pairs)).astype(np.int64)  # exact: far below 2**53
-    lists = [
-        (docs, pa.int64()), (keys, pa.int64()), *((x, pa.int64()) for x in sums), (digests, pa.string()), (at, pa.int32()),
-        (words, pa.int32()), (lengths, pa.int32()), (place, pa.int32()), (pairs, pa.int64()), (counts, pa.int64()),
-    ]
-    columns = [pa.array([number], pa.int64())]
-    for values, kind in lists:
-        flat_values = pa.array(values, kind) if isinstance(values, list) else pa.array(values).cast(kind)
-        columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat_values)], pa.int32()), flat_values))
-    return pa.RecordBatch.from_arrays(columns, _BLOCK)
-
-
-_BLOCK = ["block", "doc", "key", "n_a", "n_b", "n_groups", "digest", "words_at", "words", "lengths", "place", "pairs", "counts"]
-_BLOCK_TYPE = (
-    "block long, doc array<long>, key array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digest array<string>,"
-    " words_at array<int>, words array<int>, lengths array<int>, place array<int>, pairs array<long>, counts array<long>"
-)
+    units = {"doc": (docs, pa.int64()), "key": (keys, pa.int64()), **{n: (x, pa.int64()) for n, x in zip(_SUMS, sums)}, "digest": (digests, pa.string())}
+    body = _packed(units | {n: (x, pa.int32()) for n, x in (("words_at", at), ("words", words), ("lengths", lengths), ("place", place))})
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x).cast(pa.int64())) for x in (pairs, counts)]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([body], pa.binary()), *lists], _BLOCK)
+
+
+def _packed(values: dict[str, tuple[Sequence, pa.DataType]]) -> bytes:
+    """Lists of any lengths as one row of lists, compressed."""
+    columns = []
+    for x, kind in values.values():
+        flat = pa.array(x, kind) if isinstance(x, list) else pa.array(x).cast(kind)
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
+    row, sink = pa.RecordBatch.from_arrays(columns, list(values)), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(body: bytes) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(body).read_next_batch()
+    return {n: row.column(n).flatten() for n in row.schema.names}
+
+
+_SUMS = ["n_a", "n_b", "n_groups"]
+_BLOCK = ["block", "body", "pairs", "counts"]
+_BLOCK_TYPE = "block long, body binary, pairs array<long>, counts array<long>"
 
 
 def _numbers() -> Iterator[int]:
@@ -483,21 +495,36 @@ def _piece_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block's units from the corpus-wide counts of its pairs (``place``, twice the count plus whether it is the best)."""
-    names = ["doc_id", "key", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256"]
+    """Rows of the units of blocks, which come one after the other: the body of each among its answers (block, body, i, value)."""
+    block, body, found = None, None, []
     for batch in batches:
-        for i in range(len(batch)):
-            got = {n: batch.column(n).slice(i, 1).flatten() for n in batch.schema.names}
-            number = {n: got[n].to_numpy(zero_copy_only=False) for n in ("words_at", "words", "lengths", "place")}
-            value = np.zeros(int(number["place"].max(initial=-1)) + 1, np.int64)
-            answers = got["answers"]
-            if len(answers):
-                value[answers.field(0).to_numpy(zero_copy_only=False)] = answers.field(1).to_numpy(zero_copy_only=False)
-            starts = np.concatenate(([0], np.cumsum(number["lengths"])))
-            per_word = [_per_run(x[number["place"]], starts) for x in (value & 1, value >> 1)]
-            best, total = (_per_run(x[number["words"]], number["words_at"]) for x in per_word)
-            columns = [got["doc"], got["key"], got["n_a"], got["n_b"], got["n_groups"], pa.array(best), pa.array(total), got["digest"]]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        numbers, at, value = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "i", "value"))
+        cuts = np.flatnonzero(np.diff(numbers)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
+            if low < high and numbers[low] != block:
+                if body is not None:
+                    yield _units(body, found)
+                block, body, found = numbers[low], None, []
+            for row in np.flatnonzero(at[low:high] < 0).tolist():
+                body = batch.column("body")[low + row].as_py()
+            answers = np.flatnonzero(at[low:high] >= 0) + low
+            found.append((at[answers], value[answers]))
+    if body is not None:
+        yield _units(body, found)
+
+
+def _units(body: bytes, answers: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of a block's units from the corpus-wide counts of its pairs (place, twice the count plus whether it is the best)."""
+    got = _unpacked(body)
+    number = {n: got[n].to_numpy(zero_copy_only=False) for n in ("words_at", "words", "lengths", "place")}
+    value = np.zeros(int(number["place"].max(initial=-1)) + 1, np.int64)
+    for at, values in answers:
+        value[at] = values
+    starts = np.concatenate(([0], np.cumsum(number["lengths"])))
+    per_word = [_per_run(x[number["place"]], starts) for x in (value & 1, value >> 1)]
+    best, total = (_per_run(x[number["words"]], number["words_at"]) for x in per_word)
+    names = ["doc_id", "key", *_SUMS, "n_best", "count_sum", "groups_sha256"]
+    return pa.RecordBatch.from_arrays([got["doc"], got["key"], *(got[n] for n in _SUMS), pa.array(best), pa.array(total), got["digest"]], names)
 
 
 def _with_counts(blocks: DataFrame) -> DataFrame:
@@ -514,11 +541,13 @@ def _with_counts(blocks: DataFrame) -> DataFrame:
     best = F.broadcast(folded(counted.groupBy(mine.alias("b")).agg(F.max("n").alias("most")), "align-best"))
     value = F.col("n") * 2 + (F.col("n") == F.col("most")).cast("long")
     known = counted.join(best, mine == F.col("b")).select("pair", value.alias("value"))
-    back = sent.select("block", "i", "pair").join(known, "pair").groupBy("block").agg(F.collect_list(F.struct("i", "value")).alias("answers"))
-    columns = [c for c in _BLOCK if c not in ("block", "pairs", "counts")]
-    met = blocks.select("block", *columns).join(back, "block", "left").select(*columns, "answers")
+    back = sent.select("block", "i", "pair").join(known, "pair").select("block", F.lit(None).cast("binary").alias("body"), "i", "value")
+    bodies = blocks.select("block", "body", F.lit(-1).alias("i"), F.lit(0).cast("long").alias("value"))
+    # A block streams through a task, so no list of its answers is held in a row, and none of its body's beside it.
+    met = bodies.unionByName(back).repartition("block").sortWithinPartitions("block")
     kind = "doc_id long, key long, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string"
-    return met.mapInArrow(_answered, kind)
+    with text_batches(blocks.sparkSession):
+        return written(met.mapInArrow(_answered, kind), "align-rows")
 
 
 def aligned(
@@ -528,17 +557,17 @@ def aligned(
     paths = (byte_path or tokenizer_path(), model_path or piece_path())
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     wide = F.coalesce(F.octet_length("text") > size, F.lit(False))
-    with text_batches(docs.sparkSession):
+    with text_batches(docs.sparkSession), row_groups(docs.sparkSession, GROUP):
         blocks = written(slim.where(~wide).mapInArrow(_documents(paths), _BLOCK_TYPE), "align-blocks")
     found = long_documents(slim.where(wide), paths, size)
     if found:
         pieces, digests = found
         units = pieces.select("key", "n_a", "n_b", "n_groups", "pairs", "counts").mapInArrow(_piece_blocks, _BLOCK_TYPE)
-        blocks = blocks.unionByName(written(units, "align-units"))
+        with row_groups(docs.sparkSession, GROUP):
+            blocks = blocks.unionByName(written(units, "align-units"))
     rows = _with_counts(blocks)
     numbers = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
     if found:
-        rows = written(rows, "align-rows")
         sums = rows.where("key is not null").groupBy("key").agg(*(F.sum(c).alias(c) for c in numbers))
         long_rows = digests.join(sums, "key", "left").select(
             F.col("doc").alias("doc_id"),

@@ -74,6 +74,20 @@ def text_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+_GROUP = "parquet.block.row.count.limit"
+
+
+@contextmanager
+def row_groups(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written meanwhile has up to ``rows`` rows in a row group: a reader takes up to 4,096 rows of one at once, however large they are."""
+    before = spark.conf.get(_GROUP, None)
+    spark.conf.set(_GROUP, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_GROUP) if before is None else spark.conf.set(_GROUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     return staged(df, f"llm-{label}")

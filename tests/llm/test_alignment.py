@@ -3,9 +3,12 @@
 import bisect
 import hashlib
 import random
+import urllib.parse
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -169,3 +172,44 @@ def test_few_texts_go_to_python_at_once(spark, monkeypatch):
     monkeypatch.setattr(al, "written", lambda df, label: sizes.update({label: int(spark.conf.get(key))}) or kept(df, label))
     assert al.aligned(brute.documents(spark, [(1, "a text"), (2, None)])).count() == 2
     assert sizes["align-blocks"] <= 1000 and spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_a_body_may_come_anywhere_among_its_answers(size):
+    known, rng = al.sides(*PATHS), random.Random(3)
+    groups = [[(1, "a b a"), (2, LONG[:300]), (None, None)], [(4, "x y")], [(5, None)], [(6, "a b"), (6, "b  a")]]
+    blocks = []
+    for number, rows in enumerate(groups):
+        block = al._Block()
+        for doc, text in rows:
+            block.add(doc, text)
+        blocks.append(block.batch(known, number).to_pylist()[0])
+    counts, best = Counter(), Counter()
+    for x in blocks:
+        counts.update(dict(zip(x["pairs"], x["counts"])))
+    for pair, n in counts.items():
+        best[pair & 0xFFFFFFFF] = max(best[pair & 0xFFFFFFFF], n)
+    rows = []
+    for x in blocks:
+        mine = [(x["block"], None, i, 2 * counts[p] + (counts[p] == best[p & 0xFFFFFFFF])) for i, p in enumerate(x["pairs"])]
+        mine.append((x["block"], x["body"], -1, 0))
+        rng.shuffle(mine)
+        rows += mine
+    kinds = {"block": pa.int64(), "body": pa.binary(), "i": pa.int32(), "value": pa.int64()}
+    table = pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(kinds.items())})
+    got = [r for batch in al._answered(iter(table.to_batches(max_chunksize=size))) for r in batch.to_pylist()]
+    said = [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_a"] + r["n_b"] - r["n_groups"], r["n_best"], r["count_sum"], r["groups_sha256"]) for r in got]
+    assert said == brute_rows([r for rows in groups for r in rows])
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    kept, found = al.written, {}
+    monkeypatch.setattr(al, "written", lambda df, label: found.setdefault(label, kept(df, label)))
+    rows = (al.GROUP + 2) * al.BLOCK_DOCS
+    docs = spark.range(0, rows, 1, 1).selectExpr("id AS doc_id", "concat('a b ', id % 7) AS text")
+    assert al.aligned(docs).select("n_links").where("n_links > 0").count() == rows
+    files = [pq.ParquetFile(urllib.parse.urlparse(f).path).metadata for f in found["align-blocks"].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == al.GROUP + 2 and max(groups) <= al.GROUP
+    assert dict(found["align-blocks"].dtypes) == {"block": "bigint", "body": "binary", "pairs": "array<bigint>", "counts": "array<bigint>"}
+    assert spark.conf.get("parquet.block.row.count.limit", None) is None
